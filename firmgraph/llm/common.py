@@ -56,3 +56,8 @@ def word_hashes(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A saved table with a broadcast hint if its rows take at most `limit` bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
