@@ -1,0 +1,28 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from firmgraph.llm.common import Workspace
+
+
+def components(edges: DataFrame, work: Workspace, name: str = "components") -> DataFrame:
+    """id, label for each vertex of edges(a, b): the least vertex of its component.
+
+    Each round takes the least label of the neighbours and then the label of that label, so that rounds grow with the
+    logarithm of the longest path. Labels and edges stay in tables; the driver sees a count of changes only.
+    """
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = work.save(both, f"{name}-edges")
+    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), f"{name}-0")
+    for i in range(1, 200):
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = work.save(step, f"{name}-step")
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        labels = work.save(step.join(jump, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")), f"{name}-{i}")
+        if not labels.filter("moved").limit(1).count():
+            return labels.select("id", "label")
+    raise RuntimeError("components did not settle")

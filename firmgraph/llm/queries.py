@@ -12,12 +12,17 @@ from firmgraph.llm.common import table
 from firmgraph.llm.exact_dedup import group_report
 from firmgraph.llm.license_scan import license_scan
 from firmgraph.llm import toxicity
+from firmgraph.llm.near_dedup import near_classes
 from firmgraph.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -74,4 +79,4 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES.update({f.__name__: f for f in (op3_toxicity, op4_exact_dedup, op7_chat_format, op8_warc, op9_license_scan)})
+QUERIES.update({f.__name__: f for f in (op2_near_dedup, op3_toxicity, op4_exact_dedup, op7_chat_format, op8_warc, op9_license_scan)})
