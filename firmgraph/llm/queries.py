@@ -12,13 +12,21 @@ from firmgraph.llm.common import table
 from firmgraph.llm.exact_dedup import group_report
 from firmgraph.llm.license_scan import license_scan
 from firmgraph.llm import toxicity
+from firmgraph.llm.decontaminate import contaminated
+from firmgraph.llm.mixing import mix
 from firmgraph.llm.near_dedup import near_classes
+from firmgraph.llm.wrapper import extract_pages
 from firmgraph.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "tokens", "epoch", "block", "slot")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,6 +51,14 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -79,4 +95,4 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES.update({f.__name__: f for f in (op2_near_dedup, op3_toxicity, op4_exact_dedup, op7_chat_format, op8_warc, op9_license_scan)})
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan)})

@@ -28,7 +28,7 @@ def shingle_hashes(values: np.ndarray, lengths: np.ndarray, width: int = SHINGLE
     h = mix(w + _GOLD)
     for j in range(1, width):
         nxt = np.zeros(n, np.uint64)
-        nxt[: n - j] = w[j:]
+        nxt[: max(0, n - j)] = w[j:]
         h = np.where(left > j, mix(h * np.uint64(3) + nxt), h)
     first = np.arange(n) == np.repeat(ends - lengths, lengths)
     good = (left >= width) | (first & (np.repeat(lengths, lengths) < width))
