@@ -15,6 +15,7 @@ from firmgraph.llm import toxicity
 from firmgraph.llm.decontaminate import contaminated
 from firmgraph.llm.mixing import mix
 from firmgraph.llm.near_dedup import near_classes
+from firmgraph.llm.ngram_lm import score_documents
 from firmgraph.llm.wrapper import extract_pages
 from firmgraph.llm.warc import archive_pages
 
@@ -34,8 +35,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    # the text is not carried along: only ids, languages and scores leave the scan
-    scored = toxicity.score(docs, model, carry=("doc_id", "lang"))
+    scored = toxicity.score(docs, model)
     limit = toxicity.threshold_of(model)
     return scored.select("doc_id", (toxicity.remainder() == 0).alias("held_out"), "score", "predicted", "lang", limit.alias("threshold"), (F.col("score") >= limit).alias("flagged"))
 
@@ -95,4 +95,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan)})
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, op10_lm_scores)})
