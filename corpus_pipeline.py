@@ -20,8 +20,8 @@ from firmgraph.llm.near_dedup import near_dedup as without_near_copies
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold of their language."""
     model = tox.fit(docs, table(spark, sf_dir, "labels"))
-    scored = tox.score(docs, model)
-    return scored.filter(F.col("score") < tox.threshold_of(model)).select(*docs.columns)
+    scored = tox.score(docs.select(F.struct("*").alias("row"), "text", "lang"), model)
+    return scored.filter(F.col("score") < tox.threshold_of(model)).select("row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
