@@ -5,7 +5,7 @@ Customers stand for companies and their newest order for the newest analysis.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,3 +67,53 @@ def overview_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-scored companies with a newest analysis; a top-k report."""
     rows = overview(spark, sf_dir).filter("score IS NOT NULL AND o_orderkey IS NOT NULL")
     return rows.orderBy(F.col("score").desc_nulls_last(), "c_custkey").limit(100)
+
+
+@query(f"""WITH {OVERVIEW_SQL} SELECT * FROM overview
+WHERE (lower(c_name) LIKE '%1%' OR lower(n_name) LIKE '%1%') AND score >= 20 AND (o_orderstatus IS NULL OR o_orderstatus <> 'F') AND (o_orderkey IS NULL OR rank IS NOT NULL)""")
+def overview_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword, score range and the default exclusions, compiled from optional filters."""
+    return overview(spark, sf_dir).filter(compile_filters({"keyword": "1", "min_score": 20, "exclude_status": "F", "ranked_if_analysed": True}))
+
+
+@query(f"WITH {OVERVIEW_SQL} SELECT * FROM overview ORDER BY score DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 50")
+def overview_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the list; unscored companies come last."""
+    page, per_page = 2, 50
+    return overview(spark, sf_dir).orderBy(F.col("score").desc_nulls_last(), "c_custkey").offset((page - 1) * per_page).limit(per_page)
+
+
+@query(f"WITH {OVERVIEW_SQL} SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) AS total_pages FROM overview WHERE score >= 20")
+def overview_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and pages of a filtered list."""
+    found = overview(spark, sf_dir).filter(compile_filters({"min_score": 20})).agg(F.count("*").alias("total"))
+    return found.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / 50)).cast("bigint"))
+
+
+@query(f"WITH {OVERVIEW_SQL} SELECT * FROM overview WHERE score < 20 OR rank = 'A'")
+def population_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named populations, joined by OR."""
+    return overview(spark, sf_dir).filter(POPULATIONS["low"] | POPULATIONS["top"])
+
+
+#: Named populations, as predicates over the overview.
+POPULATIONS = {"low": F.expr("score < 20"), "top": F.expr("rank = 'A'"), "unscored": F.expr("score IS NULL")}
+
+
+def compile_filters(chosen: dict) -> Column:
+    """One predicate out of those filters that are given; missing and blank ones do not filter."""
+    clauses = {
+        "keyword": lambda x: F.lower("c_name").contains(x.strip().lower()) | F.lower("n_name").contains(x.strip().lower()),
+        "segment": lambda x: F.col("c_mktsegment") == x,
+        "rank": lambda x: F.col("rank") == x,
+        "min_score": lambda x: F.col("score") >= x,
+        "max_score": lambda x: F.col("score") <= x,
+        "exclude_status": lambda x: F.col("o_orderstatus").isNull() | (F.col("o_orderstatus") != x),
+        "ranked_if_analysed": lambda x: F.col("o_orderkey").isNull() | F.col("rank").isNotNull(),
+        "unanalysed": lambda x: F.col("o_orderkey").isNull(),
+    }
+    out = F.lit(True)
+    for name, value in chosen.items():
+        if value not in (None, "", False):
+            out = out & clauses[name](value)
+    return out
