@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +13,11 @@ SPACE = r"[\s　 ]"
 DASHES = "[ー−‐―—－]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value evaluated once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_width(s: Column) -> Column:
     """Full-width ASCII and the ideographic space become ASCII."""
     return F.translate(s, WIDE, NARROW)
@@ -44,24 +46,20 @@ def name_tokens(s: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(without_legal_form(s)), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-def kanji_number(s: str) -> int:
-    """A number below 100 in kanji or digits."""
-    if s.isdecimal():
-        return int(s)
-    tens, _, ones = s.rpartition("十") if "十" in s else ("", "", s)
-    digit = lambda x: "〇一二三四五六七八九".find(x[-1]) if x and not x[-1].isdecimal() else int(x[-1]) if x else 0
-    return (digit(tens) or 1) * 10 * ("十" in s) + digit(ones)
-
-
-@F.pandas_udf("string")
-def _blocks_as_digits(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else re.sub("([一二三四五六七八九十〇0-9]+)丁目", lambda m: f"{kanji_number(m[1])}-", x))
+def block_numbers(s: Column) -> Column:
+    """Block numbers in kanji or digits (below 100) before 丁目 become digits and a hyphen."""
+    one = "[一二三四五六七八九1-9]"
+    for pattern, to in ((f"({one})十({one})丁目", "$1$2丁目"), (f"({one})十丁目", "$10丁目"), (f"十({one})丁目", "1$1丁目"), ("十丁目", "10丁目")):
+        s = F.regexp_replace(s, pattern, to)
+    for digit, kanji in enumerate("〇一二三四五六七八九"):
+        s = F.regexp_replace(s, f"{kanji}(?=[〇一二三四五六七八九0-9]*丁目)", str(digit))
+    return F.regexp_replace(s, "([0-9]+)丁目", "$1-")
 
 
 def address(s: Column) -> Column:
     """The key by which addresses are compared: no postal code or spaces, block numbers joined by hyphens."""
     x = F.regexp_replace(F.regexp_replace(half_width(s), r"〒?\d{3}-?\d{4}", ""), f"{SPACE}+", "")
-    x = _blocks_as_digits(x)
+    x = block_numbers(x)
     for pattern, to in ((r"(\d+)番地?(\d+)号?", "$1-$2"), (r"(\d+)番地?", "$1"), (r"(\d+)号", "$1"), (DASHES, "-"), ("-+", "-"), ("-$", "")):
         x = F.regexp_replace(x, pattern, to)
     return F.when(F.length(s) > 0, F.lower(x))
@@ -101,9 +99,9 @@ def appears(keys: Column, text: Column) -> Column:
 
 def phone(s: Column) -> Column:
     """A number of 10 or 11 digits, with its hyphens if it has any; else null."""
-    x = F.regexp_replace(F.regexp_replace(half_width(s), r"[()（）\s]", ""), DASHES, "-")
-    digits = F.regexp_replace(x, r"\D", "")
-    return F.when(F.length(digits).between(10, 11), F.when(x.contains("-"), x).otherwise(digits))
+    digits = lambda x: F.regexp_replace(x, r"\D", "")
+    checked = lambda x: F.when(F.length(digits(x)).between(10, 11), F.when(x.contains("-"), x).otherwise(digits(x)))
+    return let(F.regexp_replace(F.regexp_replace(half_width(s), r"[()（）\s]", ""), DASHES, "-"), checked)
 
 
 def corporate_number(s: Column) -> Column:
@@ -143,7 +141,7 @@ def industry(s: Column) -> Column:
 def normal_date(s: Column) -> Column:
     """YYYY-MM-DD of a date with any separators; missing parts are 01."""
     x = half_width(s)
-    part = lambda i: F.regexp_extract(x, r"(\d{4})[-./年](?:(\d{1,2})(?:[-./月](\d{1,2}))?)?", i)
+    part = lambda i: F.regexp_extract(x, r"(\d{4})(?:[-./年](?:(\d{1,2})(?:[-./月](\d{1,2}))?)?)?", i)
     two = lambda i: F.lpad(F.when(part(i) == "", "1").otherwise(part(i)), 2, "0")
     return F.when(part(1) != "", F.concat_ws("-", part(1), two(2), two(3)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from firmgraph.functions import dims
-from firmgraph.functions.text import name_tokens
+from firmgraph.functions.text import let, name_tokens
 
 #: Query parameters that only track visitors.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid")
@@ -14,14 +14,15 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 
 def normal_url(s: Column) -> Column:
     """https:// added if there is no scheme, host in lower case, no fragment and tracking; null for other schemes."""
-    x = F.trim(s)
-    x = F.when((x == "") | (x.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~x.rlike("(?i)^https?://") & ~x.rlike(r"^[^/]*:\d")), None).otherwise(F.when(x.rlike("(?i)^https?://"), x).otherwise(F.concat(F.lit("https://"), x)))
-    x = F.regexp_replace(x, "#.*$", "")
-    head, rest = F.lower(F.regexp_extract(x, "(?i)^(https?://[^/?]+)", 1)), F.regexp_extract(x, "(?i)^https?://[^/?]+(.*)$", 1)
-    path, query = F.regexp_extract(rest, r"^([^?]*)", 1), F.regexp_extract(rest, r"\?(.*)$", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING)), "&")
-    path = F.when(path == "", F.when(kept == "", "").otherwise("/")).when((path == "/") & (kept == ""), "").otherwise(path)
-    return F.when(head != "", F.concat(head, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+    with_scheme = lambda x: F.when((x == "") | (x.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~x.rlike("(?i)^https?://") & ~x.rlike(r"^[^/]*:\d")), None).otherwise(F.when(x.rlike("(?i)^https?://"), x).otherwise(F.concat(F.lit("https://"), x)))
+    parts = lambda x: F.struct(F.lower(F.regexp_extract(x, "(?i)^(https?://[^/?]+)", 1)).alias("head"), F.regexp_extract(x, r"(?i)^https?://[^/?]+([^?]*)", 1).alias("path"), kept(F.regexp_extract(x, r"^[^?]*\?(.*)$", 1)).alias("kept"))
+    kept = lambda q: F.array_join(F.filter(F.split(q, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).isin(*TRACKING)), "&")
+
+    def joined(u: Column) -> Column:
+        path = F.when((u["path"] == "") & (u["kept"] != ""), "/").when((u["path"] == "/") & (u["kept"] == ""), "").otherwise(u["path"])
+        return F.when(u["head"] != "", F.concat(u["head"], path, F.when(u["kept"] == "", "").otherwise(F.concat(F.lit("?"), u["kept"]))))
+
+    return let(parts(F.regexp_replace(let(F.trim(s), with_scheme), "#.*$", "")), joined)
 
 
 def host(s: Column) -> Column:
@@ -52,8 +53,7 @@ def root_url(s: Column) -> Column:
 
 
 def is_root(s: Column) -> Column:
-    n = normal_url(s)
-    return F.coalesce(path_of(n).isin("", "/") & (query_of(n) == ""), F.lit(False))
+    return F.coalesce(let(normal_url(s), lambda n: path_of(n).isin("", "/") & (query_of(n) == "")), F.lit(False))
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -62,7 +62,8 @@ def same_site(a: Column, b: Column) -> Column:
 
 def is_non_official(domain: Column) -> Column:
     """Governments, listed hosts and their subdomains; a missing domain counts."""
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split(domain, r"\."))), lambda i: F.substring_index(domain, ".", -i))
+    parts = F.split(domain, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return domain.isNull() | domain.rlike(dims.GOVERNMENT_DOMAIN) | F.exists(suffixes, lambda d: d.isin(list(dims.NON_OFFICIAL_DOMAINS)))
 
 
@@ -82,9 +83,8 @@ def is_directory(s: Column) -> Column:
 
 def is_record_page(s: Column) -> Column:
     """Whether a path segment or a parameter is an identifier."""
-    n = normal_url(s)
-    segments, values = F.split(path_of(n), "/"), F.transform(F.split(query_of(n), "&"), lambda p: F.regexp_extract(p, "=(.*)$", 1))
-    return F.coalesce(F.exists(segments, lambda x: x.rlike(r"(?i)^\d{3,}(-\d+)*$|^[a-z]{1,2}\d{3,}$")) | F.exists(values, lambda x: x.rlike(r"^\d{3,}$")), F.lit(False))
+    identifies = lambda n: F.exists(F.split(path_of(n), "/"), lambda x: x.rlike(r"(?i)^\d{3,}(-\d+)*$|^[a-z]{1,2}\d{3,}$")) | F.exists(F.split(query_of(n), "&"), lambda p: p.rlike(r"=\d{3,}$"))
+    return F.coalesce(let(normal_url(s), identifies), F.lit(False))
 
 
 def is_file(s: Column) -> Column:
@@ -93,8 +93,7 @@ def is_file(s: Column) -> Column:
 
 def site_reject_reason(s: Column) -> Column:
     """The first reason why a URL cannot be a company's own site; null if there is none."""
-    d = host(s)
-    return (
+    reason = lambda d: (
         F.when(s.isNull() | (s == ""), "no url")
         .when(d.isNull(), "invalid url")
         .when(is_non_official(d), "non-official domain")
@@ -104,6 +103,7 @@ def site_reject_reason(s: Column) -> Column:
         .when(is_directory(s), "directory page")
         .when(is_file(s), "not html")
     )
+    return let(host(s), reason)
 
 
 def is_crawlable(s: Column) -> Column:
@@ -119,14 +119,16 @@ def domain_matches_name(name: Column, domain: Column) -> Column:
 def classify_page(url: Column, link_text: Column, title: Column, home: Column) -> Column:
     """struct(page_type, priority): the rule with the highest priority, ten more if URL and text both match."""
     hay = F.concat_ws(" ", F.coalesce(link_text, F.lit("")), F.coalesce(title, F.lit("")))
-    found = F.array(*[
-        F.when(url.rlike(f"(?i){u}") | hay.rlike(t), F.struct((F.lit(p) + F.when(url.rlike(f"(?i){u}") & hay.rlike(t), 10).otherwise(0)).alias("priority"), F.lit(-i).alias("at"), F.lit(kind).alias("page_type")))
-        for i, (kind, u, t, p) in enumerate(dims.PAGE_RULES)
-    ])
-    best = F.array_max(F.array_compact(found))
+
+    def best(x: Column) -> Column:
+        hits = [
+            F.when(url.rlike(f"(?i){u}") | x.rlike(t), F.struct((F.lit(p) + F.when(url.rlike(f"(?i){u}") & x.rlike(t), 10).otherwise(0)).alias("priority"), F.lit(-i).alias("at"), F.lit(kind).alias("page_type")))
+            for i, (kind, u, t, p) in enumerate(dims.PAGE_RULES)
+        ]
+        return F.coalesce(F.array_max(F.array_compact(F.array(*hits))), F.struct(F.lit(10).alias("priority"), F.lit(0).alias("at"), F.lit("other").alias("page_type")))
+
     top = F.regexp_replace(path_of(url), "/+$", "").rlike(r"(?i)^$|^/(index|home|top)(\.html?|\.php)?$") & same_site(url, home)
     bad = ~F.coalesce(url.rlike("(?i)^https?://."), F.lit(False))
-    return F.struct(
-        F.when(bad, "other").when(top, "top").otherwise(F.coalesce(best["page_type"], F.lit("other"))).alias("page_type"),
-        F.when(bad, 0).when(top, 110).otherwise(F.coalesce(best["priority"], F.lit(10))).alias("priority"),
-    )
+    fixed = lambda p, kind: F.struct(F.lit(p).alias("priority"), F.lit(0).alias("at"), F.lit(kind).alias("page_type"))
+    chosen = F.when(bad, fixed(0, "other")).when(top, fixed(110, "top")).otherwise(let(hay, best))
+    return let(chosen, lambda c: F.struct(c["page_type"].alias("page_type"), c["priority"].alias("priority")))

@@ -53,7 +53,7 @@ parts AS (
   FROM customer LEFT JOIN latest ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
 num AS (
   SELECT *, coalesce(0.3e0 * least(greatest(f_balance, 0), 100), 0e0) + coalesce(0.2e0 * least(greatest(f_price, 0), 100), 0e0)
-      + coalesce(0.1e0 * (100 - least(greatest(f_recent, 0), 100)), 0e0) n,
+      + CASE WHEN f_recent IS NULL THEN 0e0 ELSE 0.1e0 * (100 - least(greatest(f_recent, 0), 100)) END n,
     CASE WHEN f_balance IS NULL THEN 0e0 ELSE 0.3e0 END + CASE WHEN f_price IS NULL THEN 0e0 ELSE 0.2e0 END + CASE WHEN f_recent IS NULL THEN 0e0 ELSE 0.1e0 END d FROM parts),
 overview AS (
   SELECT c_custkey, c_name, c_mktsegment, n_name, o_orderkey, o_orderstatus, f_balance, f_price, f_recent, score,

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from firmgraph.plans import metrics, overview, resolution  # noqa: E402, F401  (they register their queries)
+from firmgraph.plans import metrics, overview, pages, resolution, texts  # noqa: E402, F401  (they register their queries)
