@@ -93,11 +93,11 @@ def overview_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {OVERVIEW_SQL} SELECT * FROM overview WHERE score < 20 OR rank = 'A'")
 def population_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named populations, joined by OR."""
-    return overview(spark, sf_dir).filter(POPULATIONS["low"] | POPULATIONS["top"])
+    return overview(spark, sf_dir).filter(F.expr(POPULATIONS["low"]) | F.expr(POPULATIONS["top"]))
 
 
 #: Named populations, as predicates over the overview.
-POPULATIONS = {"low": F.expr("score < 20"), "top": F.expr("rank = 'A'"), "unscored": F.expr("score IS NULL")}
+POPULATIONS = {"low": "score < 20", "top": "rank = 'A'", "unscored": "score IS NULL"}
 
 
 def compile_filters(chosen: dict) -> Column:
