@@ -20,7 +20,6 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
     for i in range(1, 200):
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = work.save(step, f"{name}-step")
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
         labels = work.save(step.join(jump, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")), f"{name}-{i}")
         if not labels.filter("moved").limit(1).count():

@@ -6,11 +6,15 @@ further arrival can come before the latest register, so most shingles are drawn
 estimate the probability Jaccard similarity J_P. Texts that agree in all ROWS registers of one of BANDS bands share a bucket
 (at J_P = 0.8 a pair shares no bucket with a probability of 5e-5).
 
-Buckets are not expanded into pairs. In each, PIVOTS texts that come first in a global random order are compared with the
-others; a text that is linked to a pivot leaves the bucket, the rest goes on with twice as many pivots, until nothing is
-left. As the linked texts are in the pivot's class already, a link is lost only if, in every bucket that a pair shares, one
-of both is linked to a pivot and the other is not. Candidates are first compared by signature, at a bound of five standard
-deviations below the threshold, and then exactly by J_P of their whole texts. Classes are the connected components.
+Buckets are not expanded into pairs. A round compares the texts of each bucket with its pivots, which come first in a global
+random order, unless both are in one component already; then the components are formed anew, the pivots leave, and buckets
+with a single component are done. The first round takes a few bands, which connects large groups of near-copies by few
+pairs; the second takes all bands. What is then still left lies in dense buckets of texts that are mostly not similar, such
+as those that share a common passage. For these, buckets are formed by their rarest shingles, where similar texts must meet
+and a common passage does not count, and rounds go on, with eight times as many pivots each, until no bucket has two
+components. So every pair of a shared bucket is compared or connected already.
+Candidates are first compared by signature, at a bound of five standard deviations below the threshold, and then exactly by
+J_P of their whole texts. Classes are the connected components.
 
 Texts with the same words are one text throughout, so copies cost a row each.
 
@@ -34,7 +38,7 @@ from firmgraph.llm.common import Workspace, broadcast_if_small, word_hashes
 from firmgraph.llm.graph import components
 from firmgraph.llm.shingles import mix, probability_jaccard, shingle_hashes, union_weights, weighted
 
-ROWS, BANDS, PIVOTS = 5, 25, 2
+ROWS, BANDS, PIVOTS, FIRST_BANDS = 5, 25, 2, 5
 REGISTERS = ROWS * BANDS
 THRESHOLD = 0.8
 STEP_WORDS = 200_000
@@ -150,31 +154,89 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, work: Workspa
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _prefixes(docs: DataFrame, ids: DataFrame, work: Workspace, threshold: float) -> DataFrame:
+    """Rows (id, h) by which texts with J_P of at least the threshold meet: their rarest shingles, of over 1 - threshold of the weight.
+
+    J_P is at most the sum of the smaller normalised weights, so two such texts share a weight of the threshold at least,
+    which cannot lie outside of both prefixes of one global order.
+    """
+    texts = docs.join(broadcast_if_small(ids, 64), docs.doc_id == ids.id, "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False)
+            own = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            for at, to in steps(offsets):
+                h, doc, n = weighted(*shingle_hashes(values[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1])))
+                share = n / np.bincount(doc, n, to - at)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(own[at:to][doc]), pa.array(h.view(np.int64)), pa.array(share)], ["id", "h", "share"])
+
+    rows = work.save(texts.mapInArrow(run, "id long, h long, share double"), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = rows.join(often, "h", "left")
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")
+    before = F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return ranked.withColumn("before", before).filter(F.col("df").isNotNull() & (F.col("before") <= 1 - threshold + 1e-6)).select("id", "h")
+
+
 def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
-    """Verified links a, b between different texts(id, bands, sig), enough to connect each class."""
-    rows = texts.select("id", F.explode("bands").alias("h"))
-    links, k = None, 0
-    while True:
-        first = Window.partitionBy("h").orderBy("rank", "id")
-        ranked = rows.withColumn("rank", F.xxhash64("id"))
-        heads = ranked.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= pivots).select("h", F.col("id").alias("a"), F.col("rank").alias("ra"))
+    """id, label: the components of the links between different texts(id, bands, sig)."""
+    state: dict = {"labels": None, "k": 0}
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if state["labels"] is None:
+            return rows.withColumn("label", F.col("id"))
+        known = state["labels"].withColumnRenamed("label", "known")
+        return rows.join(known, "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
+
+    def merged(found: DataFrame, k: int) -> DataFrame:
+        """Labels after new links: the components of the components that the links join."""
+        ends = work.save(labelled(found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()), f"ends{k}")
+        side = lambda c: ends.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
+        joined = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), work, f"components{k}")
+        known = ends if state["labels"] is None else state["labels"].unionAll(ends.join(state["labels"], "id", "left_anti"))
+        roots = joined.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        return work.save(known.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")), f"labels{k}")
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame | None:
+        """The rows of buckets that have more than one component, with labels; None if there are none."""
+        rows = labelled(rows)
+        good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("h")
+        rows = work.save(rows.join(good, "h").withColumn("rank", F.xxhash64("id")), name)
+        return rows if rows.limit(1).count() else None
+
+    def round_(rows: DataFrame, n: int) -> DataFrame | None:
+        """Compare the first n texts of each bucket with those of other components; the others are left, where components still differ."""
+        k = state["k"] = state["k"] + 1
+        heads = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("rank", "id"))).filter(F.col("rn") <= n)
+        heads = work.save(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la")), f"heads{k}")
         after = (F.col("ra") < F.col("rank")) | ((F.col("ra") == F.col("rank")) & (F.col("a") < F.col("id")))
-        met = ranked.join(heads, "h").filter(after)
+        met = rows.join(heads, "h").filter(after & (F.col("la") != F.col("label")))
         pairs = work.save(met.select("a", F.col("id").alias("b")).distinct(), f"pairs{k}")
         alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
         found = work.save(_verified(alike, docs, threshold, work, f"round{k}").select("a", "b").distinct(), f"links{k}")
-        links = found if links is None else links.unionAll(found)
-        large = work.save(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > pivots + 1).select("h"), f"large{k}")
-        if not large.limit(1).count():
-            return links
-        # of the large buckets, what is neither a pivot nor linked to one
-        left = ranked.join(large, "h").join(heads, "h")
-        left = left.join(found.withColumn("linked", F.lit(True)), (left.a == found.a) & (left.id == found.b), "left").select("h", "id", left.a, "linked")
-        left = left.groupBy("h", "id").agg((F.max("linked").isNull() & (F.max((F.col("a") == F.col("id")).cast("int")) == 0)).alias("stays")).filter("stays")
-        rows = work.save(left.select("id", "h"), f"left{k}")
-        if not rows.limit(1).count():
-            return links
-        k, pivots = k + 1, 2 * pivots
+        if found.limit(1).count():
+            state["labels"] = merged(found, k)
+        left = rows.select("h", "id").join(heads.select("h", F.col("a").alias("id")), ["h", "id"], "left_anti")
+        return mixed(left, f"left{k}")
+
+    banded = texts.select("id", F.posexplode("bands").alias("band", "h"))
+    first = mixed(banded.filter(F.col("band") < FIRST_BANDS).select("h", "id"), "first")
+    if first is not None:
+        round_(first, 1)
+    rows = mixed(banded.select("h", "id"), "all")
+    if rows is not None:
+        rows = round_(rows, pivots)
+    if rows is not None:
+        rows = mixed(_prefixes(docs, work.save(rows.select("id").distinct(), "dense"), work, threshold), "rarest")
+    while rows is not None:
+        pivots *= 8
+        rows = round_(rows, pivots)
+    if state["labels"] is None:
+        return texts.select("id", F.col("id").alias("label")).limit(0)
+    return state["labels"]
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
@@ -184,8 +246,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PI
     signed = work.save(signatures(named), "signed")
     texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x"))
     texts = work.save(texts.select("k1", "k2", "id", "x.bands", "x.sig"), "texts")
-    links = near_links(named, texts, work, threshold, pivots)
-    labels = components(links, work)
+    labels = near_links(named, texts, work, threshold, pivots)
     classes = texts.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.col("id").alias("text_id"), F.coalesce("label", "id").alias("class_id"))
     found = signed.select("doc_id", "k1", "k2").join(work.save(classes, "classes"), ["k1", "k2"])
     found = found.select("doc_id", "class_id", "text_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))

@@ -25,6 +25,7 @@ scored alike; null ids are kept; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -64,17 +65,21 @@ def unpack_numbers(data: bytes, n: int) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences of the fewest bytes."""
+    """Sorted distinct keys as differences of the fewest bytes: the low bytes as they are, the highest, which vary least, Huffman coded."""
     step = np.diff(keys, prepend=np.uint64(0))
     width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
-    return bytes([width]) + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    high = packer.compress(planes[:, width - 1].tobytes()) + packer.flush()
+    return bytes([width]) + len(step).to_bytes(4, "little") + planes[:, : width - 1].tobytes() + high
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    small = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    wide = np.zeros((len(small), 8), np.uint8)
-    wide[:, :width] = small
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    low = 5 + n * (width - 1)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : width - 1] = np.frombuffer(data[5:low], np.uint8).reshape(n, width - 1)
+    wide[:, width - 1] = np.frombuffer(zlib.decompress(data[low:], -15), np.uint8)
     return np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
