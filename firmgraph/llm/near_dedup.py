@@ -12,7 +12,9 @@ with a single component are done. The first round takes a few bands, which conne
 pairs; the second takes all bands. What is then still left lies in dense buckets of texts that are mostly not similar, such
 as those that share a common passage. For these, buckets are formed by their rarest shingles, where similar texts must meet
 and a common passage does not count, and rounds go on, with eight times as many pivots each, until no bucket has two
-components. So every pair of a shared bucket is compared or connected already.
+components. There a text's place in a bucket tells how much of it is not shared by rarer shingles, which bounds J_P from
+above: pivots come by that share, and texts that cannot reach the threshold with any text left in the bucket leave it.
+So every pair of a shared bucket is compared, connected already, or too far apart by that bound.
 Candidates are first compared by signature, at a bound of five standard deviations below the threshold, and then exactly by
 J_P of their whole texts. Classes are the connected components.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -155,10 +157,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, work: Workspa
 
 
 def _prefixes(docs: DataFrame, ids: DataFrame, work: Workspace, threshold: float) -> DataFrame:
-    """Rows (id, h) by which texts with J_P of at least the threshold meet: their rarest shingles, of over 1 - threshold of the weight.
+    """Rows (id, h, own) by which texts with J_P of at least the threshold meet: their rarest shingles, and what `_reach` takes.
 
-    J_P is at most the sum of the smaller normalised weights, so two such texts share a weight of the threshold at least,
-    which cannot lie outside of both prefixes of one global order.
+    Two such texts share a weight of the threshold at least, which cannot lie outside of both prefixes of one global order.
+    At the first shingle that they share, what is before it is not shared. own has the share of weight before it, the number
+    of distinct shingles from it on, how many shingles repeat others, and the number of all.
     """
     texts = docs.join(broadcast_if_small(ids, 64), docs.doc_id == ids.id, "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
 
@@ -170,15 +173,33 @@ def _prefixes(docs: DataFrame, ids: DataFrame, work: Workspace, threshold: float
             own = np.array(batch.column("doc_id").to_pylist(), np.int64)
             for at, to in steps(offsets):
                 h, doc, n = weighted(*shingle_hashes(values[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1])))
-                share = n / np.bincount(doc, n, to - at)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(own[at:to][doc]), pa.array(h.view(np.int64)), pa.array(share)], ["id", "h", "share"])
+                size, kinds = np.bincount(doc, n, to - at), np.bincount(doc, minlength=to - at)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[at:to][doc], h.view(np.int64), n / size[doc], kinds[doc], size[doc])], ["id", "h", "share", "kinds", "size"])
 
-    rows = work.save(texts.mapInArrow(run, "id long, h long, share double"), "shingles")
+    rows = work.save(texts.mapInArrow(run, "id long, h long, share double, kinds long, size double"), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = rows.join(often, "h", "left")
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")
     before = F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return ranked.withColumn("before", before).filter(F.col("df").isNotNull() & (F.col("before") <= 1 - threshold + 1e-6)).select("id", "h")
+    placed = ranked.withColumns({"before": before, "left": F.col("kinds") - F.row_number().over(order) + 1})
+    placed = placed.filter(F.col("df").isNotNull() & (F.col("before") <= 1 - threshold + 1e-6))
+    return placed.select("id", "h", F.struct("before", "left", (F.col("size") - F.col("kinds")).alias("repeats"), "size").alias("own"))
+
+
+#: For buckets that tell nothing of what is shared.
+ANY = "named_struct('before', 0.0D, 'left', 1L << 40, 'repeats', 0.0D, 'size', 1.0D)"
+
+
+def _reach(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two texts with these values of own can have J_P of the threshold.
+
+    If they share A of the weight of one and B of the other, J_P is at most 1 / (1/A + 1/B - 1), which they reach if they have
+    the shared shingles in proportion. A is at most what is not before the bucket's shingle; and the shared shingles are at
+    most as many kinds as both have left, of which each counts once, besides the repeats.
+    """
+    kinds = F.least(a["left"], b["left"])
+    share = lambda x: F.least(1 - x["before"], (kinds + x["repeats"]) / x["size"])
+    return 1 / share(a) + 1 / share(b) <= 1 + 1 / threshold + 1e-6
 
 
 def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
@@ -203,30 +224,31 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
     def mixed(rows: DataFrame, name: str) -> DataFrame | None:
         """The rows of buckets that have more than one component, with labels; None if there are none."""
         rows = labelled(rows)
-        good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("h")
-        rows = work.save(rows.join(good, "h").withColumn("rank", F.xxhash64("id")), name)
+        good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.struct(F.min("own.before").alias("before"), F.max("own.left").alias("left"), F.max("own.repeats").alias("repeats"), F.min("own.size").alias("size")).alias("best")).filter("mixed").select("h", "best")
+        rows = rows.join(good, "h").filter(_reach(F.col("best"), F.col("own"), threshold)).drop("best")
+        rows = work.save(rows.withColumn("rank", F.xxhash64("id")), name)
         return rows if rows.limit(1).count() else None
 
     def round_(rows: DataFrame, n: int) -> DataFrame | None:
         """Compare the first n texts of each bucket with those of other components; the others are left, where components still differ."""
         k = state["k"] = state["k"] + 1
-        heads = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("rank", "id"))).filter(F.col("rn") <= n)
-        heads = work.save(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la")), f"heads{k}")
-        after = (F.col("ra") < F.col("rank")) | ((F.col("ra") == F.col("rank")) & (F.col("a") < F.col("id")))
-        met = rows.join(heads, "h").filter(after & (F.col("la") != F.col("label")))
-        pairs = work.save(met.select("a", F.col("id").alias("b")).distinct(), f"pairs{k}")
+        heads = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("own", "rank", "id"))).filter(F.col("rn") <= n)
+        heads = work.save(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("own").alias("own_a"), F.col("label").alias("la")), f"heads{k}")
+        after = F.struct("own_a", "ra", "a") < F.struct("own", "rank", "id")
+        met = rows.join(heads, "h").filter((F.col("la") != F.col("label")) & after & _reach(F.col("own_a"), F.col("own"), threshold))
+        pairs = work.save(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), f"pairs{k}")
         alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
         found = work.save(_verified(alike, docs, threshold, work, f"round{k}").select("a", "b").distinct(), f"links{k}")
         if found.limit(1).count():
             state["labels"] = merged(found, k)
-        left = rows.select("h", "id").join(heads.select("h", F.col("a").alias("id")), ["h", "id"], "left_anti")
+        left = rows.select("h", "id", "own").join(heads.select("h", F.col("a").alias("id")), ["h", "id"], "left_anti")
         return mixed(left, f"left{k}")
 
-    banded = texts.select("id", F.posexplode("bands").alias("band", "h"))
-    first = mixed(banded.filter(F.col("band") < FIRST_BANDS).select("h", "id"), "first")
+    banded = texts.select("id", F.posexplode("bands").alias("band", "h"), F.expr(ANY).alias("own"))
+    first = mixed(banded.filter(F.col("band") < FIRST_BANDS).select("h", "id", "own"), "first")
     if first is not None:
         round_(first, 1)
-    rows = mixed(banded.select("h", "id"), "all")
+    rows = mixed(banded.select("h", "id", "own"), "all")
     if rows is not None:
         rows = round_(rows, pivots)
     if rows is not None:
