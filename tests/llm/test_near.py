@@ -99,3 +99,22 @@ def test_short_and_empty_sequences():
     h, d = shingle_hashes(np.arange(11), np.array([0, 3, 0, 6, 2]))
     assert list(d) == [1, 3, 3, 4]
     assert len(weighted(h, d)[0]) == 4
+
+
+def test_dense_groups_around_the_threshold(spark):
+    """Stragglers of a group of near-copies and texts with a repeated phrase, of which many pairs lie just below the threshold."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(500)]
+    hot = [rng.choice(vocab) for _ in range(100)]
+    texts = []
+    for k in range(60):
+        x = list(hot)
+        for _ in range(1 + k % 4):
+            x[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(x))
+    for k in range(40):
+        texts.append(" ".join([rng.choice(vocab) for _ in range(8 + k % 20)] + ["round", "and"] * (40 + k)))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), pivots=1).collect()}
+    assert got == brute_classes(rows)
+    assert 5 < len(set(got.values())) < 60
