@@ -1,8 +1,9 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
 For words w[1..n] the score of w[i] is count(w[i-2..i]) / count(w[i-2..i-1]) if that trigram is in the table, else 0.4 times
-the score with one word less of context, down to count(w[i]) / N. Tables keep n-grams that occur at least MIN_COUNT times;
-every count is over all documents. A document's score is the sum of the natural logarithms.
+the score with one word less of context, down to count(w[i]) / N. Tables keep n-grams that occur at least min_count times;
+every count is over all documents. The query takes min_count=1, which is every n-gram. A document's score is the sum of the
+natural logarithms.
 
 The plan is relational, with rows that hold sorted columns of n-grams instead of single n-grams, as a row for each would
 take many times the space of the corpus:
@@ -10,7 +11,8 @@ take many times the space of the corpus:
 1. Documents are dealt to chunks of a bounded number of words. The chunk's n-grams are exploded and grouped, and dealt to
    the hash partitions of the count tables (ranges of the n-grams' hashes) with their numbers in the chunk.
 2. Each hash partition sums the numbers of an n-gram, which is its part of the count table, and joins it to the n-grams of
-   each chunk: a bit for each n-gram of the chunk, and the count if it is kept.
+   each chunk: a bit for each n-gram of the chunk, and the count if it is above 1 and kept. The others occur once, or are
+   not in the table, which min_count tells.
 3. The counts are joined to the chunk's documents, and the logarithms are summed for each.
 
 An n-gram costs a row of its hash partition once a chunk, however often it occurs, so frequent n-grams do not gather in one
@@ -121,18 +123,19 @@ def _replies(min_count: int):
             ends = np.cumsum([len(k) for k in keys])
             for i, e, k in zip(at, ends, keys):
                 mine = own[e - len(k) : e]
-                kept = mine >= (min_count if n > 1 else 1)
+                kept = mine >= (max(2, min_count) if n > 1 else 2)
                 out[i] = len(k).to_bytes(4, "little") + np.packbits(kept).tobytes() + pack_numbers(mine[kept])
         return pa.table([table.column("chunk"), table.column("n"), table.column("part"), pa.array(out, pa.binary())], ["chunk", "n", "part", "found"])
 
     return run
 
 
-def _found(data: bytes) -> np.ndarray:
+def _found(data: bytes, rest: int) -> np.ndarray:
+    """The counts of a reply, `rest` for n-grams without one."""
     n = int.from_bytes(data[:4], "little")
     at = 4 + -(-n // 8)
     kept = np.unpackbits(np.frombuffer(data[4:at], np.uint8), count=n).astype(bool)
-    out = np.zeros(n, np.int64)
+    out = np.full(n, rest, np.int64)
     out[kept] = unpack_numbers(data[at:], int(kept.sum()))
     return out
 
@@ -140,12 +143,12 @@ def _found(data: bytes) -> np.ndarray:
 PARTIAL = "doc_id long, n_words long, logs double, unigrams long"
 
 
-def _scores(order: int, backoff: float):
+def _scores(order: int, backoff: float, min_count: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         words, lengths = _lists(docs.column("words"))
         by: dict[int, list] = {}
         for n, part, data in sorted(zip(replies.column("n").to_pylist(), replies.column("part").to_pylist(), replies.column("found").to_pylist())):
-            by.setdefault(n, []).append(_found(data))
+            by.setdefault(n, []).append(_found(data, int(n == 1 or min_count <= 1)))
         counts = []
         for n in range(1, order + 1):
             keys, there = gram_keys(words, lengths, n)
@@ -179,7 +182,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     told = dealt.select("chunk", "doc_id", word_hashes(F.col("text")).alias("words"))
     requests = told.groupBy("chunk").applyInArrow(_requests(parts, order), "part int, chunk long, n int, keys binary, counts binary")
     replies = requests.groupBy("part").applyInArrow(_replies(min_count), "chunk long, n int, part int, found binary")
-    scored = told.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(order, backoff), PARTIAL)
+    scored = told.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(order, backoff, min_count), PARTIAL)
     scored = work.save(scored, "scored")
     total = scored.agg(F.sum("n_words")).first()[0] or 1
     whole = F.col("logs") - F.col("unigrams") * F.lit(math.log(max(1, total)))

@@ -103,7 +103,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), min_count=1)
 
 
 QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, op10_lm_scores)})

@@ -45,3 +45,13 @@ def test_packing_round_trips():
     assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
     x = rng.choice([1, 2, 254, 255, 256, 10**9], 500)
     assert (lm.unpack_numbers(lm.pack_numbers(x), 500) == x).all()
+
+
+def test_query_counts_ngrams_that_occur_once(spark, tmp_path):
+    from firmgraph.llm import queries
+
+    rows = [(0, "a b c d"), (1, "a b c e"), (2, "only here once"), (3, "f g"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["log_score"] for r in queries.QUERIES["op10_lm_scores"](spark, str(tmp_path)).collect()}
+    assert all(abs(got[d] - s) < 1e-5 for d, _, s in brute(rows, least=1))
+    assert abs(got[2] - math.log(1 / 13)) < 1e-5
