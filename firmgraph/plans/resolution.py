@@ -147,6 +147,13 @@ def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(links)
 
 
+@query()
+def entity_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the whole link table, whose chains grow with it; tested against union-find, as recursive SQL walks each chain from every vertex."""
+    links = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b")).distinct()
+    return connected_components(links)
+
+
 @query("""SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linenumber) AS first_line FROM lineitem GROUP BY l_orderkey, l_returnflag""")
 def observations_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with equal keys, as one with their number and first position."""
@@ -174,6 +181,15 @@ def survivor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(best, "block").select("id", "block", "survivor")
 
 
+@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey % 5 AS block, c_acctbal AS score, c_custkey % 3 AS state FROM customer)
+SELECT id, block, first_value(id) OVER (PARTITION BY block ORDER BY state DESC, score DESC, id) AS survivor FROM c""")
+def survivor_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """survivor_order over all customers."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("block"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 3).alias("state"))
+    best = rows.groupBy("block").agg(F.max_by("id", F.struct("state", "score", -F.col("id"))).alias("survivor"))
+    return rows.join(best, "block").select("id", "block", "survivor")
+
+
 @query("SELECT o_orderstatus, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS rank FROM orders GROUP BY o_orderstatus")
 def status_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses by their number of rows."""
