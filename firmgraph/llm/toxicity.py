@@ -8,8 +8,10 @@ in the training rows, the others at random; all parameters are then trained by g
 Labels come only from rows whose crc32 of the doc_id (as text) is not 0 modulo 5. Of those, remainder 1 calibrates: scores
 are mapped to probabilities, and each language gets the threshold with the best F1. A score depends on the text alone.
 
-Documented bounds: at most MAX_TOXIC toxic and MAX_CLEAN clean rows are fitted on and MAX_CALIBRATION rows calibrate, the
-first by a hash of the doc_id. Scoring reads all rows and whole texts, in steps of about STEP_WORDS words.
+Documented bounds: the network is fitted on at most MAX_TOXIC toxic and MAX_CLEAN clean rows, the first by a hash of the
+doc_id. All labelled rows of remainder 1 calibrate: their logits are counted by language in bins of 1 / BINS, and a
+threshold lies between bins. A language (or null) with fewer than LEAST toxic or LEAST clean rows among all of them gets 0.5.
+Scoring reads all rows and whole texts, in steps of about STEP_WORDS words.
 
 Defined results: null and empty texts get the score of a text without words; several labels of one doc_id count as toxic if
 one is; null labels are ignored; without toxic labels every score is 0, without clean ones 1; repeated rows get equal
@@ -18,7 +20,7 @@ scores; an empty table gives an empty result; of clashing columns, the results r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from firmgraph.llm.common import words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
-MAX_TOXIC, MAX_CLEAN, MAX_CALIBRATION = 2500, 4000, 4000
+MAX_TOXIC, MAX_CLEAN = 2500, 4000
+BINS, LEAST = 256, 10
 EPOCHS, BATCH, STEP_WORDS, PAD = 4, 64, 200_000, max(WIDTHS) - 1
 RESULTS = ("score", "predicted")
 
@@ -113,9 +116,12 @@ class Model:
     def logits(self, flat: Flat) -> np.ndarray:
         return np.maximum(self.pooled(flat), 0) @ self.out + self.shift
 
-    def scores(self, flat: Flat) -> np.ndarray:
+    def calibrated(self, logits: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.logits(flat).astype(np.float64) + b, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(a * logits + b, -60, 60)))
+
+    def scores(self, flat: Flat) -> np.ndarray:
+        return self.calibrated(self.logits(flat).astype(np.float64))
 
     def step(self, flat: Flat, toxic: np.ndarray, rate: float) -> None:
         x = self.vectors(flat)
@@ -158,55 +164,58 @@ def chunks(batch: pa.RecordBatch | pa.Table, step: int = STEP_WORDS) -> Iterator
         at = to
 
 
-def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold between scores that gives the best F1; the middle of the gap, the one nearest 0.5 of equal ones."""
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(toxic[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + toxic.sum())
-    ends = np.append(s[1:] != s[:-1], True)
-    cuts = (s + np.append(s[1:], 0)) / 2
+def best_threshold(low: np.ndarray, toxic: np.ndarray, high: np.ndarray | None = None, n: np.ndarray | None = None) -> float:
+    """The threshold between bins of n rows, with scores from low to high, that gives the best F1; the middle of the gap, the one nearest 0.5 of equal ones."""
+    high, n = low if high is None else high, np.ones(len(low)) if n is None else n
+    order = np.argsort(-high, kind="stable")
+    hit = np.cumsum(toxic[order])
+    f1 = 2 * hit / (np.cumsum(n[order]) + toxic.sum())
+    cuts = (low[order] + np.append(high[order][1:], 0)) / 2
+    ends = np.append(high[order][1:] != low[order][:-1], True)
     good = np.flatnonzero(ends & (f1 >= f1[ends].max() - 1e-12))
     return float(cuts[good[np.argmin(np.abs(cuts[good] - 0.5))]])
 
 
-def calibrate(model: Model, flats: list[Flat], toxic: np.ndarray, langs: list) -> None:
-    """Map logits to probabilities by a logistic fit; then the thresholds of languages with ten rows of each label."""
-    if 0 < toxic.sum() < len(toxic):
-        z = np.concatenate([model.logits(f) for f in flats]).astype(np.float64)
+def calibrate(model: Model, bins: pa.Table) -> None:
+    """Map logits to probabilities by a logistic fit; then the thresholds of languages with LEAST rows of each label."""
+    bins = bins.sort_by([("lang", "ascending"), ("bin", "ascending")])
+    n, toxic, low, high = (bins.column(c).to_numpy().astype(np.float64) for c in ("n", "toxic", "low", "high"))
+    if 0 < toxic.sum() < n.sum():
+        z = (low + high) / 2
         a, b = 1.0, 0.0
-        target = np.where(toxic > 0, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))
+        target = toxic * (toxic.sum() + 1) / (toxic.sum() + 2) + (n - toxic) / (n.sum() - toxic.sum() + 2)
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-6)
-            g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
+            w = n * np.maximum(p * (1 - p), 1e-6)
+            g = np.array([((n * p - target) * z).sum() + 1e-3 * (a - 1), (n * p - target).sum()])
             h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             move = np.linalg.solve(h, g)
             a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
         model.scale = (max(a, 0.1), b)
-        score = np.concatenate([model.scores(f) for f in flats])
+        low, high = model.calibrated(low), model.calibrated(high)
+        langs = bins.column("lang").to_pylist()
         for lang in set(langs):
             own = np.array([x == lang for x in langs])
-            if min(toxic[own].sum(), (1 - toxic[own]).sum()) >= 10:
-                model.thresholds[lang] = best_threshold(score[own], toxic[own])
+            if min(toxic[own].sum(), (n - toxic)[own].sum()) >= LEAST:
+                model.thresholds[lang] = best_threshold(low[own], toxic[own], high[own], n[own])
 
 
 def remainder(name: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_calibration: int = MAX_CALIBRATION, epochs: int = EPOCHS) -> Model:
-    """Train on bounded samples of the labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, epochs: int = EPOCHS) -> Model:
+    """Train on bounded samples of the labelled rows outside the held-out fold, and calibrate on all of remainder 1."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__fold", remainder()).filter("__fold != 0")
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id")
+    tried = known.filter("__fold = 1").select("doc_id", "__toxic")
+    known = known.filter("__fold != 1").join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id")
     part = lambda cond, n: known.filter(cond).limit(n)
-    sample = part("__fold = 1", max_calibration).unionAll(part("__fold != 1 AND __toxic = 1", max_toxic)).unionAll(part("__fold != 1 AND __toxic = 0", max_clean))
+    sample = part("__toxic = 1", max_toxic).unionAll(part("__toxic = 0", max_clean))
     # a bounded number of rows of two integers each
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id")
-    got = with_buckets(rows).select("doc_id", "lang", "__toxic", "__fold", "__words", "__stems").toArrow()
-    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")]))
+    got = with_buckets(rows).select("doc_id", "__toxic", "__words", "__stems").toArrow()
+    train = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")])).combine_chunks()
     model = Model()
-    mine = pa.compute.not_equal(got.column("__fold"), 1)
-    train, rest = got.filter(mine).combine_chunks(), got.filter(pa.compute.invert(mine)).combine_chunks()
     toxic = train.column("__toxic").to_numpy().astype(np.float32)
     if not len(toxic) or toxic.min() == toxic.max():
         model.constant = float(toxic.max()) if len(toxic) else 0.0
@@ -218,7 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             model.step(_all(train.take(rows)), toxic[rows], 0.3 / (1 + epoch))
-    calibrate(model, [f for _, _, f in chunks(rest)] if len(rest) else [], rest.column("__toxic").to_numpy().astype(np.float64), rest.column("lang").to_pylist())
+    # scored before the join, which then moves no texts
+    logits = _by_text(docs.select("doc_id", "text", "lang").filter(remainder() == 1), model, "logit", Model.logits).select("doc_id", "lang", "logit")
+    bins = logits.join(tried, "doc_id").groupBy("lang", F.floor(F.col("logit") * BINS).alias("bin"))
+    calibrate(model, bins.agg(F.count("*").alias("n"), F.sum("__toxic").alias("toxic"), F.min("logit").alias("low"), F.max("logit").alias("high")).toArrow())
     return model
 
 
@@ -226,9 +238,8 @@ def _all(t: pa.Table) -> Flat:
     return next(chunks(t, 1 << 60))[2]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs with score (0 to 1) and predicted (score >= 0.5)."""
-    kept = [c for c in docs.columns if c not in RESULTS]
+def _by_text(docs: DataFrame, model: Model, name: str, of: Callable[[Model, Flat], np.ndarray]) -> DataFrame:
+    """docs with a number that the model gives each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -236,16 +247,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         if own.constant is not None:
             return pa.array(np.full(len(words), own.constant))
-        found = [own.scores(flat) for _, _, flat in chunks(pa.RecordBatch.from_arrays([words, stems], ["__words", "__stems"]))]
+        found = [of(own, flat).astype(np.float64) for _, _, flat in chunks(pa.RecordBatch.from_arrays([words, stems], ["__words", "__stems"]))]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    scored = with_buckets(docs.select(*[F.col(f"`{c}`") for c in kept])).withColumn("score", run("__words", "__stems"))
-    return scored.drop("__words", "__stems").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_buckets(docs).withColumn(name, run("__words", "__stems")).drop("__words", "__stems")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs with score (0 to 1) and predicted (score >= 0.5)."""
+    kept = [c for c in docs.columns if c not in RESULTS]
+    scored = _by_text(docs.select(*[F.col(f"`{c}`") for c in kept]), model, "score", Model.scores)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def threshold_of(model: Model, lang: str = "lang"):
     """The threshold of a row's language, 0.5 where there was too little to calibrate."""
     out = F.lit(0.5)
-    for name, value in sorted((k, v) for k, v in model.thresholds.items() if k is not None):
-        out = F.when(F.col(lang) == name, F.lit(value)).otherwise(out)
+    for name, value in sorted(model.thresholds.items(), key=str):
+        out = F.when(F.col(lang).eqNullSafe(F.lit(name)), F.lit(value)).otherwise(out)
     return out

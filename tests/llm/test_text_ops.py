@@ -174,3 +174,24 @@ def test_toxicity_held_out(spark):
 def test_threshold_stands_in_the_gap(scores):
     toxic = np.array([1.0, 1.0, 0.0, 0.0])
     assert scores[2] < tx.best_threshold(np.array(scores), toxic) < scores[1]
+
+
+def test_thresholds_rest_on_all_labels(spark):
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(50)]
+    rows, labels = [], []
+    tried = [i for i in range(70_000) if fold(i) == 1][:12_000]
+    for at, i in enumerate([*tried, *[i for i in range(2000) if fold(i) > 1]]):
+        lang = "rare" if at % 12 == 0 else None if at % 12 == 1 else "en"
+        bad = at % 600 == 0 or lang is None and at % 5 == 0 if at < len(tried) else at % 2
+        rows.append((i, " ".join(rng.choices(words, k=4) + ["nasty"] * bool(bad)), lang))
+        labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), epochs=1)
+    assert set(model.thresholds) == {None, "rare"}
+    model.thresholds[None] = 0.25
+    got = {r["lang"]: r["t"] for r in docs.select("lang", tx.threshold_of(model).alias("t")).distinct().collect()}
+    assert got == {None: 0.25, "rare": model.thresholds["rare"], "en": 0.5}
