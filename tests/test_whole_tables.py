@@ -48,3 +48,10 @@ def test_survivors_and_inserts_take_all_rows(spark, tmp_path):
     assert {r["id"] for r in got} == set(range(1, 701)) and {r["survivor"] for r in got} == {698}
     rows = [tuple(r) for r in registry.QUERIES["insert_if_absent_all"](spark, str(tmp_path)).collect()]
     assert sorted(rows) == sorted([(k, "seg") for k in range(1, 701)] + [(31 * k, "new") for k in range(1, 47) if 31 * k > 700])
+
+
+def test_documents_with_several_addresses_are_kept(spark, tmp_path):
+    rows = [(0, "Write to B@firm.co or a@firm.co, b@firm.co"), (1, "to c@firm.co"), (2, "none"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["emails_extracted"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["emails"] for r in got} == {0: ["b@firm.co", "a@firm.co"], 1: ["c@firm.co"]}
