@@ -1,189 +1,147 @@
-"""Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of a corpus, as joins and sums.
 
-For words w[1..n] the score of w[i] is count(w[i-2..i]) / count(w[i-2..i-1]) if that trigram is in the table, else 0.4 times
-the score with one word less of context, down to count(w[i]) / N. Tables keep n-grams that occur at least min_count times;
-every count is over all documents. The query takes min_count=1, which is every n-gram. A document's score is the sum of the
-natural logarithms.
+For words w[1..n] the score of w[i] is count(w[i-m+1..i]) / count(w[i-m+1..i-1]), m being the order, if that n-gram is in the
+corpus, else BACKOFF times the score with one word less of context, down to count(w[i]) / N. The first words of a text have
+the context there is. A document's score is the sum of the natural logarithms.
 
-The plan is relational, with rows that hold sorted columns of n-grams instead of single n-grams, as a row for each would
-take many times the space of the corpus:
+`score_against` scores documents by another corpus: the count tables of all orders are joined to the exploded n-grams of the
+documents, the best order is taken at each place, and the logarithms are summed by document.
 
-1. Documents are dealt to chunks of a bounded number of words. The chunk's n-grams are exploded and grouped, and dealt to
-   the hash partitions of the count tables (ranges of the n-grams' hashes) with their numbers in the chunk.
-2. Each hash partition sums the numbers of an n-gram, which is its part of the count table, and joins it to the n-grams of
-   each chunk: a bit for each n-gram of the chunk, and the count if it is above 1 and kept. The others occur once, or are
-   not in the table, which min_count tells.
-3. The counts are joined to the chunk's documents, and the logarithms are summed for each.
+`score_documents` scores a corpus by itself, all n-grams of all documents, those that occur once too. There every n-gram of a
+document is in the tables, so no place backs off, and the logarithms telescope: the first m - 1 words add
+log count(w[1..m-1]) - log N, and each later word log count(n-gram) - log count(its context). A row for each context with the
+word that follows it (null at the end of a text) has what both counts need. The rows are dealt to the partitions of the count
+tables by a hash of their context, where two windows count contexts and n-grams, which is the join of a count table with the
+rows it was counted from; then they are summed by document. So a place costs one row of one shuffle, whatever the order.
 
-An n-gram costs a row of its hash partition once a chunk, however often it occurs, so frequent n-grams do not gather in one
-task. n-grams are told apart by KEY_BITS bits of a hash; two that share them share their counts (with 3e9 n-grams about one
-in 1e5). Larger corpora take larger chunks (chunk_words), as chunks times partitions is the number of messages.
+* Frequent contexts and n-grams do not gather in one task. A sample of the documents proposes those with more than 1 / HEAVY
+  of its rows, of which there are HEAVY at most; they are counted exactly beforehand by a map-side sum, their counts reach
+  the rows by broadcast, and their rows are dealt by n-gram or by document instead. The sample decides where rows go only.
+* The hash space is worked through in SLICES equal parts at every size, so that the disk holds the shuffle of one at a time.
+* Contexts and words travel as 64-bit hashes: an n-gram is told apart by 128 bits, a context by 64.
 
 Defined results: words are runs of letters and digits of the lower-cased text; null and empty texts have 0 words, score 0
-and a null mean; the first words of a text have the context there is; repeated rows count as often as they occur, and are
-scored alike; null ids are kept; an empty table gives an empty result; other columns are not read.
+and a null mean; repeated rows count as often as they occur, and are scored alike; null ids are kept; an empty table gives an
+empty result; other columns are not read. A text is one row of an array however long it is, and then a row for each word.
+Against another corpus, a word that the corpus lacks at every order counts as if it occurred once; an empty corpus counts as
+one word.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from firmgraph.llm.common import Workspace, word_hashes
-from firmgraph.llm.shingles import mix
-
-ORDER, BACKOFF, MIN_COUNT, KEY_BITS = 3, 0.4, 2, 48
-CHUNK_CHARS = 12_000_000
-
-
-def gram_keys(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each word, and where one does."""
-    w = words.astype(np.int64).view(np.uint64)
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    there = np.arange(len(w)) - first >= order - 1
-    h = mix(w + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
-    for j in range(1, order):
-        before = np.zeros(len(w), np.uint64)
-        before[min(j, len(w)) :] = w[: max(0, len(w) - j)]
-        h = mix(h * np.uint64(3) + before)
-    return h >> np.uint64(64 - KEY_BITS), there
-
-
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Positive numbers in a byte each, with the large ones apart."""
-    large = x >= 255
-    return np.where(large, 255, x).astype(np.uint8).tobytes() + x[large].astype("<u8").tobytes()
-
-
-def unpack_numbers(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data[:n], np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[n:], "<u8").astype(np.int64)
-    return out
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences of the fewest bytes: the low bytes as they are, the highest, which vary least, Huffman coded."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
-    planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)
-    packer = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
-    high = packer.compress(planes[:, width - 1].tobytes()) + packer.flush()
-    return bytes([width]) + len(step).to_bytes(4, "little") + planes[:, : width - 1].tobytes() + high
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    width, n = data[0], int.from_bytes(data[1:5], "little")
-    low = 5 + n * (width - 1)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, : width - 1] = np.frombuffer(data[5:low], np.uint8).reshape(n, width - 1)
-    wide[:, width - 1] = np.frombuffer(zlib.decompress(data[low:], -15), np.uint8)
-    return np.cumsum(wide.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(lists) else np.zeros(0, np.int64), np.diff(offsets)
-
-
-def _requests(parts: int, order: int):
-    def run(table: pa.Table) -> pa.Table:
-        words, lengths = _lists(table.column("words"))
-        rows = []
-        for n in range(1, order + 1):
-            keys, there = gram_keys(words, lengths, n)
-            keys, counts = np.unique(keys[there], return_counts=True)
-            part = (keys * np.uint64(parts)) >> np.uint64(KEY_BITS)
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            rows += [(p, n, pack_keys(keys[a:b]), pack_numbers(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table([pa.array([x[0] for x in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.array([x[3] for x in rows], pa.binary())], ["part", "chunk", "n", "keys", "counts"])
-
-    return run
-
-
-def _replies(min_count: int):
-    def run(table: pa.Table) -> pa.Table:
-        orders, out = np.array(table.column("n").to_pylist()), [None] * table.num_rows
-        blobs, numbers = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-        for n in np.unique(orders):
-            at = np.flatnonzero(orders == n)
-            keys = [unpack_keys(blobs[i]) for i in at]
-            counts = [unpack_numbers(numbers[i], len(k)) for i, k in zip(at, keys)]
-            known, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, np.concatenate(counts)).astype(np.int64)
-            own = total[place]
-            ends = np.cumsum([len(k) for k in keys])
-            for i, e, k in zip(at, ends, keys):
-                mine = own[e - len(k) : e]
-                kept = mine >= (max(2, min_count) if n > 1 else 2)
-                out[i] = len(k).to_bytes(4, "little") + np.packbits(kept).tobytes() + pack_numbers(mine[kept])
-        return pa.table([table.column("chunk"), table.column("n"), table.column("part"), pa.array(out, pa.binary())], ["chunk", "n", "part", "found"])
-
-    return run
-
-
-def _found(data: bytes, rest: int) -> np.ndarray:
-    """The counts of a reply, `rest` for n-grams without one."""
-    n = int.from_bytes(data[:4], "little")
-    at = 4 + -(-n // 8)
-    kept = np.unpackbits(np.frombuffer(data[4:at], np.uint8), count=n).astype(bool)
-    out = np.full(n, rest, np.int64)
-    out[kept] = unpack_numbers(data[at:], int(kept.sum()))
-    return out
-
-
-PARTIAL = "doc_id long, n_words long, logs double, unigrams long"
-
-
-def _scores(order: int, backoff: float, min_count: int):
-    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        words, lengths = _lists(docs.column("words"))
-        by: dict[int, list] = {}
-        for n, part, data in sorted(zip(replies.column("n").to_pylist(), replies.column("part").to_pylist(), replies.column("found").to_pylist())):
-            by.setdefault(n, []).append(_found(data, int(n == 1 or min_count <= 1)))
-        counts = []
-        for n in range(1, order + 1):
-            keys, there = gram_keys(words, lengths, n)
-            c = np.zeros(len(words), np.int64)
-            if there.any():
-                c[there] = np.concatenate(by[n])[np.unique(keys[there], return_inverse=True)[1]]
-            counts.append(c)
-        place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        logs, done, penalty = np.zeros(len(words)), np.zeros(len(words), bool), np.zeros(len(words))
-        for n in range(order, 1, -1):
-            before = np.append(0, counts[n - 2][:-1])  # of the context, which ends at the word before
-            hit = ~done & (counts[n - 1] > 0)
-            logs[hit] = np.log(counts[n - 1][hit]) - np.log(before[hit]) + penalty[hit]
-            done |= hit
-            penalty[~done & (place >= n - 1)] += math.log(backoff)
-        logs[~done] = np.log(counts[0][~done]) + penalty[~done]
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        return pa.table([docs.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(np.bincount(doc, logs, len(lengths))), pa.array(np.bincount(doc, ~done, len(lengths)).astype(np.int64))], ["doc_id", "n_words", "logs", "unigrams"])
-
-    return run
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id, n_words, log_score (natural), mean_log (by word) for each row of docs(doc_id, text)."""
+
+ORDER, BACKOFF = 3, 0.4
+SLICES, HEAVY, SAMPLE, LEAST = 3, 1 << 16, 64, 32
+
+
+def told(docs: DataFrame, work: Workspace) -> DataFrame:
+    """A row for each row of docs: rid, doc_id, words."""
+    return work.save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", word_hashes(F.col("text")).alias("words")), "words")
+
+
+def exploded(texts: DataFrame, length: int) -> DataFrame:
+    """rid, at, w0 .. w[length - 1]: the words from each place on, null beyond the end."""
+    rows = texts.select("rid", "words", F.posexplode("words").alias("at", "w0"))
+    return rows.select("rid", "at", "w0", *[F.get("words", F.col("at") + i).alias(f"w{i}") for i in range(1, length)])
+
+
+def _key(n: int) -> Column:
+    return F.xxhash64(*[f"w{i}" for i in range(n)])
+
+
+def contexts(texts: DataFrame, order: int) -> DataFrame:
+    """rid, first, context, next: a row for each place where order - 1 words stand."""
+    rows = exploded(texts, order).filter(F.col(f"w{order - 2}").isNotNull())
+    return rows.select("rid", (F.col("at") == 0).alias("first"), _key(order - 1).alias("context"), F.col(f"w{order - 1}").alias("next"))
+
+
+def frequent(texts: DataFrame, order: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Counts of frequent contexts (context, often) and n-grams (context, next, often); at most HEAVY rows each."""
+    sample = work.save(contexts(texts.filter(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0), order).groupBy("context", "next").count(), "sample")
+    n = sample.agg(F.sum("count")).first()[0] or 0
+    least = max(LEAST, n / HEAVY)
+    # at most n / least rows each
+    heavy = work.save(sample.groupBy("context").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("context"), "heavy")
+    pairs = work.save(sample.filter((F.col("count") >= least) & F.col("next").isNotNull()).select("context", "next", F.lit(True).alias("named")), "heavy-pairs")
+    held = contexts(texts, order).join(F.broadcast(heavy), "context").join(F.broadcast(pairs), ["context", "next"], "left")
+    counts = work.save(held.groupBy("context", F.when(F.col("named"), F.col("next")).alias("next")).count(), "frequent")
+    return counts.groupBy("context").agg(F.sum("count").alias("often_context")), counts.filter("next IS NOT NULL").select("context", "next", F.col("count").alias("often"))
+
+
+def _slice(rows: DataFrame, i: int, parts: int) -> DataFrame:
+    """rid, logs: the sums over the n-grams of one part of the hash space."""
+    dealt = rows.filter(F.pmod("deal", F.lit(SLICES)) == i).repartition(parts, "deal")
+    gram, context = Window.partitionBy("deal", "context", "next"), Window.partitionBy("deal", "context")
+    counted = dealt.withColumn("n", F.count("*").over(gram)).withColumn("m", F.count("*").over(context))
+    n, m = (F.log(F.coalesce(a, b).cast("double")) for a, b in (("often", "n"), ("often_context", "m")))
+    part = F.when(F.col("next").isNull(), 0.0).otherwise(n - m) + F.when(F.col("first"), m).otherwise(0.0)
+    return counted.select("rid", part.alias("part")).groupBy("rid").agg(F.sum("part").alias("logs"))
+
+
+def _short(texts: DataFrame, order: int) -> list[DataFrame]:
+    """rid, logs of the texts with 1 to order - 2 words: the logarithm of the count of all their words."""
+    found = []
+    for n in range(1, order - 1):
+        own = texts.filter(F.size("words") == n).select("rid", *[F.col("words")[i].alias(f"w{i}") for i in range(n)]).select("rid", _key(n).alias("gram"))
+        grams = exploded(texts, n).filter(F.col(f"w{n - 1}").isNotNull()).select(_key(n).alias("gram")).groupBy("gram").count()
+        found.append(own.join(grams, "gram").select("rid", F.log(F.col("count").cast("double")).alias("logs")))
+    return found
+
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, log_score (natural), mean_log (by word) for each row of docs(doc_id, text), by the counts of docs themselves; order is 2 at least."""
     spark = docs.sparkSession
     work = Workspace(spark, "ngrams")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-chars // chunk_chars))
-    parts = min(2 * chunks + 6, 4096)
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")).repartition(max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk")
-    told = dealt.select("chunk", "doc_id", word_hashes(F.col("text")).alias("words"))
-    requests = told.groupBy("chunk").applyInArrow(_requests(parts, order), "part int, chunk long, n int, keys binary, counts binary")
-    replies = requests.groupBy("part").applyInArrow(_replies(min_count), "chunk long, n int, part int, found binary")
-    scored = told.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_scores(order, backoff, min_count), PARTIAL)
-    scored = work.save(scored, "scored")
-    total = scored.agg(F.sum("n_words")).first()[0] or 1
-    whole = F.col("logs") - F.col("unigrams") * F.lit(math.log(max(1, total)))
-    return scored.select("doc_id", "n_words", F.round(whole, 6).alias("log_score"), F.round(whole / F.nullif("n_words", F.lit(0)), 6).alias("mean_log"))
+    texts = told(docs, work)
+    often_context, often = frequent(texts, order, work)
+    rows = contexts(texts, order).join(F.broadcast(often_context), "context", "left").join(F.broadcast(often), ["context", "next"], "left")
+    deal = F.when(F.col("often").isNotNull(), F.xxhash64("rid")).when(F.col("often_context").isNotNull(), F.xxhash64("context", "next")).otherwise(F.col("context"))
+    rows = rows.withColumn("deal", deal)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = [work.save(_slice(rows, i, parts), f"sums-{i}") for i in range(SLICES)]
+    sums += [work.save(x, f"short-{i}") for i, x in enumerate(_short(texts, order))]
+    logs = work.save(reduce(DataFrame.unionAll, sums).groupBy("rid").agg(F.sum("logs").alias("logs")), "logs")
+    return _scored(texts.select("rid", "doc_id", F.size("words").cast("long").alias("n_words")), logs, texts)
+
+
+def _scored(texts: DataFrame, logs: DataFrame, corpus: DataFrame | None) -> DataFrame:
+    """The columns of the result; with a corpus, the logarithm of its words is taken off each text that has words."""
+    whole = F.coalesce(F.col("logs"), F.lit(0.0))
+    if corpus is not None:
+        total = corpus.agg(F.sum(F.size("words"))).first()[0] or 1
+        whole -= F.when(F.col("n_words") > 0, F.lit(math.log(max(1, total)))).otherwise(0.0)
+    joined = texts.join(logs, "rid", "left").withColumn("whole", whole)
+    return joined.select("doc_id", "n_words", F.round("whole", 6).alias("log_score"), F.round(F.col("whole") / F.nullif("n_words", F.lit(0)), 6).alias("mean_log"))
+
+
+def score_against(docs: DataFrame, corpus: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """The columns of score_documents for docs(doc_id, text), by the counts of corpus(text)."""
+    work = Workspace(docs.sparkSession, "backoff")
+    texts, known = told(docs, work), told(corpus.select(F.lit(None).cast("long").alias("doc_id"), "text"), Workspace(docs.sparkSession, "backoff-corpus"))
+    total = known.agg(F.sum(F.size("words"))).first()[0] or 1
+    places = []
+    for n in range(1, order + 1):
+        end = F.col(f"w{n - 1}").isNotNull()
+        counts = exploded(known, n).filter(end).select(_key(n).alias("gram")).groupBy("gram").count()
+        rows = exploded(texts, n).filter(end).select("rid", (F.col("at") + n - 1).alias("end"), _key(n).alias("gram"))
+        places.append(rows.join(counts, "gram").select("rid", "end", F.lit(n).alias("n"), F.col("count").cast("double").alias("count")))
+    # at a place: the n-grams that end there, and those that end one word before, which are the contexts
+    seen = reduce(DataFrame.unionAll, places)
+    both = seen.select("rid", "end", "n", "count", F.lit(0).alias("back")).unionAll(seen.filter(F.col("n") < order).select("rid", F.col("end") + 1, F.col("n") + 1, "count", F.lit(1)))
+    every = exploded(texts, 1).select("rid", F.col("at").alias("end"))
+    of = lambda n, back: F.max(F.when((F.col("n") == n) & (F.col("back") == back), F.col("count")))
+    table = both.groupBy("rid", "end").agg(*[of(n, b).alias(f"c{n}{b}") for n in range(1, order + 1) for b in (0, 1)])
+    at = every.join(table, ["rid", "end"], "left")
+    score = F.log(F.coalesce(F.col("c10"), F.lit(1.0))) - math.log(max(1, total))
+    for n in range(2, order + 1):
+        score = F.when(F.col(f"c{n}0").isNotNull(), F.log(f"c{n}0") - F.log(f"c{n}1")).otherwise(score + F.when(F.col("end") >= n - 1, math.log(backoff)).otherwise(0.0))
+    logs = work.save(at.select("rid", score.alias("part")).groupBy("rid").agg(F.sum("part").alias("logs")), "logs")
+    return _scored(texts.select("rid", "doc_id", F.size("words").cast("long").alias("n_words")), logs, None)
