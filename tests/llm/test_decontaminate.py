@@ -97,3 +97,60 @@ def test_multi_index_finds_all_within_radius():
     far = np.bitwise_count(query[:, None] ^ index.prints[None])
     assert {(int(a), int(b)) for a, b in zip(q, t)} == {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= dc.RADIUS))}
     assert (d == far[q, t]).all()
+
+
+def recall(items, edit, rng, times):
+    """The share of windows with similarity of 0.8 or more by brute force that are found, and their number."""
+    found = true = 0
+    for _ in range(times):
+        t = rng.randrange(len(items))
+        w = edit(list(items[t]))
+        k = min(5, len(items[t]))
+        n = min(len(items[t]), len(w))
+        if max(similarity(bag(w[i : i + n], k), bag(items[t], k)) for i in range(len(w) - n + 1)) < 0.8:
+            continue
+        true += 1
+        index = dc.Index([t], [np.array(items[t])])
+        found += bool(index.find(np.array(w), np.array([len(w)])))
+    return found / true, true
+
+
+def test_recall_of_edited_passages():
+    rng = random.Random(7)
+    word = lambda: rng.getrandbits(60)
+    items = [[word() for _ in range(rng.randint(14, 80))] for _ in range(200)]
+
+    def edit(w):
+        kind = rng.randrange(3)
+        if kind == 0:  # another last word, or other words at an edge
+            n = rng.randint(1, max(1, len(w) // 12))
+            w[-n:] = [word() for _ in range(n)]
+        elif kind == 1:  # cut short
+            w = w[rng.randint(0, len(w) // 10) :]
+        else:
+            w[rng.randrange(len(w))] = word()
+        return [word() for _ in range(30)] + w + [word() for _ in range(30)]
+
+    share, n = recall(items, edit, rng, 1500)
+    assert n > 500 and share >= 0.995
+
+
+def test_long_items_take_linear_work():
+    import time
+
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 1 << 60, 20_000)
+    doc = np.concatenate([rng.integers(0, 1 << 60, 5000), item[:9000], [1, 2, 3], item[9003:], rng.integers(0, 1 << 60, 5000)])
+    index = dc.Index([5], [item])
+    began = time.time()
+    found = index.find(doc, np.array([len(doc)]))
+    assert time.time() - began < 5
+    assert [(m["item_id"], m["start_word"], m["n_words"]) for m in found[0]] == [(5, 5000, 20_000)] and found[0][0]["similarity"] > 0.99
+
+
+def test_repeated_rows_and_long_texts(spark):
+    docs, items = fixture()
+    passage = items[5][1]
+    rows = [(1, passage), (1, passage), (None, passage), (2, "filler word " * 100_000 + passage + " filler word" * 100_000)]
+    got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["start_word"]) for r in got) == [("1", 5, 0), ("1", 5, 0), ("2", 5, 200_000), ("None", 5, 0)]
