@@ -9,12 +9,14 @@ Labels come only from rows whose crc32 of the doc_id (as text) is not 0 modulo 5
 are mapped to probabilities, and each language gets the threshold with the best F1. A score depends on the text alone.
 
 Documented bounds: the network is fitted on at most MAX_TOXIC toxic and MAX_CLEAN clean rows, the first by a hash of the
-doc_id. All labelled rows of remainder 1 calibrate: their logits are counted by language in bins of 1 / BINS, and a
+doc_id, and of these on the first whole texts with at most MAX_WORDS words of each label in all, so that the driver's memory
+is bounded. All labelled rows of remainder 1 calibrate: their logits are counted by language in bins of 1 / BINS, and a
 threshold lies between bins. A language (or null) with fewer than LEAST toxic or LEAST clean rows among all of them gets 0.5.
 Scoring reads all rows and whole texts, in steps of about STEP_WORDS words.
 
-Defined results: null and empty texts get the score of a text without words; several labels of one doc_id count as toxic if
-one is; null labels are ignored; without toxic labels every score is 0, without clean ones 1; repeated rows get equal
+Defined results: null and empty texts get the score of a text without words; a null doc_id counts as the empty text in the
+remainder, which is 0, so such rows are held out; several labels of one doc_id count as toxic if one is; null labels are
+ignored; without toxic labels every score is 0, without clean ones 1; repeated rows get equal
 scores; an empty table gives an empty result; of clashing columns, the results replace those of the input.
 """
 
@@ -28,19 +30,21 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from firmgraph.llm.common import words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
-MAX_TOXIC, MAX_CLEAN = 2500, 4000
+MAX_TOXIC, MAX_CLEAN, MAX_WORDS = 2500, 4000, 2_000_000
 BINS, LEAST = 256, 10
-EPOCHS, BATCH, STEP_WORDS, PAD = 4, 64, 200_000, max(WIDTHS) - 1
+EPOCHS, BATCH, BATCH_WORDS, STEP_WORDS, PAD = 4, 64, 100_000, 200_000, max(WIDTHS) - 1
+SHORT = 1 << 15  # buckets travel as 16-bit numbers from -SHORT
 RESULTS = ("score", "predicted")
 
 
 def with_buckets(docs: DataFrame) -> DataFrame:
-    """Adds __words and __stems: the hash buckets of each word and of its first four letters."""
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    """Adds __words and __stems: the hash buckets, less SHORT, of each word and of its first four letters."""
+    bucket = lambda h: (F.pmod(h, F.lit(BUCKETS)) - SHORT).cast("short")
     split = docs.withColumn("__split", words(F.col("text")))
     return split.select(*[F.col(f"`{c}`") for c in docs.columns], F.transform("__split", lambda w: bucket(F.xxhash64(w))).alias("__words"), F.transform("__split", lambda w: bucket(F.xxhash64(F.lit(7), F.substring(w, 1, 4)))).alias("__stems"))
 
@@ -62,9 +66,47 @@ class Flat:
         w = np.full(int(ends[-1]) if len(ends) else 0, BUCKETS, np.int32)
         s = w.copy()
         w[at], s[at] = words_values, stems_values
+        w[at] += SHORT
+        s[at] += SHORT
         return Flat(w, s, starts, ends - PAD)
 
 
+@dataclass
+class Sample:
+    """Labelled texts, as 16-bit buckets of their words after one another."""
+
+    words: np.ndarray
+    stems: np.ndarray
+    offsets: np.ndarray
+    toxic: np.ndarray
+    order: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Sample:
+        """The rows in the order of doc_id; of the same doc_id, in that of their buckets."""
+        parts = [rows.column(c).combine_chunks() for c in ("__words", "__stems")]
+        words, stems = ((p if isinstance(p, pa.Array) else pa.concat_arrays(p.chunks)).flatten().to_numpy() for p in parts)
+        sizes = pa.compute.list_value_length(rows.column("__words")).to_numpy().astype(np.int64)
+        offsets = np.append(0, np.cumsum(sizes))
+        order = np.lexsort((sizes, rows.column("doc_id").to_numpy()))
+        return Sample(words, stems, offsets, rows.column("__toxic").to_numpy().astype(np.float32)[order], order)
+
+    def flat(self, rows: np.ndarray) -> Flat:
+        cut = [(self.offsets[i], self.offsets[i + 1]) for i in self.order[rows]]
+        take = lambda x: np.concatenate([x[a:b] for a, b in cut])
+        return Flat.of(take(self.words), take(self.stems), np.array([b - a for a, b in cut]))
+
+    def batches(self, rows: np.ndarray, most: int, most_words: int) -> Iterator[np.ndarray]:
+        """Consecutive rows: at most `most`, with at most `most_words` words in all where there is more than one."""
+        sizes = np.diff(self.offsets)[self.order[rows]]
+        at = 0
+        while at < len(rows):
+            fit = int(np.searchsorted(np.cumsum(sizes[at : at + most]), most_words, "right"))
+            to = at + max(1, fit)
+            yield rows[at:to]
+            at = to
+
+
 class Model:
     """Parameters and the forward pass; `fit` trains them."""
 
@@ -83,16 +125,19 @@ class Model:
         self.thresholds: dict[str | None, float] = {}
         self.words[BUCKETS] = self.stems[BUCKETS] = 0
 
-    def start_from(self, flat: Flat, toxic: np.ndarray) -> None:
+    def start_from(self, sample: Sample) -> None:
         """Set the first dimensions from how far a bucket's toxic documents exceed their expected number."""
-        doc = np.repeat(np.arange(len(toxic)), np.diff(np.append(flat.starts, len(flat.words))))
-        for table, ids, dim in ((self.words, flat.words, 0), (self.stems, flat.stems, 1)):
-            pairs = np.unique(doc.astype(np.int64) * (BUCKETS + 1) + ids)
-            bucket, own = pairs % (BUCKETS + 1), toxic[pairs // (BUCKETS + 1)]
-            n = np.bincount(bucket, minlength=BUCKETS + 1)
-            expected = n * toxic.mean()
-            z = (np.bincount(bucket, own, BUCKETS + 1) - expected) / np.sqrt(expected + 1)
-            table[:, dim] = 3 * np.tanh(z / 5)
+        for table, dim in ((self.words, 0), (self.stems, 1)):
+            n, own = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+            for rows in sample.batches(np.arange(len(sample.toxic)), len(sample.toxic), STEP_WORDS):
+                flat = sample.flat(rows)
+                doc = np.repeat(np.arange(len(rows)), np.diff(np.append(flat.starts, len(flat.words))))
+                pairs = np.unique(doc * (BUCKETS + 1) + (flat.stems if dim else flat.words))
+                bucket = pairs % (BUCKETS + 1)
+                n += np.bincount(bucket, minlength=BUCKETS + 1)
+                own += np.bincount(bucket, sample.toxic[rows][pairs // (BUCKETS + 1)], BUCKETS + 1)
+            expected = n * sample.toxic.mean()
+            table[:, dim] = 3 * np.tanh((own - expected) / np.sqrt(expected + 1) / 5)
             table[:, 1 - dim] = 0
             table[BUCKETS] = 0
 
@@ -148,11 +193,8 @@ class Model:
         self.words[BUCKETS] = self.stems[BUCKETS] = 0
 
 
-def chunks(batch: pa.RecordBatch | pa.Table, step: int = STEP_WORDS) -> Iterator[tuple[int, int, Flat]]:
-    """Consecutive rows with about `step` words in all, as (first row, last row + 1, Flat)."""
-    w, s = batch.column("__words"), batch.column("__stems")
-    if isinstance(w, pa.ChunkedArray):
-        w, s = w.combine_chunks(), s.combine_chunks()
+def chunks(w: pa.Array, s: pa.Array, step: int = STEP_WORDS) -> Iterator[Flat]:
+    """Consecutive rows of two list columns with about `step` words in all."""
     offsets = w.offsets.to_numpy().astype(np.int64)
     wv, sv = w.values.to_numpy(zero_copy_only=False), s.values.to_numpy(zero_copy_only=False)
     stem_shift = s.offsets[0].as_py() - offsets[0]
@@ -160,7 +202,7 @@ def chunks(batch: pa.RecordBatch | pa.Table, step: int = STEP_WORDS) -> Iterator
     while at < len(w):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
         a, b = offsets[at], offsets[to]
-        yield at, to, Flat.of(wv[a:b], sv[a + stem_shift : b + stem_shift], np.diff(offsets[at : to + 1]))
+        yield Flat.of(wv[a:b], sv[a + stem_shift : b + stem_shift], np.diff(offsets[at : to + 1]))
         at = to
 
 
@@ -204,7 +246,7 @@ def remainder(name: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, epochs: int = EPOCHS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, epochs: int = EPOCHS, max_words: int = MAX_WORDS) -> Model:
     """Train on bounded samples of the labelled rows outside the held-out fold, and calibrate on all of remainder 1."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumn("__fold", remainder()).filter("__fold != 0")
     tried = known.filter("__fold = 1").select("doc_id", "__toxic")
@@ -212,21 +254,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     part = lambda cond, n: known.filter(cond).limit(n)
     sample = part("__toxic = 1", max_toxic).unionAll(part("__toxic = 0", max_clean))
     # a bounded number of rows of two integers each
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id")
-    got = with_buckets(rows).select("doc_id", "__toxic", "__words", "__stems").toArrow()
-    train = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending")])).combine_chunks()
-    model = Model()
-    toxic = train.column("__toxic").to_numpy().astype(np.float32)
+    rows = with_buckets(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    # windows over the rows of the sample only
+    before = Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("__words"))
+    rows = rows.withColumn("__upto", F.sum(F.size("__words").cast("long")).over(before)).filter(F.col("__upto") <= max_words)
+    train = Sample.of(rows.select("doc_id", "__toxic", "__words", "__stems").toArrow())
+    pa.default_memory_pool().release_unused()
+    model, toxic = Model(), train.toxic
     if not len(toxic) or toxic.min() == toxic.max():
         model.constant = float(toxic.max()) if len(toxic) else 0.0
         return model
-    model.start_from(_all(train), toxic)
+    model.start_from(train)
     rng = np.random.default_rng(5)
     for epoch in range(epochs):
-        order = rng.permutation(len(toxic))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            model.step(_all(train.take(rows)), toxic[rows], 0.3 / (1 + epoch))
+        for own in train.batches(rng.permutation(len(toxic)), BATCH, BATCH_WORDS):
+            model.step(train.flat(own), toxic[own], 0.3 / (1 + epoch))
+    del train
     # scored before the join, which then moves no texts
     logits = _by_text(docs.select("doc_id", "text", "lang").filter(remainder() == 1), model, "logit", Model.logits).select("doc_id", "lang", "logit")
     bins = logits.join(tried, "doc_id").groupBy("lang", F.floor(F.col("logit") * BINS).alias("bin"))
@@ -234,10 +277,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     return model
 
 
-def _all(t: pa.Table) -> Flat:
-    return next(chunks(t, 1 << 60))[2]
-
-
 def _by_text(docs: DataFrame, model: Model, name: str, of: Callable[[Model, Flat], np.ndarray]) -> DataFrame:
     """docs with a number that the model gives each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -247,7 +286,7 @@ def _by_text(docs: DataFrame, model: Model, name: str, of: Callable[[Model, Flat
         own = shared.value
         if own.constant is not None:
             return pa.array(np.full(len(words), own.constant))
-        found = [of(own, flat).astype(np.float64) for _, _, flat in chunks(pa.RecordBatch.from_arrays([words, stems], ["__words", "__stems"]))]
+        found = [of(own, flat).astype(np.float64) for flat in chunks(words, stems)]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return with_buckets(docs).withColumn(name, run("__words", "__stems")).drop("__words", "__stems")

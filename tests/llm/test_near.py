@@ -81,6 +81,30 @@ def test_edges(spark):
     assert nd.near_dedup(df).columns == ["doc_id", "text", "class_id"]
 
 
+def test_texts_of_one_document_are_judged_apart(spark):
+    rng = random.Random(3)
+    a = [f"a{rng.randrange(10**6)}" for _ in range(60)]
+    near = [*a[:30], "changed", *a[31:]]
+    b, long = "quite another text with words of its own", " ".join(f"l{rng.randrange(10**6)}" for _ in range(200_000))
+    rows = [(1, " ".join(a)), (3, " ".join(a)), (3, b), (4, " ".join(near)), (5, b), (6, long), (7, long + " end"), (None, b)]
+    df = spark.createDataFrame([(*r, "x") for r in [*rows, (3, b)]], "doc_id long, text string, k1 string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in nd.near_dedup(df).collect()), key=str)
+    assert kept == sorted([(1, rows[0][1]), (3, b), (3, b), (6, long), (None, b)], key=str)
+    got = {(r["doc_id"], r["text_id"]): r for r in nd.near_classes(df).collect()}
+    assert got[4, 4]["link_id"] == 1 and 0.8 <= got[4, 4]["similarity"] < 1 and got[4, 4]["class_id"] == 1
+    assert got[7, 7]["link_id"] == 6 and got[3, 3]["link_id"] is None and got[5, 3]["class_id"] == 3
+
+
+def test_links_are_true_and_connect_the_classes(spark):
+    rows = fixture()
+    bags = {d: bag(t) for d, t in rows}
+    for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["link_id"] is not None:
+            assert abs(brute_jp(bags[r["text_id"]], bags[r["link_id"]]) - r["similarity"]) < 1e-9 and r["similarity"] >= 0.8
+        else:
+            assert r["text_id"] == r["class_id"]
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -103,20 +103,92 @@ def test_main_text_of_generated_pages(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+PAGES = "page_id long, url string, html string, wrapper string"
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in wr.extract_pages(spark.createDataFrame([(*r, "x") for r in rows], PAGES)).collect()}
+
+
 def test_wrapper_drops_template(spark):
     def page(i):
-        return f"<html><body><div id=top>Site name</div><div><span>Tagline of all pages</span></div>{'<div>extra</div>' * (i % 3)}<div><p>Own text {i}, first.</p><p>Own   text {i}&nbsp;&amp;c.</p></div><div>Imprint 2020</div></body></html>"
+        return f"<html><body><div id=top>Site name</div><div><span>Tagline of all pages</span></div>{'<div>extra</div>' * (i % 3)}<div><p>Own text {i}, first.</p><p>Shared lead.</p><p>Own   text {i}&nbsp;&amp;c.</p></div><div>Imprint 2020</div></body></html>"
 
-    rows = [(i, f"http://h.example/{i}", page(i), "x") for i in range(9)]
-    rows += [(20, "http://other/1", page(1), "x"), (21, None, None, "x"), (22, "x", "", "x"), (23, "http://q/", "<main><ul><li>a<li>b</ul><form>no</form>t<!-- c --><p>x<div class='comments'>no</div></main>out", "x"), (24, "http://q/", "<p>an < b <unfinished", "x")]
-    got = {r["page_id"]: r["text"] for r in wr.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string")).collect()}
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(9)]
+    rows += [(20, "http://other/1", page(1)), (21, None, None), (22, "x", ""), (23, "http://q/", "<main><ul><li>a<li>b</ul><form>no</form>t<!-- c --><p>x<div class='comments'>no</div></main>out"), (24, "http://q/", "<p>an < b <unfinished")]
+    got = texts_of(spark, rows)
     for i in range(9):
-        assert got[i].startswith("extra") == (i % 3 > 0)
-        assert got[i].endswith(f"Own text {i}, first.\n\nOwn text {i} &c.")
-        assert "Site name" not in got[i] and "Tagline" not in got[i]
+        assert got[i] == f"Own text {i}, first.\n\nShared lead.\n\nOwn text {i} &c."
     assert "Site name" in got[20]
     assert [got[i] for i in range(21, 25)] == ["", "", "a\n\nb\n\nt\n\nx", "an < b <unfinished"]
-    assert wr.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert wr.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_content_is_found_by_induction_alone(spark):
+    def page(i):  # neither article nor telling names, and neither menu, notice nor last lines are always the same
+        items = "".join(f"<div><a href=/{k}>Topic {k}</a></div>" for k in range(5 + i % 2))
+        body = "".join(f"<div>Passage {i} {j} with a number of words that only this page has.</div>" for j in range(1 + i % 7))
+        return f"<body><div>{items}</div><div>Day {i % 5}</div><section><div><h2>Headline {i}</h2>{body}<div>Shared last line.</div></div></section><div>Seen {i} times</div></body>"
+
+    got = texts_of(spark, [(i, f"http://h.example/{i}", page(i)) for i in range(60)] + [(60, "http://h.example/0", page(0))])
+    for i in range(60):
+        parts = [f"Passage {i} {j} with a number of words that only this page has." for j in range(1 + i % 7)]
+        assert got[i] == "\n\n".join([f"Headline {i}", *parts, "Shared last line."])
+    assert got[60] == got[0]
+
+
+def test_shared_text_of_an_article_stays(spark):
+    rows = [(i, f"http://h/{i}", f"<body><nav>m</nav><article><h1>Heading {i}</h1><p>Common lead paragraph.</p><p>Own paragraph {i}.</p></article><footer>f {i}</footer></body>") for i in range(5)]
+    got = texts_of(spark, rows)
+    assert got == {i: f"Heading {i}\n\nCommon lead paragraph.\n\nOwn paragraph {i}." for i in range(5)}
+
+
+def test_heading_beside_the_container_stays(spark):
+    rows = [(i, f"http://h/{i}", f"<body><div>Menu</div><h1>Heading {i}</h1><div>{'<p>Own words %d.</p>' % i * 9}</div><div>Imprint</div></body>") for i in range(5)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == "\n\n".join([f"Heading {i}", *[f"Own words {i}."] * 9]) for i in range(5))
+
+
+def test_layouts_of_a_host_have_their_own_wrappers(spark):
+    a = lambda i: f"<body><div class=x>Menu of a</div><div class=y><p>First kind {i}</p></div></body>"
+    b = lambda i: f"<body><section id=z><div><p>Second kind {i}</p></div><div>Box of b</div></section></body>"
+    got = texts_of(spark, [(i, f"http://h/{i}", (a if i % 2 else b)(i)) for i in range(40)])
+    assert got == {i: ("First kind" if i % 2 else "Second kind") + f" {i}" for i in range(40)}
+
+
+def test_deep_wide_and_long_pages(spark):
+    deep = lambda i: "<div>" * 2000 + f"<p>deep {i}</p>" + "</div>" * 2000
+    rng = random.Random(5)
+    wide = lambda i: "<body><div>menu</div><div>" + "".join(rng.choice(["<p>a</p>", "<span>b</span>", "<p>c<b>d</b></p>", f"<p>{'<i>e</i>' * rng.randint(0, 40)}</p>"]) for _ in range(10_000)) + f"<p>wide {i}</p></div></body>"
+    rows = [(i, "http://deep/", deep(i)) for i in range(20)] + [(100 + i, "http://wide/", wide(i)) for i in range(4)]
+    rows += [(200, "http://long/", "<p>" + "word " * 500_000)] + [(300 + i, "http://same/", "<p>the same page</p>") for i in range(5)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"deep {i}" for i in range(20))
+    assert all(got[100 + i].endswith(f"wide {i}") and not got[100 + i].startswith("menu") and got[100 + i].count("\n\n") > 5000 for i in range(4))
+    assert len(got[200]) == 2_499_999 and {got[300 + i] for i in range(5)} == {"the same page"}
+
+
+def test_long_lists_are_matched_in_order():
+    rng = random.Random(6)
+
+    def row(k):
+        n = wr.Node("div")
+        for t in k:
+            n.children.append(wr.Node(t))
+        return n
+
+    kinds = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    x, y = wr.Node("r"), wr.Node("r")
+    x.children = [row(k) for k in kinds]
+    y.children = [row(k) for i, k in enumerate(kinds) if i % 50] + [row("aaaaaaab")]
+    wr.shapes(x), wr.shapes(y)
+    place = {id(n): i for i, n in enumerate(y.children)}
+    pairs = [(a, b) for a, b in wr.align(x, y) if id(b) in place]
+    at = {id(n): i for i, n in enumerate(x.children)}
+    spots = [(at[id(a)], place[id(b)]) for a, b in pairs]
+    assert len(spots) > 2800 and len({i for i, _ in spots}) == len(spots)
+    ordered = [j for _, j in sorted(spots)]
+    assert ordered == sorted(ordered) and len(set(ordered)) == len(ordered)
 
 
 def test_tree_matching_is_largest():
@@ -140,8 +212,7 @@ def test_tree_matching_is_largest():
         a, b = tree(3), tree(3)
         b.tag = a.tag
         wr.shapes(a), wr.shapes(b)
-        pairs = []
-        wr.align(a, b, pairs)
+        pairs = wr.align(a, b)
         assert len(pairs) == brute(a, b) and all(x.tag == y.tag for x, y in pairs)
 
 
@@ -170,6 +241,31 @@ def test_toxicity_held_out(spark):
     assert flipped.filter("score != 1").count() == 0
 
 
+def test_forward_pass_is_that_of_plain_loops():
+    rng = np.random.default_rng(3)
+    model = tx.Model(seed=2)
+    texts = [rng.integers(0, tx.BUCKETS, n) for n in (0, 1, 2, 7, 40, 3000)]
+    stems = [rng.integers(0, tx.BUCKETS, len(t)) for t in texts]
+    got = model.logits(tx.Flat.of(*(np.concatenate(x) - tx.SHORT for x in (texts, stems)), np.array([len(t) for t in texts])))
+    for w, s, logit in zip(texts, stems, got):
+        x = [model.words[a].astype(float) + model.stems[b] for a, b in zip(w, s)] + [np.zeros(tx.DIM)] * (tx.PAD + 1)
+        want, at = float(model.shift), 0
+        for k in tx.WIDTHS:
+            for f in range(tx.FILTERS):
+                best = max(sum(float(x[i + j] @ model.filters[k][j][:, f]) for j in range(k)) for i in range(len(w) + 1))
+                want += max(best + float(model.bias[k][f]), 0) * float(model.out[at])
+                at += 1
+        assert abs(want - logit) < 1e-4
+
+
+def test_fit_sample_is_bounded_in_words(spark):
+    docs = spark.createDataFrame([(i, f"nasty{i % 2} " * (50_000 if i == 7 else 20), "en") for i in range(200)], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 1), (3, 0)], "doc_id long, toxic int")
+    model = tx.fit(docs, known, epochs=2, max_words=500)
+    got = {r["doc_id"]: r["score"] for r in tx.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(200))
+
+
 @pytest.mark.parametrize("scores", [[0.9, 0.8, 0.2, 0.1], [0.9, 0.3, 0.2, 0.1]])
 def test_threshold_stands_in_the_gap(scores):
     toxic = np.array([1.0, 1.0, 0.0, 0.0])
