@@ -21,9 +21,11 @@ J_P of their whole texts. Classes are the connected components.
 Texts with the same words are one text throughout, so copies cost a row each.
 
 Defined results: texts are compared by their lower-cased words (letters and digits); with fewer than five words, the whole
-is one shingle; texts without words (null and empty ones too) are near-duplicates of their exact copies only; rows of the
-same doc_id are one document; rows without doc_id are returned with a null class_id and kept; class_id is the least doc_id
-of the class and the row that stays; an empty table gives an empty result; other columns pass through the filter.
+is one shingle; texts without words (null and empty ones too) are near-duplicates of their exact copies only; a very long text
+is compared whole like any other; rows with one doc_id and different texts are in the classes of their texts, each by itself;
+rows that repeat doc_id and text stay or go together; rows without doc_id are returned with a null class_id and kept; class_id
+is the least doc_id of the class, and its row with the least text key among those stays; an empty table gives an empty result;
+other columns pass through the filter.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from firmgraph.llm.common import Workspace, broadcast_if_small, word_hashes
 from firmgraph.llm.graph import components
 from firmgraph.llm.shingles import mix, probability_jaccard, shingle_hashes, union_weights, weighted
 
-ROWS, BANDS, PIVOTS, FIRST_BANDS = 5, 25, 2, 5
+ROWS, BANDS, PIVOTS, FIRST_BANDS, SPLIT = 5, 25, 2, 5, 64
 REGISTERS = ROWS * BANDS
 THRESHOLD = 0.8
 STEP_WORDS = 200_000
@@ -81,11 +83,16 @@ def steps(offsets: np.ndarray, step: int = STEP_WORDS) -> Iterator[tuple[int, in
 SIGNED = "doc_id long, k1 long, k2 long, bands array<long>, sig binary"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, a 128-bit key of the words, a hash for each band, and 16 bits of each register."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a 128-bit key of the words in two halves, and the hashes of the words."""
     hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", word_hashes(F.col("text")))
     key = lambda seed: F.when(F.size("words") > 0, F.xxhash64(F.lit(seed), "words")).otherwise(F.xxhash64(F.lit(seed + 2), "text"))
-    fed = hashed.select("doc_id", key(1).alias("k1"), key(2).alias("k2"), "words")
+    return hashed.select("doc_id", key(1).alias("k1"), key(2).alias("k2"), "words")
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, the key of the words, a hash for each band, and 16 bits of each register."""
+    fed = keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1).astype(np.uint64))
@@ -128,14 +135,22 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, work: Workspace, name: str) -> DataFrame:
+def _words_of(ids: DataFrame, docs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """id, words of the texts with these ids, a row for each."""
+    wanted = work.save(texts.select("id", "first", "k1", "k2").join(broadcast_if_small(work.save(ids, f"{name}-ids"), 64), "id", "left_semi"), f"{name}-wanted")
+    wanted = broadcast_if_small(wanted, 96)
+    found = keyed(docs.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
+    own = (found.doc_id == wanted["first"]) & (found.k1 == wanted.k1) & (found.k2 == wanted.k2)
+    return found.join(wanted, own).select("id", "words").dropDuplicates(["id"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float, work: Workspace, name: str) -> DataFrame:
     """a, b, similarity of the pairs whose exact J_P over whole texts reaches the threshold."""
-    ids = work.save(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(ids, 64), "doc_id", "left_semi")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     # 31 bits a word: a shingle of five still has 155
-    bags = texts.select("doc_id", F.transform(word_hashes(F.col("text")), lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")).alias("words"))
+    bags = _words_of(ids, docs, texts, work, name).select("id", F.transform("words", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")).alias("words"))
     bags = work.save(bags, f"{name}-bags")
-    both = pairs.join(bags.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b").join(bags.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a")
+    both = pairs.join(bags.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(bags.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
 
     def bag(words: np.ndarray):
         h, doc = shingle_hashes(words, np.array([len(words)]))
@@ -156,27 +171,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, work: Workspa
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _prefixes(docs: DataFrame, ids: DataFrame, work: Workspace, threshold: float) -> DataFrame:
+def _prefixes(docs: DataFrame, texts: DataFrame, ids: DataFrame, work: Workspace, threshold: float) -> DataFrame:
     """Rows (id, h, own) by which texts with J_P of at least the threshold meet: their rarest shingles, and what `_reach` takes.
 
     Two such texts share a weight of the threshold at least, which cannot lie outside of both prefixes of one global order.
     At the first shingle that they share, what is before it is not shared. own has the share of weight before it, the number
     of distinct shingles from it on, how many shingles repeat others, and the number of all.
     """
-    texts = docs.join(broadcast_if_small(ids, 64), docs.doc_id == ids.id, "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words"))
+    bags = _words_of(ids, docs, texts, work, "dense")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("words")
             offsets = lists.offsets.to_numpy().astype(np.int64)
             values = lists.values.to_numpy(zero_copy_only=False)
-            own = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            own = batch.column("id").to_numpy()
             for at, to in steps(offsets):
                 h, doc, n = weighted(*shingle_hashes(values[offsets[at] : offsets[to]], np.diff(offsets[at : to + 1])))
                 size, kinds = np.bincount(doc, n, to - at), np.bincount(doc, minlength=to - at)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[at:to][doc], h.view(np.int64), n / size[doc], kinds[doc], size[doc])], ["id", "h", "share", "kinds", "size"])
 
-    rows = work.save(texts.mapInArrow(run, "id long, h long, share double, kinds long, size double"), "shingles")
+    rows = work.save(bags.mapInArrow(run, "id long, h long, share double, kinds long, size double"), "shingles")
     often = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = rows.join(often, "h", "left")
     order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "h")
@@ -202,9 +217,9 @@ def _reach(a: Column, b: Column, threshold: float) -> Column:
     return 1 / share(a) + 1 / share(b) <= 1 + 1 / threshold + 1e-6
 
 
-def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
-    """id, label: the components of the links between different texts(id, bands, sig)."""
-    state: dict = {"labels": None, "k": 0}
+def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """The components, id, label, of the links between different texts(id, first, k1, k2, bands, sig), and the verified links that formed them, a, b, similarity."""
+    state: dict = {"labels": None, "k": 0, "links": texts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)}
 
     def labelled(rows: DataFrame) -> DataFrame:
         if state["labels"] is None:
@@ -232,14 +247,17 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
     def round_(rows: DataFrame, n: int) -> DataFrame | None:
         """Compare the first n texts of each bucket with those of other components; the others are left, where components still differ."""
         k = state["k"] = state["k"] + 1
-        heads = rows.withColumn("rn", F.row_number().over(Window.partitionBy("h").orderBy("own", "rank", "id"))).filter(F.col("rn") <= n)
+        # the first n of each part of a bucket, then of the bucket: no task sorts a whole one
+        first = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("own", "rank", "id"))).filter(F.col("rn") <= n)
+        heads = first(first(rows.withColumn("split", F.pmod(F.xxhash64("id", F.lit(n)), F.lit(SPLIT))), "h", "split"), "h")
         heads = work.save(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("own").alias("own_a"), F.col("label").alias("la")), f"heads{k}")
         after = F.struct("own_a", "ra", "a") < F.struct("own", "rank", "id")
         met = rows.join(heads, "h").filter((F.col("la") != F.col("label")) & after & _reach(F.col("own_a"), F.col("own"), threshold))
         pairs = work.save(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), f"pairs{k}")
         alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
-        found = work.save(_verified(alike, docs, threshold, work, f"round{k}").select("a", "b").distinct(), f"links{k}")
+        found = work.save(_verified(alike, docs, texts, threshold, work, f"round{k}"), f"links{k}")
         if found.limit(1).count():
+            state["links"] = state["links"].unionAll(found)
             state["labels"] = merged(found, k)
         left = rows.select("h", "id", "own").join(heads.select("h", F.col("a").alias("id")), ["h", "id"], "left_anti")
         return mixed(left, f"left{k}")
@@ -252,33 +270,65 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
     if rows is not None:
         rows = round_(rows, pivots)
     if rows is not None:
-        rows = mixed(_prefixes(docs, work.save(rows.select("id").distinct(), "dense"), work, threshold), "rarest")
+        rows = mixed(_prefixes(docs, texts, work.save(rows.select("id").distinct(), "dense"), work, threshold), "rarest")
     while rows is not None:
         pivots *= 8
         rows = round_(rows, pivots)
     if state["labels"] is None:
-        return texts.select("id", F.col("id").alias("label")).limit(0)
-    return state["labels"]
+        return texts.select("id", F.col("id").alias("label")).limit(0), state["links"]
+    return state["labels"], state["links"]
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, class_id, text_id (the least doc_id with the same words), kept: a row for each row of docs(doc_id, text)."""
-    work = Workspace(docs.sparkSession, "near")
+def _classes(docs: DataFrame, threshold: float, pivots: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1, k2 of the rows with doc_id, and the classes of the texts: k1, k2, text_id, class_id, stays, link_id, similarity."""
     named = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     signed = work.save(signatures(named), "signed")
-    texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x"))
-    texts = work.save(texts.select("k1", "k2", "id", "x.bands", "x.sig"), "texts")
-    labels = near_links(named, texts, work, threshold, pivots)
-    classes = texts.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.col("id").alias("text_id"), F.coalesce("label", "id").alias("class_id"))
-    found = signed.select("doc_id", "k1", "k2").join(work.save(classes, "classes"), ["k1", "k2"])
-    found = found.select("doc_id", "class_id", "text_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    lost = docs.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(True).alias("kept"))
+    texts = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x"))
+    # several texts may have one doc_id, so they are numbered
+    texts = work.save(texts.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first", "x.bands", "x.sig"), "texts")
+    labels, links = near_links(named, texts, work, threshold, pivots)
+    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionAll(links.select("b", "a", "similarity"))
+    other = texts.select(F.col("id").alias("other"), F.col("first").alias("link_id"))
+    best = ends.join(other, "other").groupBy("id").agg(F.max(F.struct("similarity", (-F.col("link_id")).alias("least"))).alias("best"))
+    own = texts.select("id", "k1", "k2", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = work.save(own.join(best, "id", "left").select("k1", "k2", "first", "label", (-F.col("best.least")).alias("link_id"), "best.similarity"), "labelled")
+    tops = own.groupBy("label").agg(F.min(F.struct("first", "k1", "k2")).alias("top"))
+    stays = (F.col("top.k1") == F.col("k1")) & (F.col("top.k2") == F.col("k2"))
+    classes = own.join(tops, "label").select("k1", "k2", F.col("first").alias("text_id"), F.col("top.first").alias("class_id"), stays.alias("stays"), "link_id", "similarity")
+    return signed.select("doc_id", "k1", "k2"), work.save(classes, "classes")
+
+
+def _judged(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, ["k1", "k2"]).withColumn("kept", F.col("stays") & (F.col("doc_id") == F.col("class_id")))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> DataFrame:
+    """A row for each row of docs(doc_id, text): doc_id, class_id, text_id, kept, link_id, similarity.
+
+    text_id is the least doc_id with the same words; link_id is the text_id of another text of the class, the most similar of
+    those that this text was compared with, and similarity their J_P (null for texts that are alone).
+    """
+    work = Workspace(docs.sparkSession, "near")
+    found = _judged(*_classes(docs, threshold, pivots, work)).select("doc_id", "class_id", "text_id", "kept", "link_id", "similarity")
+    none = lambda kind: F.lit(None).cast(kind)
+    lost = docs.filter("doc_id IS NULL").select("doc_id", none("long"), none("long"), F.lit(True), none("long"), none("double"))
     return found.unionAll(lost)
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: one document of each class, with all its columns, and rows without doc_id."""
     work = Workspace(docs.sparkSession, "near-kept")
-    gone = near_classes(docs, threshold).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = work.save(gone, "gone")
-    return docs.join(broadcast_if_small(gone, 64), F.col("doc_id") == F.col("__gone"), "left_anti")
+    judged = _judged(*_classes(docs, threshold, PIVOTS, work)).filter("NOT kept").select("doc_id", "k1", "k2")
+    gone = work.save(judged.distinct(), "gone")
+    # a doc_id with a text that stays beside one that goes is told apart by its texts' keys
+    kept = _judged(*(work.spark.read.parquet(f"{work.path}/{t}") for t in ("signed", "classes"))).filter("kept").select("doc_id")
+    both = work.save(gone.join(kept, "doc_id", "left_semi"), "both")
+    whole = work.save(gone.select("doc_id").join(both.select("doc_id"), "doc_id", "left_anti").distinct().withColumnRenamed("doc_id", "__gone"), "whole")
+    left = docs.join(broadcast_if_small(whole, 64), F.col("doc_id") == F.col("__gone"), "left_anti")
+    if not both.limit(1).count():
+        return left
+    ids = both.select(F.col("doc_id").alias("__both")).distinct()
+    some = left.join(ids, F.col("doc_id") == F.col("__both"), "left_semi").select(F.struct("*").alias("__row"), "doc_id", "text")
+    key = keyed(some.select(F.struct("__row", "doc_id").alias("doc_id"), "text")).select("doc_id.*", "k1", "k2")
+    stay = key.join(both, ["doc_id", "k1", "k2"], "left_anti").select("__row.*")
+    return left.join(ids, F.col("doc_id") == F.col("__both"), "left_anti").unionAll(stay)
