@@ -58,6 +58,26 @@ GOVERNMENT_DOMAIN = r"\.lg\.jp$|\.go\.jp$|(^|\.)city\.[^.]+\.jp$|(^|\.)pref\.[^.
 ORGANIZATION_DOMAIN = r"\.(or|gr|ac|ed)\.jp$"
 JOB_BOARD_DOMAIN = r"(?i)(^|\.)(indeed\.com|rikunabi\.com|mynavi\.jp|doda\.jp|en-japan\.com|en-gage\.net|wantedly\.com|baitoru\.com|townwork\.net|hellowork\.mhlw\.go\.jp|hellowork\.go\.jp|job-medley\.com|green-japan\.com|type\.jp|workport\.co\.jp)$"
 
+#: Hosts of free mail that small companies use.
+FREE_MAIL_DOMAINS = (
+    "gmail.com", "yahoo.co.jp", "ybb.ne.jp", "outlook.com", "outlook.jp", "hotmail.com", "hotmail.co.jp", "icloud.com", "me.com", "nifty.com", "nifty.ne.jp",
+    "so-net.ne.jp", "ocn.ne.jp", "biglobe.ne.jp", "plala.or.jp", "dion.ne.jp", "auone.jp", "ezweb.ne.jp", "docomo.ne.jp", "softbank.ne.jp", "zoho.com",
+)
+
+#: How sites refuse sales contact: wording, label, how certain it is.
+REFUSALS = (
+    (r"営業(目的|関係|活動)?(の|での|による)?(メール|ご?連絡|お?問い?合わせ|お?電話|ご?案内|勧誘|売り込み)[^。\n]{0,20}?(お断り|ご遠慮|禁止|固くお断り|お受け(して)?おりません|受け付けておりません|ご遠慮ください|お控えください)", "営業目的の連絡お断り", 95),
+    (r"(セールス|売り込み|勧誘)(目的)?(の|での)?(メール|ご?連絡|お?問い?合わせ|お?電話|ご?案内)?[^。\n]{0,20}?(お断り|ご遠慮|禁止|お受け(して)?おりません|受け付けておりません|お控えください)", "セールス目的の連絡お断り", 95),
+    (r"営業(メール|電話|の?お電話|目的のお問い?合わせ|目的でのフォーム(の)?(ご)?利用|目的での(ご)?利用)[^。\n]{0,10}(は)?(固く)?(お断り|禁止|ご遠慮)", "営業連絡禁止", 95),
+    (r"(お問い?合わせ|本)フォーム[^。\n]{0,30}?(営業|セールス|売り込み|勧誘)[^。\n]{0,30}?(ご利用|使用|利用)[^。\n]{0,10}?(お断り|ご遠慮|禁止|できません|お控え)", "フォームの営業利用禁止", 92),
+    (r"(営業|セールス|売り込み|勧誘)[^。\n]{0,15}(お断り|ご遠慮|禁止)", "営業・勧誘お断り（短文）", 80),
+    (r"(業者|取引先|新規取引)[^。\n]{0,10}(の|からの|様からの)?(ご?提案|営業|売り込み)[^。\n]{0,20}(お断り|ご遠慮|受け付けておりません)", "業者からの提案お断り", 85),
+    (r"(広告|求人媒体|人材紹介|人材派遣|SEO|ホームページ制作)[^。\n]{0,10}(の)?(営業|ご?案内|ご?提案|売り込み)[^。\n]{0,15}(お断り|ご遠慮|禁止)", "特定業種の営業お断り", 88),
+    (r"(?i)(solicitation|unsolicited)[^.\n]{0,40}(not accepted|prohibited|declined|refuse)", "英語表記の営業お断り", 80),
+    (r"(営業|セールス)[^。\n]{0,10}(ご遠慮いただいております|ご遠慮願います|ご遠慮下さい)", "営業ご遠慮", 90),
+)
+REFUSED_FROM = 85
+
 #: Page kinds: name, pattern of the URL, pattern of link text and title, priority. Earlier rules win ties.
 PAGE_RULES = (
     ("recruit_new_graduate", "newgrad|new-grad|shinsotsu|fresh|graduate", "新卒|学生|20\\d\\d年?卒", 100),

@@ -76,6 +76,30 @@ def recruit_target(has_page: Column, listing: Column, employee: Column, message:
     return F.when(has_page & (depth >= 2) & (text_length >= 1200), "active_recruit").when(has_page, "weak_recruit_page").when((boards > 0) | mentioned, "no_recruit_page").otherwise("no_signal")
 
 
+def recruit_reasons(has_page: Column, pages: Column, listing: Column, employee: Column, message: Column, text_length: Column, boards: Column, mentioned: Column, read_enough: Column) -> Column:
+    """The facts behind recruit_target, in words that a person can check; boards is an array of names.
+
+    "Not read" and "nothing found" are told apart, though both are no_signal.
+    """
+    depth = F.array_compact(F.array(F.when(listing, "募集要項"), F.when(employee, "社員紹介"), F.when(message, "代表メッセージ")))
+    named = F.array_join(boards, " / ")
+    rich = (F.size(depth) >= 2) & (text_length >= 1200)
+    with_page = F.array_compact(F.array(
+        F.concat(F.lit("採用ページあり（採用関連 "), pages.cast("string"), F.lit("ページ）")),
+        F.when(F.size(depth) > 0, F.concat(F.lit("掲載あり: "), F.array_join(depth, " / "))),
+        F.when(F.size(boards) > 0, F.concat(F.lit("求人媒体: "), named)),
+        F.when(~rich & (F.size(depth) == 0), "募集要項・社員紹介・メッセージのいずれも見つからない"),
+        F.when(~rich & (text_length < 1200), F.concat(F.lit("採用ページの情報量が少ない（"), text_length.cast("string"), F.lit("字）"))),
+    ))
+    without = (
+        F.when(F.size(boards) > 0, F.concat(F.lit("公式サイトに採用ページが無い / 求人媒体を利用: "), named))
+        .when(mentioned, "公式サイトに採用ページが無いが、本文に採用・求人の記載がある")
+        .when(~read_enough, "サイトを十分に読めていないため判断できない")
+        .otherwise("採用・求人の記載が見つからない")
+    )
+    return F.when(has_page, with_page).otherwise(F.array(without))
+
+
 def token_cost(tokens_in: Column, tokens_out: Column, cache_write: Column, cache_read: Column, rate_in: Column, rate_out: Column) -> Column:
     """US dollars; null where the rate is unknown, which is not the same as free."""
     return ((tokens_in + cache_write * 1.25 + cache_read * 0.1) * rate_in + tokens_out * rate_out) / 1e6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from firmgraph.functions.dims import GENERIC_CORES, INDUSTRIES, INDUSTRY_ENDINGS, LEGAL_FORMS, PREFECTURES
+from firmgraph.functions.dims import FREE_MAIL_DOMAINS, GENERIC_CORES, INDUSTRIES, INDUSTRY_ENDINGS, LEGAL_FORMS, PREFECTURES
 
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
@@ -151,11 +151,16 @@ def redact_secrets(s: Column, limit: int = 300) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(s, r"postgres(ql)?://\S+", "***"), r"https?://\S+", "***"), 1, limit)
 
 
+#: A mail address within a letter, and a Latin word of it.
+MAIL_IN_TEXT = r"[\w.+-]+@[\w-]+\.[\w.-]{2,}"
+LATIN_WORD = "[A-Za-z][A-Za-z'-]{1,}"
+
+
 def foreign_words(s: Column, allowed: tuple[str, ...] = ()) -> Column:
-    """Distinct Latin words of a text that are not all capitals nor allowed, after taking out addresses."""
-    bare = F.regexp_replace(F.regexp_replace(s, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", " "), r"https?://\S+", " ")
+    """Distinct Latin words, with inner hyphens and apostrophes, that are not all capitals nor allowed, after taking out addresses."""
+    bare = F.regexp_replace(F.regexp_replace(s, MAIL_IN_TEXT, " "), r"https?://\S+", " ")
     known = [w.lower() for w in allowed]
-    return F.array_distinct(F.filter(F.regexp_extract_all(bare, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: (w != F.upper(w)) & ~F.lower(w).isin(known)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(bare, F.lit(LATIN_WORD), F.lit(0)), lambda w: ~w.rlike("^[A-Z0-9-]+$") & ~F.lower(w).isin(known)))
 
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -176,7 +181,7 @@ def phones(s: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, phone), lambda p: p.isNotNull() & F.regexp_replace(p, r"\D", "").rlike("^0[1-9]")))
 
 
-def company_email(found: Column, site: Column, free: tuple[str, ...] = ("gmail.com", "yahoo.co.jp", "outlook.com", "outlook.jp", "hotmail.com", "hotmail.co.jp", "icloud.com", "nifty.com")) -> Column:
+def company_email(found: Column, site: Column, free: tuple[str, ...] = FREE_MAIL_DOMAINS) -> Column:
     """The first address of the site's own domain, else the first free-mail address, else null."""
     domain = lambda e: F.substring_index(e, "@", -1)
     own = lambda e: (domain(e) == site) | F.endswith(domain(e), F.concat(F.lit("."), site)) | F.endswith(site, F.concat(F.lit("."), domain(e)))

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmgraph.functions import urls
-from firmgraph.functions.text import emails, half_width, phones
+from firmgraph.functions import dims, urls
+from firmgraph.functions.text import emails, half_width, let, phones
 
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = frozenset("script style noscript svg iframe template".split())
@@ -106,20 +106,37 @@ NETWORKS = {
 #: Words by which a page shows hiring.
 HIRING_TEXT = r"(?i)採用|求人|募集要項|社員募集|リクルート|recruit|career|新卒|中途|entry|エントリー"
 HIRING_URL = r"(?i)(recruit|career|saiyo|saiyou|job|kyujin|entry|employment)"
-#: How sites refuse sales contact, and how certain each wording is.
-REFUSALS = (
-    (r"(営業|セールス|売り込み|勧誘)(目的|関係|活動)?(の|での|による)?(メール|ご?連絡|お?問い?合わせ|お?電話|ご?案内|勧誘|売り込み)[^。\n]{0,20}?(お断り|ご遠慮|禁止|お受け(して)?おりません|受け付けておりません|お控えください)", 95),
-    (r"(お問い?合わせ|本)フォーム[^。\n]{0,30}?(営業|セールス|売り込み|勧誘)[^。\n]{0,30}?(ご利用|使用|利用)[^。\n]{0,10}?(お断り|ご遠慮|禁止|できません|お控え)", 92),
-    (r"(営業|セールス)[^。\n]{0,10}(ご遠慮いただいております|ご遠慮願います|ご遠慮下さい)", 90),
-    (r"(営業|セールス|売り込み|勧誘)[^。\n]{0,15}(お断り|ご遠慮|禁止)", 80),
-    (r"(?i)(solicitation|unsolicited)[^.\n]{0,40}(not accepted|prohibited|declined|refuse)", 80),
-)
+MOST_REFUSALS, SENTENCE, SAME_SENTENCE = 5, 300, 60
+
+
+def refusals(text: Column) -> Column:
+    """array of struct(text, pattern, confidence): the sentences that refuse sales contact, each once, the most certain first."""
+    sentence = lambda p: rf"[^。\n]*(?:{p})(?:[^。\n]*[。\n]|[^。\n]{{0,60}})"
+    cut = lambda x: F.substring(F.trim(F.regexp_replace(x, "^\\s+|\\s+$", "")), 1, SENTENCE)
+
+    def hits_of(half: Column, place: int, wording: str, label: str, confidence: int) -> Column:
+        hit = lambda x: F.struct(F.lit(-confidence).alias("less"), F.lit(place).alias("place"), cut(x).alias("text"), F.lit(label).alias("pattern"), F.lit(confidence).alias("confidence"))
+        return F.transform(F.regexp_extract_all(half, F.lit(sentence(wording)), F.lit(0)), hit)
+
+    def found(half: Column) -> Column:
+        return F.concat(*[hits_of(half, i, *x) for i, x in enumerate(dims.REFUSALS)])
+
+    def once(hits: Column) -> Column:
+        head = lambda x: F.substring(x["text"], 1, SAME_SENTENCE)
+        first = F.filter(hits, lambda x, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda y: head(y) == head(x)))
+        return F.transform(F.array_sort(F.slice(first, 1, MOST_REFUSALS)), lambda x: F.struct(x["text"].alias("text"), x["pattern"].alias("pattern"), x["confidence"].alias("confidence")))
+
+    return let(let(half_width(F.coalesce(text, F.lit(""))), found), once)
 
 
 def refusal(text: Column) -> Column:
-    """struct(text, confidence) of the most certain wording that refuses sales contact; null if there is none."""
-    half = half_width(text)
-    return F.coalesce(*[F.when(half.rlike(p), F.struct(F.regexp_extract(half, p, 0).alias("text"), F.lit(c).alias("confidence"))) for p, c in REFUSALS])
+    """struct(text, pattern, confidence) of the most certain sentence that refuses sales contact; null if there is none."""
+    return F.get(refusals(text), F.lit(0))
+
+
+def sales_contact_allowed(confidence: Column) -> Column:
+    """false where a refusal is certain enough, else unknown: no wording says that contact is welcome."""
+    return F.when(confidence >= dims.REFUSED_FROM, "false").otherwise("unknown")
 
 
 def account_link(links: Column, network: str) -> Column:
@@ -147,7 +164,7 @@ def site_summary(pages: DataFrame, site: str) -> DataFrame:
     kind = urls.classify_page(F.col("url"), F.lit(None).cast("string"), F.col("page.title"), urls.root_url(F.col("url")))["page_type"]
     rows = pages.select(site, "url", "page", kind.alias("kind"), emails(F.col("page.text")).alias("mails"), phones(F.col("page.text")).alias("numbers"), refusal(F.col("page.text")).alias("refusal"), contact_form(F.col("url"), F.col("page")).alias("form"))
     first = lambda c, when: F.min_by(c, F.when(when, F.col("url")))
-    network = {n: account_link(F.col("page.links"), n) for n in NETWORKS}
+    rows = rows.withColumns({f"link_{n}": F.nullif(account_link(F.col("page.links"), n), F.lit("")) for n in NETWORKS})
     return rows.groupBy(site).agg(
         F.count("*").alias("pages"),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
@@ -155,7 +172,7 @@ def site_summary(pages: DataFrame, site: str) -> DataFrame:
         first(F.get("mails", F.lit(0)), F.size("mails") > 0).alias("email"),
         first(F.get("numbers", F.lit(0)), F.size("numbers") > 0).alias("phone"),
         first(F.col("url"), F.col("form")).alias("contact_form"),
-        *[first(network[n], network[n].isNotNull()).alias(n) for n in NETWORKS],
-        F.when(F.max("refusal.confidence") >= 85, "false").otherwise("unknown").alias("sales_contact_allowed"),
-        F.max_by("refusal.text", "refusal.confidence").alias("refusal"),
+        *[first(F.col(f"link_{n}"), F.col(f"link_{n}").isNotNull()).alias(n) for n in NETWORKS],
+        sales_contact_allowed(F.max("refusal.confidence")).alias("sales_contact_allowed"),
+        F.min_by("refusal.text", F.when(F.col("refusal").isNotNull(), F.struct(-F.col("refusal.confidence"), F.col("url")))).alias("refusal"),
     )

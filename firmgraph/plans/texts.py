@@ -25,7 +25,8 @@ def phones_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.phones(F.col("text")).alias("phones")).filter(F.size("phones") > 0)
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda w: w <> upper(w)))) AS INTEGER) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', ' ', 'g'), 'https?://\\S+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL) d")
+@query(r"""SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]{1,}'), lambda w: NOT regexp_full_match(w, '[A-Z0-9-]+')))) AS INTEGER) AS n
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\.[0-9A-Za-z_.-]{2,}', ' ', 'g'), 'https?://\S+', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL) d""")
 def foreign_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many different Latin words a text has that are not all capitals."""
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(text.foreign_words(F.col("text"))).alias("n"))

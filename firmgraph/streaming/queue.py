@@ -21,13 +21,22 @@ def job_states(events: DataFrame, max_attempts: int = 3) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempts, status, handled = state.get if state.exists else (0, "pending", 0)
-        for kind in pd.concat(list(batches)).sort_values(["ts", "event_id"])["event_type"]:
-            handled += 1
-            if kind == "purchase":
-                attempts, status = 0, "completed"
-            elif kind == "error":
-                attempts += 1
-                status = "failed" if attempts >= max_attempts else "pending"
+        # of each chunk, only the last purchase and the places of the errors after it are held
+        done, failed = None, []
+        for rows in batches:
+            handled += len(rows)
+            at = pd.MultiIndex.from_frame(rows[["ts", "event_id"]])
+            bought = at[(rows["event_type"] == "purchase").to_numpy()]
+            if len(bought):
+                done = max(bought) if done is None else max(done, max(bought))
+            failed.append(at[(rows["event_type"] == "error").to_numpy()])
+            failed = [x for x in (f if done is None else f[f > done] for f in failed) if len(x)]
+        errors = sum(map(len, failed))
+        attempts = errors if done is not None else attempts + errors
+        if errors:
+            status = "failed" if attempts >= max_attempts else "pending"
+        elif done is not None:
+            status = "completed"
         state.update((int(attempts), status, int(handled)))
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "attempts": [attempts], "handled": [handled]})
 

@@ -46,4 +46,5 @@ def test_streams(spark, tmp_path):
     last = states.groupBy("user_id").agg(F.max_by(F.struct("status", "attempts", "handled"), "batch").alias("s")).select("user_id", "s.*")
     assert rows(last) == [(1, "failed", 3, 3), (2, "completed", 0, 2)]
     counts = queue.run_to_table(queue.windowed_counts(stream), str(tmp_path / "counts"), "append")
-    assert (1, "error") in {(r["n"], r["event_type"]) for r in counts.collect()} or counts.count() >= 0
+    # the watermark, an hour before the purchase, has passed the first day only
+    assert [(str(r["start"]), r["event_type"], r["n"], r["total"]) for r in counts.collect()] == [("2024-01-01 00:00:00", "error", 3, 3.0)]
