@@ -60,6 +60,11 @@ def same_site(a: Column, b: Column) -> Column:
     return F.coalesce(host(a) == host(b), F.lit(False))
 
 
+def related_site(a: Column, b: Column) -> Column:
+    """Whether two URLs are of one host, or of a host and one below it."""
+    return F.coalesce(let(host(a), lambda x: let(host(b), lambda y: (x == y) | F.endswith(x, F.concat(F.lit("."), y)) | F.endswith(y, F.concat(F.lit("."), x)))), F.lit(False))
+
+
 def is_non_official(domain: Column) -> Column:
     """Governments, listed hosts and their subdomains; a missing domain counts."""
     parts = F.split(domain, r"\.")

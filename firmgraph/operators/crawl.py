@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from firmgraph.functions import dims, urls
 from firmgraph.functions.text import emails, half_width, let, phones
@@ -145,10 +146,14 @@ def account_link(links: Column, network: str) -> Column:
     return F.regexp_extract(F.get(F.filter(links, lambda x: x["url"].rlike(pattern) & ~x["url"].rlike(shares)), F.lit(0))["url"], pattern, 0)
 
 
+#: Pages that name a contact but are no form to write to a company.
+NOT_FORM_URL = "(?i)(tokushoho|tokutei|ownerinformation|owner_info|privacy|policy|terms|kiyaku|sitemap|law|agreement|recruit|entry|mypage|login|cart|order)"
+
+
 def contact_form(url: Column, page: Column) -> Column:
     """Whether a page has a form to write to the company: by its URL, or by its words and fields."""
     head = F.substring(page["text"], 1, 2000)
-    bad = url.rlike("(?i)tokushoho|tokutei|ownerinformation|owner_info|privacy|policy|terms|kiyaku|sitemap|law|agreement|recruit|entry|mypage|login|cart|order") | head.rlike("特定商取引法|特商法に基づく|プライバシーポリシー|個人情報保護方針|利用規約|サイトマップ")
+    bad = url.rlike(NOT_FORM_URL) | head.rlike("特定商取引法|特商法に基づく|プライバシーポリシー|個人情報保護方針|利用規約|サイトマップ")
     named = url.rlike("(?i)contact|inquiry|toiawase|form")
     return F.coalesce(page["has_form"] & ~bad & (named | (head.rlike("お問い?合わせ|お問合せ|ご相談") & (page["has_textarea"] | (page["field_count"] >= 3)))), F.lit(False))
 
@@ -176,3 +181,41 @@ def site_summary(pages: DataFrame, site: str) -> DataFrame:
         sales_contact_allowed(F.max("refusal.confidence")).alias("sales_contact_allowed"),
         F.min_by("refusal.text", F.when(F.col("refusal").isNotNull(), F.struct(-F.col("refusal.confidence"), F.col("url")))).alias("refusal"),
     )
+
+
+def frontier(links: DataFrame, site: str, most: int) -> DataFrame:
+    """The pages that a crawl of `most` pages reads: distinct pages by priority, the shorter URL first of equal ones, with their turn.
+
+    links(site, url, link_text); the home page is the first. Kinds come from URL and link text, as titles are not known yet.
+    """
+    home = urls.root_url(F.col("url"))
+    best = links.withColumn("kind", urls.classify_page(F.col("url"), F.col("link_text"), F.lit(None).cast("string"), home)).filter(urls.is_crawlable(F.col("url")))
+    pages = best.groupBy(site, urls.canonical_key(F.col("url")).alias("key")).agg(F.min(F.struct((-F.col("kind.priority")).alias("less"), F.length("url").alias("letters"), "url")).alias("top"))
+    turn = F.row_number().over(Window.partitionBy(site).orderBy("top"))
+    return pages.withColumn("turn", turn).filter(F.col("turn") <= most).select(site, "turn", "top.url", (-F.col("top.less")).alias("priority"))
+
+
+def digital_signals(summary: DataFrame, site: str) -> DataFrame:
+    """What a site offers, out of site_summary with the hiring signal of recruiting_signal."""
+    there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    return summary.select(site, (F.col("recruit_pages") > 0).alias("has_recruit_page"), there("contact_form").alias("has_contact_form"), there("email").alias("has_public_email"), sum((there(n).cast("int") for n in NETWORKS), F.lit(0)).alias("networks"), "signal")
+
+
+def company_patch(companies: DataFrame, sites: DataFrame, id: str) -> DataFrame:
+    """New values of companies whose site was crawled.
+
+    What the site shows replaces what is known; a known phone and a manual verification stay, a known address is kept if none
+    is found, and a refusal of contact, once known, stays one.
+    """
+    c = F.col
+    rows = companies.join(sites.select(id, *[c(x).alias(f"new_{x}") for x in ("website_url", "email", "phone", "contact_form", "refused")]), id)
+    return rows.select(
+        id,
+        c("new_website_url").alias("website_url"),
+        F.when(c("verification_status") == "manual", "manual").otherwise("verified").alias("verification_status"),
+        F.coalesce("new_email", "email").alias("email"),
+        F.coalesce("phone", "new_phone").alias("phone"),
+        c("new_contact_form").alias("contact_form"),
+        F.when(F.coalesce("new_refused", F.lit(False)) | (c("sales_contact_allowed") == "false"), "false").otherwise("unknown").alias("sales_contact_allowed"),
+        F.lit("crawled").alias("crawl_status"),
+    )

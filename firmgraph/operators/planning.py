@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,3 +33,31 @@ def next_batch(plan: DataFrame, done: DataFrame, cost: str, budget: float) -> Da
     rest = plan.join(done.select("id"), "id", "left_anti").crossJoin(used)
     running = F.col("used") + F.sum(cost).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     return rest.withColumn("running", running).filter(F.col("running") <= budget).drop("running", "used")
+
+
+def scaled_budget(budget: dict[str, int], requested: int) -> dict[str, int]:
+    """A run's limits for a number of wanted companies: several candidates and checks for each, within the given limits."""
+    wanted = {"provider_requests": max(12, math.ceil(requested * 0.8)), "candidates": max(40, requested * 4), "verification_requests": max(40, requested * 12)}
+    return {**budget, **{k: min(budget[k], n) for k, n in wanted.items()}}
+
+
+def phase(runs: DataFrame, overshoot: int = 4) -> DataFrame:
+    """The next phase of runs(run_id, requested, found, planned, executed, waiting, verified, promoted) and, when done, how they ended."""
+    c = F.col
+    enough = c("found") >= c("requested") * overshoot
+    now = F.when(~enough & (c("executed") < c("planned")), "discovering").when(c("waiting") > 0, "verifying").when(c("promoted") < F.least("verified", "requested"), "promoting").otherwise("done")
+    return runs.withColumn("phase", now).withColumn("status", F.when(c("phase") == "done", F.when(c("promoted") >= c("requested"), "completed").otherwise("partially_completed")).otherwise("running"))
+
+
+def provider_stats(queries: DataFrame, results: DataFrame, budget: float) -> DataFrame:
+    """By provider: requests made within the budget, failed ones, results, and how many of them are new.
+
+    queries(seq, id, provider, cost, failed) run in order until the budget is used up; results(id, key) are new where no
+    earlier query that ran has found the key. A failed query costs, but stops nothing.
+    """
+    cost = F.sum("cost").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))  # a plan of a run, small by its budget
+    ran = queries.withColumn("upto", cost).filter(F.col("upto") <= budget)
+    first = results.join(ran.filter("NOT failed").select("id", "seq"), "id").groupBy("key").agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("fresh"))
+    found = results.groupBy("id").agg(F.countDistinct("key").alias("n"))
+    rows = ran.join(found, "id", "left").join(first, "seq", "left").withColumns({"n": F.when(F.col("failed"), 0).otherwise(F.coalesce("n", F.lit(0))), "fresh": F.coalesce("fresh", F.lit(0))})
+    return rows.groupBy("provider").agg(F.count("*").alias("requests"), F.count_if("failed").alias("failed"), F.sum("n").alias("results"), F.sum("fresh").alias("new"), (F.sum("n") - F.sum("fresh")).alias("duplicates"))

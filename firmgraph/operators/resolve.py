@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from firmgraph.functions.text import similarity
+from firmgraph.functions.text import names_related, similarity
 
 
 def keep_first(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -92,6 +92,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def reconcile(rows: DataFrame, id: str, order: list) -> DataFrame:
+    """id, group of candidates(id, corporate_number, domain, normalized_name) that are one company after all, with the reason.
+
+    Candidates meet by number, and by domain where their numbers do not differ and their names are related; each is compared
+    with the first (by order) that has its number or domain, so a frequent domain costs a row each. Groups are components.
+    """
+    link = lambda key: rows.filter(F.col(key).isNotNull()).join(keep_first(rows.filter(F.col(key).isNotNull()), [key], order).select(key, F.col(id).alias("a"), F.col("corporate_number").alias("other_number") if key != "corporate_number" else F.lit(None).alias("other_number"), F.col("normalized_name").alias("other_name")), key).filter(F.col("a") != F.col(id))
+    by_number = link("corporate_number").select("a", F.col(id).alias("b"), F.lit("corporate_number").alias("reason"))
+    same = F.col("corporate_number").isNull() | F.col("other_number").isNull() | (F.col("corporate_number") == F.col("other_number"))
+    by_domain = link("domain").filter(same & names_related(F.col("other_name"), F.col("normalized_name"))).select("a", F.col(id).alias("b"), F.lit("domain").alias("reason"))
+    edges = by_number.unionAll(by_domain)
+    reasons = edges.groupBy(F.col("b").alias("id")).agg(F.min("reason").alias("reason"))
+    return connected_components(edges).select("id", F.col("label").alias("group")).join(reasons, "id", "left")
+
+
+def register(companies: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The incoming(id, corporate_number, domain, normalized_name, address_key) as registered: id, company_id, reason, status.
+
+    A row is a duplicate of the company with its number, else its domain, else its name and address. Of the others, those that
+    share such a key, directly or through others, become one new company under the least id.
+    """
+    keyed = lambda df: df.withColumn("name_address", F.when(F.col("address_key").isNotNull(), F.concat_ws("|", "normalized_name", "address_key")))
+    keys = ["corporate_number", "domain", "name_address"]
+    why = F.element_at(F.array(*map(F.lit, keys)), F.col("prio"))
+    old = first_match(keyed(incoming), keyed(companies), keys, "id", "company_id", veto="corporate_number").select("id", "company_id", why.alias("reason"))
+    fresh = keyed(incoming).join(old, "id", "left_anti")
+    first = lambda k: fresh.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias("first"))
+    links = reduce(DataFrame.unionAll, [fresh.join(first(k), k).filter("first < id").select("id", "first", F.lit(i).alias("prio"), F.lit(k).alias("reason")) for i, k in enumerate(keys)])
+    groups = connected_components(links.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    reasons = keep_first(links, ["id"], ["prio"]).select("id", "reason")
+    new = fresh.select("id").join(groups, "id", "left").join(reasons, "id", "left").select("id", F.coalesce("label", "id").alias("company_id"), "reason")
+    out = old.unionAll(new)
+    return out.withColumn("status", F.when(F.col("reason").isNull(), "new").otherwise("duplicate"))
+
+
 def greedy_resolution(rows: DataFrame, block: list[str], order: list[str], keys: list[str], veto: str) -> DataFrame:
     """rows with entity: an order-dependent fold within each block.
 

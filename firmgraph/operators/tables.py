@@ -31,6 +31,12 @@ def update_where(table: DataFrame, condition: Column, **values: Column) -> DataF
     return table.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in values.items()})
 
 
+def update_stamped(table: DataFrame, condition: Column, stamp: str, now: Column, **values: Column) -> DataFrame:
+    """update_where that also sets a stamp, in those rows of which a value really changes."""
+    changed = reduce(lambda a, b: a | b, [~F.col(name).eqNullSafe(value) for name, value in values.items()])
+    return update_where(table, condition & changed, **values, **{stamp: now})
+
+
 def retract(table: DataFrame, condition: Column, columns: Iterable[str]) -> DataFrame:
     """Nulls in the columns where the condition holds."""
     types = dict(table.dtypes)
