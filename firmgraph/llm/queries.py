@@ -98,12 +98,39 @@ FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY c
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scanned = license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 returns of the base's phrases, which SQL can express."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+#: A phrase stands where its words, in a text joined by single spaces with one before and after, are found.
+ORACLES["license_base"] = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT phrase, label, string_split(phrase, ' ') AS k FROM (VALUES ('gnu general public license', 'gpl'), ('apache license', 'apache'), ('cc by', 'cc-by'), ('mit license', 'mit')) v(phrase, label)),
+c AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE list_has_any(w, ['license', 'cc'])),
+h AS (SELECT rid, i - 1 AS i, label FROM c JOIN p ON w[i] = k[1] AND w[i : i + len(k) - 1] = k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(i) AS n_base, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN h USING (rid) GROUP BY rid, doc_id, w
+"""
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, op10_lm_scores)})
+ORACLES["op10_lm_scores"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+p AS (SELECT rid, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT rid, c, lag(c) OVER r AS b, lag(c, 2) OVER r AS a FROM p WINDOW r AS (PARTITION BY rid ORDER BY i)),
+g1 AS (SELECT c AS x, count(*) AS n FROM q GROUP BY 1), g2 AS (SELECT b AS x, c AS y, count(*) AS n FROM q WHERE b IS NOT NULL GROUP BY 1, 2), g3 AS (SELECT a AS x, b AS y, c AS z, count(*) AS n FROM q WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT rid, sum(CASE WHEN a IS NOT NULL THEN ln(g3.n) - ln(ab.n) WHEN b IS NOT NULL THEN ln(bc.n) - ln(g1b.n) ELSE ln(g1c.n) - ln((SELECT count(*) FROM p)) END) AS logs
+  FROM q LEFT JOIN g3 ON a = g3.x AND b = g3.y AND c = g3.z LEFT JOIN g2 ab ON a = ab.x AND b = ab.y LEFT JOIN g2 bc ON b = bc.x AND c = bc.y LEFT JOIN g1 g1b ON b = g1b.x LEFT JOIN g1 g1c ON c = g1c.x GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(logs, 0), 6) AS log_score, round(logs / nullif(len(w), 0), 6) AS mean_log FROM d LEFT JOIN s USING (rid)
+"""
+
+
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores)})

@@ -8,7 +8,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from firmgraph.llm.exact_dedup import exact_dedup, fingerprint, group_report
-from firmgraph.llm.license_scan import BASE, license_scan
+from firmgraph.llm import license_scan as ls
+from firmgraph.llm.license_scan import BASE, OWN, license_scan
 
 SCHEMA = "doc_id long, text string, hits string, name int"
 
@@ -99,3 +100,60 @@ def test_licence_score_and_own_labels(spark):
     got = license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert got[0]["score"] == 1.0 > got[1]["score"] > got[3]["score"] == 0.0
     assert got[2]["labels"] == "bsd-text" and got[2]["base_labels"] == ""
+
+
+def split(text):
+    return re.findall(ls.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_labels(texts):
+    """Labels and scores of all texts, by plain loops."""
+    import math
+
+    files = [split(t) for t in texts]
+    vocabulary = ls.template_words(BASE + OWN)
+    idf = {w: math.log((len(files) + 1) / (sum(w in f for f in files) + 1)) for w in vocabulary}
+    out = []
+    for f in files:
+        labels, best = set(), 0.0
+        for t in BASE + OWN:
+            key, body = t.key.split(), t.words
+            rare = [w for w in sorted(set(body), key=lambda w: (-idf[w], w)) if w in f][: ls.RARE]
+            near = lambda s, q, slack: any(0 <= s - t.lead + q + d < len(f) and f[s - t.lead + q + d] == body[q] for d in range(-slack, slack + 1))  # noqa: B023, E731
+            for s in range(len(f) - len(key) + 1):
+                if f[s : s + len(key)] != key:
+                    continue
+                votes = sum(body[q] in rare and near(s, q, ls.SLACK) for q in range(len(body)))
+                total = sum(idf[w] + 0.01 for w in body)
+                share = sum(idf[w] + 0.01 for q, w in enumerate(body) if near(s, q, ls.SLACK if t.whole else 0)) / total
+                if not t.whole or votes >= min(ls.VOTES, len(body)) and share >= ls.LEAST_SHARE:
+                    labels.add(t.label)
+                    best = max(best, share)
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", "prose of no licence"]
+    for t in [t for t in OWN if t.whole]:
+        w = t.words
+        texts.append(" ".join(w))
+        for changed in (1, 5, len(w) // 2):
+            x = list(w)
+            for _ in range(changed):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice([["altered"], [], ["two", "words"]])
+            texts.append("Before it. " + ", ".join(x).upper() + " after " * 40)
+    texts += [" ".join(rng.sample(ls.template_words(BASE + OWN), 40)) + " MIT License, CC BY-NC" for _ in range(20)] + ["the of and " * 60_000 + texts[3]]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"]).orderBy("doc_id").collect()
+    want = brute_labels(texts)
+    assert [r["labels"] for r in got] == [x for x, _ in want]
+    assert all(abs(r["score"] - y) < 1e-5 for r, (_, y) in zip(got, want))
+
+
+def test_altered_word_of_a_licence_is_tolerated(spark):
+    mit = next(t for t in OWN if t.label == "mit-text" and t.whole).words
+    texts = [" ".join([*mit[:at], "altered", *mit[at + 1 :]]) for at in (12, 40, 90)]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["labels"] for r in got] == ["mit-text"] * 3
