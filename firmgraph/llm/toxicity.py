@@ -9,8 +9,8 @@ Labels come only from rows whose crc32 of the doc_id (as text) is not 0 modulo 5
 are mapped to probabilities, and each language gets the threshold with the best F1. A score depends on the text alone.
 
 Documented bounds: the network is fitted on at most MAX_TOXIC toxic and MAX_CLEAN clean rows, the first by a hash of the
-doc_id, and of these on the first whole texts with at most MAX_WORDS words of each label in all, so that the driver's memory
-is bounded. All labelled rows of remainder 1 calibrate: their logits are counted by language in bins of 1 / BINS, and a
+doc_id, and of these on the first whole texts with at most MAX_WORDS words of each label in all (as much in each of PARTS parts
+of the sample), so that the driver's memory is bounded. All labelled rows of remainder 1 calibrate: their logits are counted by language in bins of 1 / BINS, and a
 threshold lies between bins. A language (or null) with fewer than LEAST toxic or LEAST clean rows among all of them gets 0.5.
 Scoring reads all rows and whole texts, in steps of about STEP_WORDS words.
 
@@ -36,7 +36,7 @@ from firmgraph.llm.common import words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
 MAX_TOXIC, MAX_CLEAN, MAX_WORDS = 2500, 4000, 2_000_000
-BINS, LEAST = 256, 10
+BINS, LEAST, PARTS = 256, 10, 32
 EPOCHS, BATCH, BATCH_WORDS, STEP_WORDS, PAD = 4, 64, 100_000, 200_000, max(WIDTHS) - 1
 SHORT = 1 << 15  # buckets travel as 16-bit numbers from -SHORT
 RESULTS = ("score", "predicted")
@@ -255,9 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     sample = part("__toxic = 1", max_toxic).unionAll(part("__toxic = 0", max_clean))
     # a bounded number of rows of two integers each
     rows = with_buckets(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    # windows over the rows of the sample only
-    before = Window.partitionBy("__toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("__words"))
-    rows = rows.withColumn("__upto", F.sum(F.size("__words").cast("long")).over(before)).filter(F.col("__upto") <= max_words)
+    # windows over parts of the sample
+    before = Window.partitionBy("__toxic", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(PARTS))).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("__words"))
+    rows = rows.withColumn("__upto", F.sum(F.size("__words").cast("long")).over(before)).filter(F.col("__upto") <= max_words // PARTS)
     train = Sample.of(rows.select("doc_id", "__toxic", "__words", "__stems").toArrow())
     pa.default_memory_pool().release_unused()
     model, toxic = Model(), train.toxic

@@ -261,7 +261,7 @@ def test_forward_pass_is_that_of_plain_loops():
 def test_fit_sample_is_bounded_in_words(spark):
     docs = spark.createDataFrame([(i, f"nasty{i % 2} " * (50_000 if i == 7 else 20), "en") for i in range(200)], "doc_id long, text string, lang string")
     known = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 1), (3, 0)], "doc_id long, toxic int")
-    model = tx.fit(docs, known, epochs=2, max_words=500)
+    model = tx.fit(docs, known, epochs=2, max_words=2000)
     got = {r["doc_id"]: r["score"] for r in tx.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(200))
 
