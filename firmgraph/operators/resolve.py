@@ -43,12 +43,33 @@ def first_match(incoming: DataFrame, known: DataFrame, keys: list[str], id: str,
     return keep_first(reduce(DataFrame.unionAll, found), [id], ["prio", known_id])
 
 
-def fuzzy_pairs(rows: DataFrame, block: list[str], id: str, name: str, least: float) -> DataFrame:
-    """a, b, distance of rows of one block whose names are similar. Equal names meet once, through their lengths' bands."""
-    left = rows.select(*block, F.col(id).alias("a"), F.col(name).alias("na"), F.explode(F.sequence(F.length(name) - 4, F.length(name) + 4)).alias("size"))
-    right = rows.select(*block, F.col(id).alias("b"), F.col(name).alias("nb"), F.length(name).alias("size"))
-    pairs = left.join(right, [*block, "size"]).filter((F.col("a") < F.col("b")) & (similarity(F.col("na"), F.col("nb")) >= least))
-    return pairs.select("a", "b", F.levenshtein("na", "nb").alias("distance"))
+def fuzzy_pairs(rows: DataFrame, block: list[str], id: str, name: str, least: float, spread: int = 4) -> DataFrame:
+    """a, b, distance of rows of one block whose names are similar and at most `spread` letters apart in length.
+
+    No two names of a block are compared for being in it only. Names of lengths l <= m that are similar differ in at most
+    d = (1 - least) * m edits; of d + 1 parts of the shorter one, at least one stands unchanged in the longer one, moved by d
+    letters at most. So the parts of each name, as the shorter one, are joined with the pieces of each, as the longer one.
+    """
+    edits = lambda m: F.floor(F.lit(1 - least + 1e-9) * m).cast("int")
+    # of l letters in k parts, the first letter and the number of letters of part i; the last parts are the longer ones
+    start = lambda i, l, k: i * F.floor(l / k).cast("int") + F.greatest(i - (k - l % k), F.lit(0)) + 1  # noqa: E731, E741
+    own = rows.filter(F.col(name).isNotNull() & (F.length(name) > 0)).select(*block, F.col(id).alias("id"), F.col(name).alias("name"), F.length(name).alias("len"))
+
+    def parts(l: Column, m: Column) -> Column:  # noqa: E741
+        k = F.least(edits(m) + 1, l)
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(i.alias("i"), start(i, l, k).alias("p"), (start(i + 1, l, k) - start(i, l, k)).alias("n")))
+
+    short = own.withColumn("m", F.explode(F.sequence(F.col("len"), F.col("len") + spread))).withColumn("x", F.explode(parts(F.col("len"), F.col("m"))))
+    # a name with fewer letters than edits has no part that must stay
+    free = F.col("len") <= edits(F.col("m"))
+    short = short.select(*block, F.col("id").alias("a"), F.col("name").alias("na"), F.col("len").alias("l"), "m", F.when(free, -1).otherwise(F.col("x.i")).alias("i"), F.when(free, "").otherwise(F.substring(F.col("name"), F.col("x.p"), F.col("x.n"))).alias("piece")).distinct()
+    long = own.withColumn("l", F.explode(F.sequence(F.greatest(F.col("len") - spread, F.lit(1)), F.col("len")))).withColumn("x", F.explode(parts(F.col("l"), F.col("len"))))
+    d, last = edits(F.col("len")), F.col("len") - F.col("x.n") + 1
+    long = long.withColumn("at", F.explode(F.sequence(F.greatest(F.col("x.p") - d, F.lit(1)), F.greatest(F.least(F.col("x.p") + d, last), F.greatest(F.col("x.p") - d, F.lit(1))))))
+    free = F.col("l") <= d
+    long = long.select(*block, F.col("id").alias("b"), F.col("name").alias("nb"), "l", F.col("len").alias("m"), F.when(free, -1).otherwise(F.col("x.i")).alias("i"), F.when(free, "").otherwise(F.substring(F.col("name"), F.col("at"), F.col("x.n"))).alias("piece")).distinct()
+    met = short.join(long, [*block, "l", "m", "i", "piece"]).filter((F.col("a") != F.col("b")) & (similarity(F.col("na"), F.col("nb")) >= least))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.levenshtein("na", "nb").alias("distance")).distinct()
 
 
 def merge_by_priority(rows: DataFrame, keys: list[str], fields: list[str], source: str, trust: dict[str, int], then: list[Column], default: int = 1) -> DataFrame:
@@ -73,7 +94,11 @@ def shared_folder(spark) -> str:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id, label: the least vertex of the component of each vertex of edges(a, b), by least labels and pointer jumps."""
+    """id, label: the least vertex of the component of each vertex of edges(a, b).
+
+    Each round takes the least label of the neighbours and then the label of that label, so that rounds grow with the
+    logarithm of the longest path. Labels and edges stay in tables; the driver sees only whether one has changed.
+    """
     spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
 
     def saved(df: DataFrame, name: str) -> DataFrame:
@@ -83,10 +108,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = saved(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels0")
     for i in range(1, 200):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = saved(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), f"step{i}")
-        root = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        labels = saved(step.join(root, "label").select("id", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")), f"labels{i}")
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # the label of a label, as it was before this round
+        root = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))
+        moved = step.join(root, "label").select("id", F.least("label", "root").alias("label"), "old")
+        labels = saved(moved.select("id", "label", (F.col("label") != F.col("old")).alias("moved")), f"labels{i}")
         if not labels.filter("moved").limit(1).count():
             return labels.select("id", "label")
     raise RuntimeError("components did not settle")

@@ -55,3 +55,36 @@ def test_documents_with_several_addresses_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["emails_extracted"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["emails"] for r in got} == {0: ["b@firm.co", "a@firm.co"], 1: ["c@firm.co"]}
+
+
+def test_fuzzy_pairs_match_brute_force(spark):
+    import random
+
+    from firmgraph.operators.resolve import fuzzy_pairs
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row, old = [i + 1], row
+            for j, y in enumerate(b):
+                row.append(min(old[j + 1] + 1, row[j] + 1, old[j] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    for w in list(names[:60]):
+        x = list(w)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        names.append("".join(x))
+    rows = [(i, i % 2, n) for i, n in enumerate(names)] + [(999, 0, None)]
+    df = spark.createDataFrame(rows, "id int, block int, name string")
+    for least in (0.6, 0.85):
+        got = {(r["a"], r["b"]): r["distance"] for r in fuzzy_pairs(df, ["block"], "id", "name", least).collect()}
+        want = {}
+        for i, p, x in rows:
+            for j, q, y in rows:
+                if i < j and p == q and x and y and abs(len(x) - len(y)) <= 4 and 1 - distance(x, y) / max(len(x), len(y)) >= least - 1e-12:
+                    want[i, j] = distance(x, y)
+        assert got == want
