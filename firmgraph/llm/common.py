@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters and digits of the lower-cased text, wherever words are compared.
 WORD = r"[\p{L}\p{N}]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +34,13 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write a table; the shuffle files that made it go at once, not when the driver happens to collect its garbage."""
+        path, kept = f"{self.path}/{name}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, kept)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

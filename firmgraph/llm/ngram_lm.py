@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from firmgraph.llm.common import Workspace, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-SLICES, HEAVY, SAMPLE, LEAST = 3, 1 << 16, 64, 32
+SLICES, HEAVY, SAMPLE, LEAST = 4, 1 << 16, 64, 32
 
 
 def told(docs: DataFrame, work: Workspace) -> DataFrame:
