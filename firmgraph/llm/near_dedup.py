@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from firmgraph.llm.common import Workspace, broadcast_if_small, word_hashes
-from firmgraph.llm.graph import components
 from firmgraph.llm.shingles import mix, probability_jaccard, shingle_hashes, union_weights, weighted
+from firmgraph.operators.resolve import connected_components
 
 ROWS, BANDS, PIVOTS, FIRST_BANDS, SPLIT = 5, 25, 2, 5, 64
 REGISTERS = ROWS * BANDS
@@ -231,7 +231,7 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
         """Labels after new links: the components of the components that the links join."""
         ends = work.save(labelled(found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()), f"ends{k}")
         side = lambda c: ends.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-        joined = components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), work, f"components{k}")
+        joined = connected_components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
         known = ends if state["labels"] is None else state["labels"].unionAll(ends.join(state["labels"], "id", "left_anti"))
         roots = joined.select(F.col("id").alias("label"), F.col("label").alias("root"))
         return work.save(known.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")), f"labels{k}")
@@ -256,6 +256,8 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
         pairs = work.save(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), f"pairs{k}")
         alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
         found = work.save(_verified(alike, docs, texts, threshold, work, f"round{k}"), f"links{k}")
+        for done in (f"pairs{k}", f"alike{k}", f"round{k}-ids", f"round{k}-wanted", f"round{k}-bags"):
+            work.drop(done)
         if found.limit(1).count():
             state["links"] = state["links"].unionAll(found)
             state["labels"] = merged(found, k)

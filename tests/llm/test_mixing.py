@@ -66,3 +66,73 @@ def test_budgets_are_realised_in_passes(spark):
 def test_empty(spark):
     assert mx.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mx.mix(spark.createDataFrame([(1, "a", None, "x")], SCHEMA)).count() == 0
+
+
+def brute_mix(docs, hashes, places, target, most, block_tokens, found):
+    """doc_id, epoch of every use, by plain bisection and plain loops; hashes by doc_id, and places by (source, block, pass), as the operator has them.
+
+    The operator's exponent must be as near to the bisected one as its sections are; it then gives the budgets, as a token more or less may decide on a document.
+    """
+    own = Counter()
+    for _, source, text in docs:
+        own[source] += len((text or "").split())
+    own = {s: n for s, n in own.items() if n}
+    total = sum(own.values())
+    mixed = lambda x: {s: (n / total) ** x / sum((m / total) ** x for m in own.values()) for s, n in own.items()}
+    repeats = lambda x: max(q * total / own[s] for s, q in mixed(x).items())
+    x = 1.0
+    if entropy(mixed(1.0).values()) < target * math.log(len(own)):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if entropy(mixed(mid).values()) >= target * math.log(len(own)) else (low, mid)
+        x = low
+    if repeats(x) > most:
+        low, high = x, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if repeats(mid) > most else (low, mid)
+        x = high
+    assert abs(x - found) < 1e-6
+    x = found
+    out = []
+    for source, n in own.items():
+        budget = math.floor(round(mixed(x)[source] * total, 6))
+        passes, rest = divmod(budget, n)
+        blocks = defaultdict(list)
+        for d, s, text in docs:
+            if s == source:
+                blocks[hashes[d] % -(-n // block_tokens)].append((hashes[d], d, len((text or "").split())))
+                out += [(d, e) for e in range(passes)]
+        for _, block in sorted((places[source, b, passes], b) for b in blocks):
+            size = sum(t for *_, t in blocks[block])
+            if rest <= 0:
+                break
+            used = 0
+            for _, d, t in sorted(blocks[block]):
+                used += t
+                if size <= rest or used <= rest:
+                    out.append((d, passes))
+            rest -= size
+    return sorted(out)
+
+
+def test_uses_match_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    docs = [r[:3] for r in rows()] + [(1000, "big", "tok " * 3000), (1001, "mid", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    hashes = {r["doc_id"]: r["__h"] for r in mx._sized(df, mx.SEED).collect()}
+    keys = [(s, b, p) for s in ("big", "mid", "small", None) for b in range(200) for p in range(8)]
+    asked = spark.createDataFrame([(i, mx_key(s), b, p) for i, (s, b, p) in enumerate(keys)], "i int, k string, b long, p long")
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(mx.SEED), "k", "b", "p"), 11)
+    places = {keys[r["i"]]: r["v"] for r in asked.select("i", place.alias("v")).collect()}
+    for target, most in ((0.97, 6.0), (1.0, 2.0), (0.5, 4.0)):
+        got = mx.mix(df.repartition(3), target_entropy=target, max_repeats=most, block_tokens=100).collect()
+        totals = mx._sized(df, mx.SEED).groupBy("__key").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+        found = mx.find_exponent(totals, float(totals.agg(F.sum("tokens")).first()[0]), target, most)
+        assert sorted((r["doc_id"], r["epoch"]) for r in got) == brute_mix(docs, hashes, places, target, most, 100, found)
+
+
+def mx_key(source):
+    return "n" if source is None else f"s{source}"
