@@ -2,6 +2,14 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the docs of the next. All but the last return the columns of documents.
+
+Defined results: a null text counts as empty throughout. Empty texts have the toxicity score of a text without words, are
+copies of each other, of which the largest doc_id stays, hold no benchmark item, and are mixed like others of their source,
+with no tokens. Rows without doc_id pass near dedup and decontamination by their text; of equal texts one with a doc_id stays.
+Rows that repeat doc_id and text stay or go together until the mix, which uses them together. Of equally good rows the choice
+is told by each operator (largest doc_id of equal texts, least doc_id of near-copies). A very long text is read whole by every
+stage. Columns that clash with a result of the mix are replaced there, other further columns pass through. Empty tables give
+an empty result; without labels nothing is rejected as toxic, without a benchmark nothing as contaminated.
 """
 
 from __future__ import annotations
