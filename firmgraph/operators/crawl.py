@@ -16,9 +16,8 @@ from firmgraph.functions.text import emails, half_width, let, phones
 
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = frozenset("script style noscript svg iframe template".split())
-PAGE = "title string, description string, text string, links array<struct<url: string, text: string>>, has_form boolean, has_textarea boolean, field_count int"
-
-PAGE_FIELDS = ["title", "description", "text", "links", "has_form", "has_textarea", "field_count"]
+PAGE_KINDS = ("title: string", "description: string", "text: string", "links: array<struct<url: string, text: string>>", "has_form: boolean", "has_textarea: boolean", "field_count: int")
+PAGE_FIELDS = [f.split(":")[0] for f in PAGE_KINDS]
 
 
 class _Page(HTMLParser):
@@ -85,12 +84,17 @@ def read_page(html: str | None, base: str | None, most: int | None) -> dict:
     return {"title": None if p.title is None else " ".join(p.title.split()), "description": p.description, "text": text[:most], "links": p.links, "has_form": p.forms > 0, "has_textarea": p.areas > 0, "field_count": p.fields}
 
 
-def page_features(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """pages(url, html) with page(title, text, links, form fields). most: letters of text that a store keeps, if it has a limit."""
+def page_features(pages: DataFrame, most: int | None = None, parts: tuple[str, ...] = tuple(PAGE_FIELDS)) -> DataFrame:
+    """pages(url, html) with page(title, text, links, form fields), or those parts of it that are asked for: only they leave Python.
+
+    most: letters of text that a store keeps, if it has a limit.
+    """
+    kinds = dict(f.split(": ", 1) for f in PAGE_KINDS)
+    schema = ", ".join(f"{p} {kinds[p]}" for p in parts)
 
-    @F.pandas_udf(PAGE)
+    @F.pandas_udf(schema)
     def read(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_page(h, u, most) for h, u in zip(html, url)], columns=PAGE_FIELDS)
+        return pd.DataFrame([{p: page[p] for p in parts} for page in (read_page(h, u, most) for h, u in zip(html, url))], columns=list(parts))
 
     return pages.withColumn("page", read("html", "url"))
 

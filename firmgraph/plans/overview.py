@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from firmgraph.functions.scoring import rank_from_score, weighted_score
 from firmgraph.plans.registry import query, table
@@ -18,14 +17,9 @@ SCORE_PARTS = (("f_balance", 0.3, False), ("f_price", 0.2, False), ("f_recent",
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with its newest order (if any), 0-100 sub-scores, score and rank."""
-    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    latest = (
-        table(spark, sf_dir, "orders")
-        .select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-        .withColumn("rn", F.row_number().over(newest))
-        .filter("rn = 1")
-        .drop("rn")
-    )
+    # a maximum combines on the map side, where a window would sort all orders
+    newest = F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")).alias("newest")
+    latest = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(newest).select("o_custkey", "newest.*")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = (
         table(spark, sf_dir, "customer")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from firmgraph.functions import urls
-from firmgraph.operators.crawl import page_features, recruiting_signal, site_summary
-from firmgraph.operators.resolve import keep_first
+from firmgraph.functions import dims, urls
+from firmgraph.operators.crawl import HIRING_TEXT, HIRING_URL, page_features, recruiting_signal, site_summary
+from firmgraph.operators.planning import shards
 from firmgraph.plans.registry import query, table
+from firmgraph.sources.registry import first_per_host
 
 PARTS_SQL = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS head, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS qs FROM pages),
 n AS (SELECT *, array_to_string(list_filter(string_split(qs, '&'), lambda p: p <> '' AND regexp_extract(p, '^([^=]*)', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid')), '&') AS kept FROM u),
@@ -72,7 +73,8 @@ def per_type_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PARTS_SQL} SELECT host, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM hosted GROUP BY host")
 def first_hit_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first search hit of each host."""
-    return keep_first(_pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), "page_id", "url"), ["host"], ["page_id"])
+    hits = _pages(spark, sf_dir).select("page_id", "url", F.col("page_id").alias("rank"))
+    return first_per_host(hits, urls.host(F.col("url")), F.lit(True)).select("host", "page_id", "url")
 
 
 @query("""SELECT n_name, r, seq FROM (SELECT n_name, n_regionkey AS r, row_number() OVER (ORDER BY rn, n_regionkey) - 1 AS seq FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) t) s""")
@@ -86,30 +88,43 @@ def round_robin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT r_name, n_name, shard FROM (SELECT r_name, n_name, row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS shard FROM region, nation) s WHERE shard < 12""")
 def shard_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search shards: each city with each kind, row by row, up to the number that a plan takes. (Two fixed dimensions of 5 and 25 rows.)"""
-    pairs = table(spark, sf_dir, "region").crossJoin(table(spark, sf_dir, "nation"))
-    shard = F.row_number().over(Window.orderBy("r_regionkey", "n_nationkey")) - 1
-    return pairs.withColumn("shard", shard.cast("bigint")).filter("shard < 12").select("r_name", "n_name", "shard")
+    cities = table(spark, sf_dir, "region").select(F.col("r_name").alias("city"), F.col("r_regionkey").alias("city_ord"))
+    kinds = table(spark, sf_dir, "nation").select(F.col("n_name").alias("kind"), F.col("n_nationkey").alias("kind_ord"))
+    return shards(cities, kinds, 12).select(F.col("city").alias("r_name"), F.col("kind").alias("n_name"), F.col("shard").cast("bigint").alias("shard"))
 
 
 @query(r"""SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links, contains(html, '<form') AS has_form, length(html) AS html_chars FROM pages""")
 def html_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, links, forms and length of pages, from the parsed HTML."""
-    found = page_features(table(spark, sf_dir, "pages"))
+    found = page_features(table(spark, sf_dir, "pages"), parts=("title", "links", "has_form"))
     return found.select("page_id", F.col("page.title").alias("title"), F.size("page.links").alias("links"), F.col("page.has_form").alias("has_form"), F.length("html").cast("bigint").alias("html_chars"))
 
 
-@query()
+def _kinds_sql() -> str:
+    """The rules for kinds of pages as SQL: the highest priority, ten more if URL and title match, the earlier rule of equal ones."""
+    text = lambda p: "'" + p.replace("'", "''") + "'"
+    hit = [(f"regexp_matches(url, {text('(?i)' + u)})", f"regexp_matches(title, {text(t)})", p) for _, u, t, p in dims.PAGE_RULES]
+    ranks = ", ".join(f"CASE WHEN {u} OR {t} THEN ({p} + CASE WHEN {u} AND {t} THEN 10 ELSE 0 END) * 100 + {99 - i} END" for i, (u, t, p) in enumerate(hit))
+    names = " ".join(f"WHEN {99 - i} THEN '{kind}'" for i, (kind, *_) in enumerate(dims.PAGE_RULES))
+    return rf"""SELECT page_id, CASE WHEN top THEN 'top' ELSE CASE best % 100 {names} ELSE 'other' END END AS page_type, CASE WHEN top THEN 110 ELSE CAST(floor(best / 100) AS INTEGER) END AS priority FROM (
+  SELECT page_id, regexp_matches(regexp_replace(path, '/+$', ''), '(?i)^$|^/(index|home|top)(\.html?|\.php)?$') AS top, coalesce(greatest({ranks}), 1000) AS best FROM titled) b"""
+
+
+@query(rf"""WITH {PARTS_SQL}, titled AS (SELECT h.page_id, h.url, h.path, trim(regexp_replace(replace(regexp_extract(p.html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM hosted h JOIN pages p USING (page_id))
+{_kinds_sql()}""")
 def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and crawl priority of each page."""
-    found = page_features(table(spark, sf_dir, "pages"))
+    found = page_features(table(spark, sf_dir, "pages"), parts=("title",))
     kind = urls.classify_page(F.col("url"), F.lit(None).cast("string"), F.col("page.title"), urls.root_url(F.col("url")))
     return found.select("page_id", kind.alias("kind")).select("page_id", "kind.page_type", "kind.priority")
 
 
-@query()
+@query(rf"""WITH {PARTS_SQL}, read AS (SELECT host, h.url, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body,
+  array_to_string(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), '|') AS links FROM hosted h JOIN pages p USING (page_id))
+SELECT host, CASE WHEN bool_or(regexp_matches(url, '{HIRING_URL}') OR regexp_matches(body, '{HIRING_TEXT}') OR regexp_matches(links, '{HIRING_TEXT}')) THEN 'yes' WHEN bool_or(length(body) > 200) THEN 'no' ELSE 'unknown' END AS signal FROM read GROUP BY host""")
 def recruit_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By host, whether its pages show hiring."""
-    found = page_features(table(spark, sf_dir, "pages")).withColumn("host", urls.host(F.col("url")))
+    found = page_features(table(spark, sf_dir, "pages"), parts=("text", "links")).withColumn("host", urls.host(F.col("url")))
     return recruiting_signal(found, "host")
 
 

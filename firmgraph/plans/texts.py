@@ -19,7 +19,10 @@ def emails_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.size("emails") > 0)
 
 
-@query()
+@query(rf"""SELECT doc_id, phones FROM (SELECT doc_id, list_filter(found, lambda x, i: list_position(found, x) = i) AS phones FROM (SELECT doc_id, list_filter(list_transform(
+  regexp_extract_all(translate(text, '{text.WIDE}', '{text.NARROW.replace("'", "''")}'), '0\d{{1,4}}[-‐−ー－(（]?\d{{1,4}}[-‐−ー－)）]?\d{{3,4}}'),
+  lambda m: CASE WHEN length(regexp_replace(m, '\D', '', 'g')) BETWEEN 10 AND 11 THEN CASE WHEN regexp_matches(m, '[ー−‐―—－-]') THEN regexp_replace(regexp_replace(m, '[()（）\s]', '', 'g'), '[ー−‐―—－]', '-', 'g') ELSE regexp_replace(m, '\D', '', 'g') END END),
+  lambda p: p IS NOT NULL AND regexp_matches(regexp_replace(p, '\D', '', 'g'), '^0[1-9]')) AS found FROM documents WHERE text IS NOT NULL) f) g WHERE len(phones) > 0""")
 def phones_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domestic phone numbers in documents."""
     return table(spark, sf_dir, "documents").select("doc_id", text.phones(F.col("text")).alias("phones")).filter(F.size("phones") > 0)
