@@ -240,7 +240,8 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
         """The rows of buckets that have more than one component, with labels; None if there are none."""
         rows = labelled(rows)
         good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.struct(F.min("own.before").alias("before"), F.max("own.left").alias("left"), F.max("own.repeats").alias("repeats"), F.min("own.size").alias("size")).alias("best")).filter("mixed").select("h", "best")
-        rows = rows.join(good, "h").filter(_reach(F.col("best"), F.col("own"), threshold)).drop("best")
+        # buckets that are still mixed are few: the rows need not meet them by a shuffle in which a dense bucket is one task
+        rows = rows.join(broadcast_if_small(work.save(good, f"{name}-buckets"), 96), "h").filter(_reach(F.col("best"), F.col("own"), threshold)).drop("best")
         rows = work.save(rows.withColumn("rank", F.xxhash64("id")), name)
         return rows if rows.limit(1).count() else None
 
