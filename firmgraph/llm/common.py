@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A word is a run of letters and digits of the lower-cased text, wherever words are compared.
 WORD = r"[\p{L}\p{N}]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +34,20 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table; the shuffle files that made it go at once, not when the driver happens to collect its garbage."""
-        path, kept = f"{self.path}/{name}", self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+    def save(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Write a table; the shuffle files that made it go at once, not when the driver happens to collect its garbage.
+
+        batch: rows of an Arrow batch meanwhile, for rows that are large.
+        """
+        path, meant = f"{self.path}/{name}", {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+        kept = {k: self.spark.conf.get(k, d) for k, d in ((CLEANUP, "false"), (BATCH, "10000")) if k in meant}
+        for k, v in meant.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, kept)
+            for k, v in kept.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -15,6 +15,7 @@ from firmgraph.llm import toxicity
 from firmgraph.llm.decontaminate import contaminated
 from firmgraph.llm.mixing import mix
 from firmgraph.llm.near_dedup import near_classes
+from firmgraph.llm.mtree import top_k
 from firmgraph.llm.ngram_lm import score_documents
 from firmgraph.llm.wrapper import extract_pages
 from firmgraph.llm.warc import archive_pages
@@ -133,4 +134,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(logs, 0), 6) AS
 """
 
 
-QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores)})
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_top_k"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_sum(list_transform(range(1, len(e.x) + 1), lambda i: q.x[i] * e.x[i])) AS BIGINT) AS score
+  FROM e JOIN e q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores, op11_top_k)})
