@@ -17,6 +17,7 @@ from firmgraph.llm.mixing import mix
 from firmgraph.llm.near_dedup import near_classes
 from firmgraph.llm.mtree import top_k
 from firmgraph.llm.ngram_lm import score_documents
+from firmgraph.llm.whitening import whiten
 from firmgraph.llm.wrapper import extract_pages
 from firmgraph.llm.warc import archive_pages
 
@@ -148,4 +149,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores, op11_top_k)})
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 returns of the whole numbers, which SQL can express."""
+    return op13_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
+ORACLES["whitening_base"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM e), n AS (SELECT count(*) AS n FROM f),
+m AS (SELECT list(s ORDER BY i) AS s FROM (SELECT i, sum(c) AS s FROM (SELECT unnest(x) AS c, generate_subscripts(x, 1) AS i FROM f) GROUP BY i))
+SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM e, n, m
+"""
+
+
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores, op11_top_k, op13_whitening, whitening_base)})
