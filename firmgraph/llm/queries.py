@@ -17,6 +17,7 @@ from firmgraph.llm.mixing import mix
 from firmgraph.llm.near_dedup import near_classes
 from firmgraph.llm.mtree import top_k
 from firmgraph.llm.ngram_lm import score_documents
+from firmgraph.llm.tput import ranked
 from firmgraph.llm.whitening import whiten
 from firmgraph.llm.wrapper import extract_pages
 from firmgraph.llm.warc import archive_pages
@@ -149,6 +150,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+n AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w)) AS words FROM d),
+q AS (SELECT iid, item_id, unnest(w) AS t FROM i),
+p AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS t FROM d) x WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words))))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t), n GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -167,4 +186,4 @@ SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (
 """
 
 
-QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores, op11_top_k, op13_whitening, whitening_base)})
+QUERIES.update({f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_exact_dedup, op5_decontaminate, op6_html_text, op7_chat_format, op8_warc, op9_license_scan, license_base, op10_lm_scores, op11_top_k, op12_ranked_search, op13_whitening, whitening_base)})
