@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from firmgraph.functions import dims, urls
-from firmgraph.functions.text import emails, half_width, let, phones
+from firmgraph.functions.sentences import refusals, surest
+from firmgraph.functions.text import EMAIL, company_email, emails, phones
 
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = frozenset("script style noscript svg iframe template".split())
@@ -111,32 +112,11 @@ NETWORKS = {
 #: Words by which a page shows hiring.
 HIRING_TEXT = r"(?i)採用|求人|募集要項|社員募集|リクルート|recruit|career|新卒|中途|entry|エントリー"
 HIRING_URL = r"(?i)(recruit|career|saiyo|saiyou|job|kyujin|entry|employment)"
-MOST_REFUSALS, SENTENCE, SAME_SENTENCE = 5, 300, 60
-
-
-def refusals(text: Column) -> Column:
-    """array of struct(text, pattern, confidence): the sentences that refuse sales contact, each once, the most certain first."""
-    sentence = lambda p: rf"[^。\n]*(?:{p})(?:[^。\n]*[。\n]|[^。\n]{{0,60}})"
-    cut = lambda x: F.substring(F.trim(F.regexp_replace(x, "^\\s+|\\s+$", "")), 1, SENTENCE)
-
-    def hits_of(half: Column, place: int, wording: str, label: str, confidence: int) -> Column:
-        hit = lambda x: F.struct(F.lit(-confidence).alias("less"), F.lit(place).alias("place"), cut(x).alias("text"), F.lit(label).alias("pattern"), F.lit(confidence).alias("confidence"))
-        return F.transform(F.regexp_extract_all(half, F.lit(sentence(wording)), F.lit(0)), hit)
-
-    def found(half: Column) -> Column:
-        return F.concat(*[hits_of(half, i, *x) for i, x in enumerate(dims.REFUSALS)])
-
-    def once(hits: Column) -> Column:
-        head = lambda x: F.substring(x["text"], 1, SAME_SENTENCE)
-        first = F.filter(hits, lambda x, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda y: head(y) == head(x)))
-        return F.transform(F.array_sort(F.slice(first, 1, MOST_REFUSALS)), lambda x: F.struct(x["text"].alias("text"), x["pattern"].alias("pattern"), x["confidence"].alias("confidence")))
-
-    return let(let(half_width(F.coalesce(text, F.lit(""))), found), once)
 
 
 def refusal(text: Column) -> Column:
     """struct(text, pattern, confidence) of the most certain sentence that refuses sales contact; null if there is none."""
-    return F.get(refusals(text), F.lit(0))
+    return surest(refusals(text))
 
 
 def sales_contact_allowed(confidence: Column) -> Column:
@@ -168,23 +148,52 @@ def recruiting_signal(pages: DataFrame, site: str) -> DataFrame:
     return pages.groupBy(site).agg(F.when(F.bool_or(shown), "yes").when(F.bool_or(F.length("page.text") > 200), "no").otherwise("unknown").alias("signal"))
 
 
-def site_summary(pages: DataFrame, site: str) -> DataFrame:
-    """A row for each site: pages, kinds, contacts, networks, refusal; of equal candidates, those of the first page by URL."""
+def mailto(links: Column) -> Column:
+    """The addresses of mail links, lower-cased, without parameters; those that are no addresses are left out."""
+    shown = F.transform(F.filter(links, lambda x: F.lower(x["url"]).startswith("mailto:")), lambda x: F.lower(F.trim(F.url_decode(F.regexp_extract(x["url"], "(?i)^mailto:([^?]*)", 1)))))
+    return F.filter(shown, lambda e: e.rlike(f"^{EMAIL}$"))
+
+
+def first_of_site(c: Column, when: Column, order: list[str]) -> Column:
+    """The value of the first page, by `order`, where it counts."""
+    return F.min_by(c, F.when(when, F.struct(*order)))
+
+
+def site_summary(pages: DataFrame, site: str, order: list[str] | None = None) -> DataFrame:
+    """A row for each site: pages, kinds, the sets of all its pages' addresses and numbers, and the first of its pages that has each thing.
+
+    Pages are in the order of `order` (else of their URL). Sets are united page by page before the shuffle, so a site of many pages
+    moves what it shows, not its pages. email is the address that is the company's own.
+    """
+    order = order or ["url"]
     kind = urls.classify_page(F.col("url"), F.lit(None).cast("string"), F.col("page.title"), urls.root_url(F.col("url")))["page_type"]
-    rows = pages.select(site, "url", "page", kind.alias("kind"), emails(F.col("page.text")).alias("mails"), phones(F.col("page.text")).alias("numbers"), refusal(F.col("page.text")).alias("refusal"), contact_form(F.col("url"), F.col("page")).alias("form"))
-    first = lambda c, when: F.min_by(c, F.when(when, F.col("url")))
-    rows = rows.withColumns({f"link_{n}": F.nullif(account_link(F.col("page.links"), n), F.lit("")) for n in NETWORKS})
-    return rows.groupBy(site).agg(
+    mails = F.array_distinct(F.concat(emails(F.col("page.text")), mailto(F.col("page.links"))))
+    rows = pages.select(site, *dict.fromkeys(["url", *order]), "page", kind.alias("kind"), mails.alias("mails"), phones(F.col("page.text")).alias("numbers"), refusal(F.col("page.text")).alias("refusal"), contact_form(F.col("url"), F.col("page")).alias("form"))
+    hires = F.col("kind").startswith("recruit") | (F.col("kind") == "job_listing")
+    links = {n: F.nullif(account_link(F.col("page.links"), n), F.lit("")) for n in NETWORKS}
+    rows = rows.withColumns({f"link_{n}": x for n, x in links.items()}).drop("page")
+    first = lambda c, when: first_of_site(c, when, order)
+    told = rows.groupBy(site).agg(
         F.count("*").alias("pages"),
         F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.count_if(F.col("kind").startswith("recruit") | (F.col("kind") == "job_listing")).alias("recruit_pages"),
-        first(F.get("mails", F.lit(0)), F.size("mails") > 0).alias("email"),
-        first(F.get("numbers", F.lit(0)), F.size("numbers") > 0).alias("phone"),
+        F.count_if(hires).alias("recruit_pages"),
+        first(F.col("url"), F.col("kind") == "contact").alias("contact_page"),
+        first(F.col("url"), hires).alias("recruit_page"),
         first(F.col("url"), F.col("form")).alias("contact_form"),
         *[first(F.col(f"link_{n}"), F.col(f"link_{n}").isNotNull()).alias(n) for n in NETWORKS],
         sales_contact_allowed(F.max("refusal.confidence")).alias("sales_contact_allowed"),
-        F.min_by("refusal.text", F.when(F.col("refusal").isNotNull(), F.struct(-F.col("refusal.confidence"), F.col("url")))).alias("refusal"),
+        F.min_by("refusal.text", F.when(F.col("refusal").isNotNull(), F.struct((-F.col("refusal.confidence")).alias("less"), *order))).alias("refusal"),
     )
+    # united as rows: a set of each site's distinct values, in the order in which they first occur
+    def united(column: str, name: str) -> DataFrame:
+        each = rows.select(site, F.struct(*order).alias("page_at"), F.posexplode(column).alias("i", "v"))
+        firsts = each.groupBy(site, "v").agg(F.min(F.struct("page_at", "i")).alias("at"))
+        return firsts.groupBy(site).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(name))
+
+    none = F.array().cast("array<string>")
+    out = told.join(united("mails", "emails"), site, "left").join(united("numbers", "phones"), site, "left")
+    out = out.withColumns({"emails": F.coalesce("emails", none), "phones": F.coalesce("phones", none)})
+    return out.withColumns({"email": company_email(F.col("emails"), F.col(site)), "phone": F.get("phones", F.lit(0))})
 
 
 def frontier(links: DataFrame, site: str, most: int) -> DataFrame:

@@ -128,8 +128,41 @@ def recruit_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recruiting_signal(found, "host")
 
 
-@query()
+#: Text of the given pages, whose content is one article, without markup; and the addresses and numbers in it as the library takes them.
+BODY_SQL = r"""read AS (SELECT h.page_id, host, h.url, h.path, html, replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS body,
+  trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM hosted h JOIN pages p USING (page_id))"""
+MAILS_SQL = r"list_filter(list_transform(regexp_extract_all(body, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'), lambda e: regexp_replace(lower(e), '^[._-]+', '')), lambda e: NOT regexp_matches(e, '\.(png|jpe?g|gif|svg|webp|css|js)$|^(example|sample|test|xxx|your|name|user|mail|email|info@example)|@(example|sample|test)\.|@\d+\.\d+') AND length(e) <= 100)"
+
+
+@query(rf"""WITH {PARTS_SQL}, {BODY_SQL}, titled AS (SELECT * FROM read), kinds AS ({_kinds_sql()}),
+m AS (SELECT host, mail, min(row(page_id, i)) AS seen FROM (SELECT host, page_id, unnest(mails) AS mail, generate_subscripts(mails, 1) AS i FROM (SELECT host, page_id, {MAILS_SQL} AS mails FROM read) a) b GROUP BY host, mail),
+mu AS (SELECT host, list(mail ORDER BY seen) AS emails FROM m GROUP BY host)
+SELECT host, count(*) AS pages, list_sort(list(DISTINCT page_type)) AS kinds, count(*) FILTER (WHERE page_type LIKE 'recruit%' OR page_type = 'job_listing') AS recruit_pages,
+  arg_min(url, page_id) FILTER (WHERE page_type = 'contact') AS contact_page, arg_min(url, page_id) FILTER (WHERE page_type LIKE 'recruit%' OR page_type = 'job_listing') AS recruit_page,
+  coalesce(first(emails), CAST([] AS VARCHAR[])) AS emails, CASE WHEN bool_or(regexp_matches(body, '営業|セールス|売り込み|勧誘|業者|solicitation')) THEN 'false' ELSE 'unknown' END AS sales_contact_allowed
+FROM read JOIN kinds USING (page_id) LEFT JOIN mu USING (host) GROUP BY host""".replace("\'\'\'\'", "''''"))
 def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By host, what its pages give: contacts, networks, refusals, kinds of pages."""
-    found = page_features(table(spark, sf_dir, "pages")).withColumn("host", urls.host(F.col("url")))
-    return site_summary(found, "host")
+    """By host, what its pages give: kinds of pages, contacts, refusals. (No given page has a telephone number or an account link; `site_contacts` has some.)"""
+    found = page_features(table(spark, sf_dir, "pages"), parts=("title", "text", "links", "has_form", "has_textarea", "field_count")).withColumn("host", urls.host(F.col("url")))
+    told = site_summary(found, "host", ["page_id"])
+    return told.select("host", "pages", "kinds", "recruit_pages", "contact_page", "recruit_page", "emails", "sales_contact_allowed")
+
+
+#: What site_contacts writes into the given pages, by page_id.
+PLANTED = "CASE page_id % 11 WHEN 1 THEN 'TEL 06-1234-' || lpad(CAST(page_id % 37 AS STRING), 4, '0') WHEN 2 THEN '営業メールはお断りしております。' WHEN 3 THEN 'Mail: Desk' || (page_id % 5) || '@firm' || (page_id % 3) || '.co.jp, logo@2x.png' WHEN 4 THEN '営業はご遠慮ください' ELSE '' END"
+LINKED = "CASE page_id % 13 WHEN 1 THEN 'https://www.instagram.com/shop' || (page_id % 7) WHEN 2 THEN 'mailto:Sales@firm' || (page_id % 4) || '.co.jp?subject=x' WHEN 3 THEN 'https://x.com/share?u=1' ELSE '/about' END"
+PLANT_SQL = PLANTED.replace("STRING", "VARCHAR")
+
+
+@query(rf"""WITH {PARTS_SQL}, {BODY_SQL}, p AS (SELECT page_id, host, body || ' ' || {PLANT_SQL} AS body, {LINKED} AS l FROM read), a AS (SELECT host, page_id, {MAILS_SQL} AS mails FROM p),
+e AS (SELECT host, page_id, generate_subscripts(mails, 1) AS i, unnest(mails) AS v FROM a UNION ALL SELECT host, page_id, 100000, lower(regexp_extract(l, 'mailto:([^?]*)', 1)) FROM p WHERE page_id % 13 = 2),
+nums AS (SELECT host, page_id, generate_subscripts(found, 1) AS i, unnest(found) AS v FROM (SELECT host, page_id, list_filter(regexp_extract_all(body, '0\d{{1,4}}-?\d{{1,4}}-?\d{{3,4}}'), lambda x: regexp_matches(replace(x, '-', ''), '^0[1-9]\d{{8,9}}$')) AS found FROM p) f),
+eu AS (SELECT host, list(v ORDER BY seen) AS emails FROM (SELECT host, v, min(row(page_id, i)) AS seen FROM e GROUP BY ALL) GROUP BY host), nu AS (SELECT host, list(v ORDER BY seen) AS phones FROM (SELECT host, v, min(row(page_id, i)) AS seen FROM nums GROUP BY ALL) GROUP BY host)
+SELECT host, coalesce(first(emails), CAST([] AS VARCHAR[])) AS emails, coalesce(first(phones), CAST([] AS VARCHAR[])) AS phones, arg_min(l, page_id) FILTER (WHERE page_id % 13 = 1) AS instagram,
+  CASE WHEN bool_or(page_id % 11 = 2) THEN 'false' ELSE 'unknown' END AS sales_contact_allowed, coalesce(max(CASE WHEN page_id % 11 = 2 THEN '営業メールはお断りしております。' END), max(CASE WHEN page_id % 11 = 4 THEN '営業はご遠慮ください' END)) AS refusal
+FROM p LEFT JOIN eu USING (host) LEFT JOIN nu USING (host) GROUP BY host""")
+def site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By host, the sets of addresses and numbers of all its pages, the first account and the surest refusal; the pages have some written in by page_id."""
+    given = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit("<article><p>"), F.expr(PLANTED), F.lit('</p><a href="'), F.expr(LINKED), F.lit('">more</a></article>')))
+    told = site_summary(page_features(given).withColumn("host", urls.host(F.col("url"))), "host", ["page_id"])
+    return told.select("host", "emails", "phones", "instagram", "sales_contact_allowed", "refusal")

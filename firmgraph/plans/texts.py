@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from firmgraph.functions import text
 from firmgraph.functions.scoring import analysis_priority, range_of, rank_from_score, verification, weighted_score
+from firmgraph.functions import dims
+from firmgraph.functions.sentences import mentions, refusals, sentence_table, sentences, surest
+from firmgraph.operators.crawl import HIRING_TEXT, sales_contact_allowed
 from firmgraph.plans.registry import query, table
 
 
@@ -132,3 +135,50 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a keyword in the name or as the identifier; wildcards in it have no meaning."""
     keyword = "42%".replace("%", " ").replace("_", " ").strip().lower()
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").filter(F.lower("c_name").contains(keyword) | (F.col("c_custkey") == int(keyword)))
+
+
+def _refusals_sql() -> str:
+    """The rules of refusals as SQL over a column s of sentences: the first rule that a sentence meets."""
+    rules = " ".join(f"WHEN regexp_matches(s, '{p}') THEN {i}" for i, (p, _, _) in enumerate(dims.REFUSALS))
+    return f"CASE {rules} END"
+
+
+#: Wordings that are written into the given texts, by doc_id: one that refuses, one that does not, between sentences or on one long line.
+PLANTED = ("営業メールはお断りしております。", "業者の皆様からのご提案は固くお断りします。", "営業時間は九時からです。", "人材紹介のご案内はご遠慮ください。", "本フォームの営業でのご利用はご遠慮ください。", "売り込みの電話は禁止")
+SAID = "text || CASE doc_id % 4 WHEN 0 THEN chr(10) ELSE ' ' END || CASE doc_id % 7 {} ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '。ほか' ELSE '' END".format(" ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PLANTED)))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {SAID} AS text FROM documents), c AS (SELECT doc_id, regexp_extract_all(text, '[^。
+]+[。
+]?|[。
+]') AS parts FROM t),
+r AS (SELECT doc_id, k, s, {_refusals_sql()} AS rule FROM (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM c) x),
+f AS (SELECT doc_id, arg_min(s, row(rule, k)) AS s, min(rule) AS rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(n AS INTEGER) AS n, substr(trim(regexp_replace(s, '^\s+|\s+$', '', 'g')), 1, 300) AS sentence, CAST([{", ".join(str(x[2]) for x in dims.REFUSALS)}][rule + 1] AS INTEGER) AS confidence, CASE WHEN [{", ".join(str(x[2]) for x in dims.REFUSALS)}][rule + 1] >= 85 THEN 'false' ELSE 'unknown' END AS allowed FROM f""")
+def refused_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that refuse sales contact in whole texts, into which wordings are written by doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SAID).alias("text"))
+    found = docs.withColumn("found", refusals(F.col("text"))).filter("size(found) > 0").withColumn("first", surest(F.col("found")))
+    return found.select("doc_id", F.size("found").alias("n"), F.col("first.text").alias("sentence"), F.col("first.confidence").alias("confidence"), sales_contact_allowed(F.col("first.confidence")).alias("allowed"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '[^。
+]+[。
+]?|[。
+]') AS parts FROM documents),
+r AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM c)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS at, CAST(coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(s) AS BIGINT) AS letters FROM r""")
+def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of the texts, with its place."""
+    return sentence_table(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "at", "start", F.length("sentence").cast("bigint").alias("letters"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '[^。
+]+[。
+]?|[。
+]') AS parts FROM documents)
+SELECT doc_id, list_transform(list_filter(parts, lambda s: regexp_matches(s, '(?i)recruit|career|entry')), lambda s: trim(s, chr(10) || ' ' || chr(9) || chr(13))) AS said FROM c WHERE len(list_filter(parts, lambda s: regexp_matches(s, '(?i)recruit|career|entry'))) > 0""")
+def hiring_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the texts that speak of hiring."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", mentions(sentences(F.col("text")), HIRING_TEXT).alias("said"))
+    return docs.filter("size(said) > 0")
