@@ -69,7 +69,7 @@ def test_defined_results(spark):
     assert got(spark, [], items, 5) == [] and got(spark, docs, [], 5) == [] and got(spark, [(1, None)], items, 5) == []
     d = spark.createDataFrame([(1, "a b", 7, "t")], "doc_id int, text string, score int, term string")
     i = spark.createDataFrame([(9, "b", 3)], "item_id int, text string, doc_id int")
-    assert [r["item_id"] for r in tput.ranked(d, i).collect()] == [] and tput.ranked(d, i).columns == ["item_id", "rank", "doc_id", "score"]
+    assert [tuple(r) for r in tput.ranked(d, i).collect()] == [(9, 1, 1, 287 * (10**9 // 3000))]
 
 
 def test_lists_are_cut_by_the_threshold(spark):
