@@ -14,8 +14,8 @@ Hits of an item become intervals of starts that are merged before any window is
 not with words times hits. What the radius can lose are windows of at least the threshold that differ in more bits; README has the measured share.
 
 The index is built for blocks of at most ITEMS_PER_BLOCK items and about WORDS_PER_BLOCK words (a longer item has more); a
-larger benchmark is used in several blocks, each against all documents. So a block's size is bounded in items and words, and
-it is sent to every task.
+larger benchmark is used in several blocks, one after the other, each against all documents (in `decontaminate`, against those that are left). A block's size is
+bounded in items and words, and a task holds one block's index at a time.
 
 Defined results: texts are compared by their lower-cased words (letters and digits); null and empty texts and items match
 nothing; a document shorter than an item is one window; very long texts and items are windows like others; equal items are all
@@ -26,13 +26,14 @@ columns make no difference, as every row is looked at alone; of empty tables not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmgraph.llm.common import word_hashes
+from firmgraph.llm.common import Workspace, word_hashes
 from firmgraph.llm.shingles import SHINGLE, mix, shingle_hashes, weighted
 
 RADIUS, BLOCKS, THRESHOLD = 17, 6, 0.8
@@ -238,19 +239,24 @@ def matches(text: Column, index: Index, spark, threshold: float = THRESHOLD) ->
     return look(word_hashes(text))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and the fields of a match, for each document and item that it holds."""
-    found = None
-    for index in item_blocks(benchmark):
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, **blocks: int) -> DataFrame:
+    """doc_id and the fields of a match, for each document and item that it holds. What a block finds is saved before the next one is sent out."""
+    work, found = Workspace(docs.sparkSession, "contaminated"), []
+    for i, index in enumerate(item_blocks(benchmark, **blocks)):
         one = docs.select("doc_id", F.explode(matches(F.col("text"), index, docs.sparkSession, threshold)).alias("m")).select("doc_id", "m.*")
-        found = one if found is None else found.unionAll(one)
-    if found is None:
-        found = docs.select("doc_id", F.explode(F.lit(None).cast(MATCHES)).alias("m")).select("doc_id", "m.*")
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no item."""
-    for index in item_blocks(benchmark):
+        found.append(work.save(one, f"block-{i}"))
+    if not found:
+        found.append(docs.select("doc_id", F.explode(F.lit(None).cast(MATCHES)).alias("m")).select("doc_id", "m.*"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, **blocks: int) -> DataFrame:
+    """The rows of docs that hold no item. What a block leaves is saved before the next one: a task has one index, and looks up no row that an earlier block has rejected."""
+    work, before = Workspace(docs.sparkSession, "decontaminated"), None
+    for i, index in enumerate(item_blocks(benchmark, **blocks)):
+        if before is not None:
+            docs = work.save(docs, f"block-{i}")
+            work.drop(f"block-{i - 1}")
+        before = index
         docs = docs.filter(F.size(matches(F.col("text"), index, docs.sparkSession, threshold)) == 0)
     return docs
