@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from firmgraph.functions import scoring, text, urls
 from firmgraph.functions.dims import OFFICIAL_SITE_FROM
 from firmgraph.functions.names import clean_company_name, is_plausible_company
-from firmgraph.operators.resolve import keep_first
+from firmgraph.operators.resolve import Saved, keep_first
 
 DIRECTORY_WORDS = "企業一覧|会員一覧|会員企業|会員紹介|加盟店|掲載企業|事業所一覧|企業検索|企業情報検索|会社検索|求人情報|求人検索|ポータル|データベース|登録企業|取引先検索|口コミ"
 
@@ -124,3 +125,41 @@ def apply_reviews(found: DataFrame, actions: DataFrame) -> DataFrame:
         "reject_reason": F.when(F.col("action") == "reject", F.col("why")).otherwise(F.col("reject_reason")),
         "reviewed_by": F.coalesce("by", "reviewed_by"),
     }).drop("action", "new_site", "why", "by")
+
+
+def assign_sites(found: DataFrame, least: int | None = None) -> DataFrame:
+    """company_id, domain, score, place, status, conflict: one domain for each company and one company for each domain, of found(company_id, domain, score, ord).
+
+    Companies propose to their domains from the best score (then least ord) on; a domain keeps its best proposal (then the least id), and the
+    others go on to their next one, until nobody is turned away: no company and domain would both rather have each other. A round is a
+    join and an aggregate by domain, over the companies that still move; a domain that many want keeps one row of each task. place is
+    which of its domains a company got; who did not get its first one needs a review, with the company that has it.
+    """
+    spark = found.sparkSession
+    saved = Saved(spark, "assigned")
+    good = found.filter(F.col("domain").isNotNull() & F.col("score").isNotNull())
+    if least is not None:
+        good = good.filter(F.col("score") >= least)
+    once = keep_first(good, ["company_id", "domain"], [F.desc("score"), "ord"])
+    place = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("score"), "ord", "domain"))
+    ranked = saved.save(once.select("company_id", "domain", "score", place.alias("place")), "ranked")
+    moving, held, turn = ranked.filter("place = 1"), None, 0
+    while True:
+        asked = moving if held is None else held.unionByName(moving)
+        rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), "company_id"))
+        told = saved.save(asked.withColumn("rank", rank), f"told-{turn}")
+        held = told.filter("rank = 1").drop("rank")
+        away = told.filter("rank > 1").select("company_id", (F.col("place") + 1).alias("place"))
+        moving = saved.save(ranked.join(away, ["company_id", "place"]).select("company_id", "domain", "score", "place"), f"moving-{turn}")
+        if turn:
+            saved.drop(f"told-{turn - 1}")
+            saved.drop(f"moving-{turn - 1}")
+        if not moving.limit(1).count():
+            break
+        turn += 1
+    first = ranked.filter("place = 1").select("company_id", F.col("domain").alias("wanted"))
+    rows = found.select("company_id").distinct().join(held, "company_id", "left").join(first, "company_id", "left")
+    rows = rows.join(held.select(F.col("domain").alias("wanted"), F.col("company_id").alias("owner")), "wanted", "left")
+    lost = F.col("wanted").isNotNull() & ~F.coalesce(F.col("place") == 1, F.lit(False))
+    status = F.when(F.col("wanted").isNull(), "no_website").when(lost, "needs_review").otherwise("verified")
+    return rows.select("company_id", "domain", "score", "place", status.alias("status"), F.when(lost, F.col("owner")).alias("conflict"))

@@ -6,10 +6,8 @@ import tempfile
 import uuid
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from firmgraph.functions.text import names_related, similarity
@@ -93,18 +91,31 @@ def shared_folder(spark) -> str:
     return sc.getCheckpointDir()
 
 
+class Saved:
+    """Tables of one call in the shared folder."""
+
+    def __init__(self, spark, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Remove a table that no later step reads."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, label: the least vertex of the component of each vertex of edges(a, b).
 
     Each round takes the least label of the neighbours and then the label of that label, so that rounds grow with the
     logarithm of the longest path. Labels and edges stay in tables; the driver sees only whether one has changed.
     """
-    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
+    tables = Saved(edges.sparkSession, "components")
+    saved = tables.save
     both = saved(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels0")
     for i in range(1, 200):
@@ -114,6 +125,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = labels.select(F.col("id").alias("label"), F.col("label").alias("root"))
         moved = step.join(root, "label").select("id", F.least("label", "root").alias("label"), "old")
         labels = saved(moved.select("id", "label", (F.col("label") != F.col("old")).alias("moved")), f"labels{i}")
+        tables.drop(f"labels{i - 1}")
         if not labels.filter("moved").limit(1).count():
             return labels.select("id", "label")
     raise RuntimeError("components did not settle")
@@ -137,54 +149,26 @@ def reconcile(rows: DataFrame, id: str, order: list) -> DataFrame:
 def register(companies: DataFrame, incoming: DataFrame) -> DataFrame:
     """The incoming(id, corporate_number, domain, normalized_name, address_key) as registered: id, company_id, reason, status.
 
-    A row is a duplicate of the company with its number, else its domain, else its name and address. Of the others, those that
-    share such a key, directly or through others, become one new company under the least id.
+    In the order of their ids, as one after the other: a row is a duplicate of the first company with its number, else its domain, else
+    its name and address; it gives a company what that lacks, and a later row can be found by it. Else it is a new company under its id.
+    Rows with another number than a company's never join it, be it known or new.
     """
-    keyed = lambda df: df.withColumn("name_address", F.when(F.col("address_key").isNotNull(), F.concat_ws("|", "normalized_name", "address_key")))
-    keys = ["corporate_number", "domain", "name_address"]
-    why = F.element_at(F.array(*map(F.lit, keys)), F.col("prio"))
-    old = first_match(keyed(incoming), keyed(companies), keys, "id", "company_id", veto="corporate_number").select("id", "company_id", why.alias("reason"))
-    fresh = keyed(incoming).join(old, "id", "left_anti")
-    first = lambda k: fresh.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias("first"))
-    links = reduce(DataFrame.unionAll, [fresh.join(first(k), k).filter("first < id").select("id", "first", F.lit(i).alias("prio"), F.lit(k).alias("reason")) for i, k in enumerate(keys)])
-    groups = connected_components(links.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    reasons = keep_first(links, ["id"], ["prio"]).select("id", "reason")
-    new = fresh.select("id").join(groups, "id", "left").join(reasons, "id", "left").select("id", F.coalesce("label", "id").alias("company_id"), "reason")
-    out = old.unionAll(new)
-    return out.withColumn("status", F.when(F.col("reason").isNull(), "new").otherwise("duplicate"))
-
-
-def greedy_resolution(rows: DataFrame, block: list[str], order: list[str], keys: list[str], veto: str) -> DataFrame:
-    """rows with entity: an order-dependent fold within each block.
-
-    Each row joins the first entity, by the priority of the keys, that has its value of a key, unless both have different
-    values of the veto column; else it founds one. A merged entity takes on keys that it lacks. Later matches depend on
-    earlier ones, so a block is folded by one task: blocks must be small, such as the rows of one run and one city.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        entities: list[dict] = []
-        at: list[dict] = [{} for _ in keys]
-        out = []
-        for i, row in enumerate(pdf.to_dict("records")):
-            has = {k: row[k] for k in {*keys, veto} if row[k] is not None and row[k] == row[k]}
-            hit = None
-            for k, seen in zip(keys, at):
-                options = seen.get(has.get(k), ()) if k in has else ()
-                hit = next((e for e in options if veto not in has or veto not in entities[e] or entities[e][veto] == has[veto]), None)
-                if hit is not None:
-                    break
-            if hit is None:
-                hit = len(entities)
-                entities.append({})
-            for k in {*keys, veto} - entities[hit].keys():
-                if k in has:
-                    entities[hit][k] = has[k]
-            for k, seen in zip(keys, at):
-                if k in has and entities[hit].get(k) == has[k] and hit not in seen.setdefault(has[k], []):
-                    seen[has[k]].append(hit)
-            out.append(hit)
-        return pdf.assign(entity=out)
-
-    return rows.groupBy(*block).applyInPandas(fold, StructType([*rows.schema.fields, StructField("entity", LongType())]))
+    from firmgraph.operators.fold import resolve_in_order
+
+    shape = lambda df, id, seed, place: df.select(F.col(id).cast("string").alias("id"), place.cast("long").alias("place"), F.lit(seed).alias("seed"), F.lit(2 if seed else 1).alias("trust"), F.col("corporate_number").alias("number"), "domain", F.lit(None).cast("string").alias("phone"), F.col("normalized_name").alias("name"), F.col("address_key").alias("address"), F.lit(None).cast("string").alias("city"))
+    known = placed(companies, "company_id")
+    first = known.agg(F.coalesce(F.max("place") + 1, F.lit(0))).first()[0]
+    new = placed(incoming, "id")
+    told = resolve_in_order(shape(known, "company_id", True, F.col("place")).withColumn("id", F.concat(F.lit("c"), "id")).unionAll(shape(new, "id", False, F.col("place") + first).withColumn("id", F.concat(F.lit("i"), "id"))), ("corporate_number", "domain", "name_address"))
+    rows = told.filter(F.col("id").startswith("i")).select(F.substring("id", 2, 1 << 30).cast(incoming.schema["id"].dataType).alias("id"), F.substring("entity", 2, 1 << 30).alias("company_id"), "reason")
+    return rows.withColumn("status", F.when(F.col("reason").isNull(), "new").otherwise("duplicate"))
+
+
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with place, 0, 1, ... in an order, without a task that sees all of them: rows are dealt by ranges, and each range starts where those before it end."""
+    saved = Saved(rows.sparkSession, "placed")
+    parts = saved.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "parts")
+    # a row for each partition
+    sizes = parts.groupBy("__part").agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    starts = sizes.select("__part", "__low", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return parts.join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__at") - F.col("__low")).drop("__part", "__at", "__low", "__start")

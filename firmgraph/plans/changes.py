@@ -16,13 +16,6 @@ from firmgraph.streaming import queue
 NOW = "2024-01-10 00:00:00"
 
 
-@query("SELECT k, s FROM (SELECT c_custkey % 400 AS k, max(c_mktsegment) AS s FROM customer WHERE c_custkey <= 300 GROUP BY 1) t UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey <= 300)")
-def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows only where the key is not there."""
-    known = table(spark, sf_dir, "customer").filter("c_custkey <= 300").groupBy((F.col("c_custkey") % 400).alias("k")).agg(F.max("c_mktsegment").alias("s"))
-    return tables.insert_absent(known, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("new").alias("s")), ["k"])
-
-
 @query("SELECT c_custkey AS k, c_mktsegment AS s FROM customer UNION ALL SELECT DISTINCT s_suppkey * 31, 'new' FROM supplier WHERE s_suppkey * 31 NOT IN (SELECT c_custkey FROM customer)")
 def insert_if_absent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows only where the key is not there, into a table that grows with the customers; about half of the suppliers' keys are new."""

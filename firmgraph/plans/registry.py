@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from firmgraph.plans import changes, company_list, domain, lists, metrics, overview, pages, resolution, runs, texts  # noqa: E402, F401  (they register their queries)
+from firmgraph.plans import changes, company_list, firms, lists, metrics, overview, pages, resolution, runs, texts  # noqa: E402, F401  (they register their queries)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from firmgraph.operators.resolve import connected_components, first_match, fuzzy_pairs, keep_first, merge_by_priority
+from firmgraph.operators.containment import contained
+from firmgraph.operators.discovery import assign_sites
+from firmgraph.operators.fold import resolve_in_order
+from firmgraph.operators.resolve import placed, register, connected_components, first_match, fuzzy_pairs, keep_first, merge_by_priority
 from firmgraph.plans.registry import query, table
 
 
@@ -138,15 +141,6 @@ def blocked_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_pairs(part, ["p_brand", "p_type"], "id", "name", 0.88)
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 1 AS b FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey % 4 <> 0 GROUP BY 1), v AS (SELECT a AS id FROM e UNION SELECT b FROM e),
-r(id, root) AS (SELECT id, id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
-SELECT id, min(root) AS label FROM r GROUP BY id""")
-def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a link table."""
-    links = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%' AND o_custkey % 4 <> 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b")).distinct()
-    return connected_components(links)
-
-
 @query()
 def entity_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the whole link table, whose chains grow with it; tested against union-find, as recursive SQL walks each chain from every vertex."""
@@ -172,19 +166,10 @@ def detail_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(per, "c_custkey").join(lines, "c_custkey", "left").select("c_custkey", "orders", "lines", "last_status")
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey % 5 AS block, c_acctbal AS score, c_custkey % 3 AS state FROM customer WHERE c_custkey % 7 <> 0)
-SELECT id, block, first_value(id) OVER (PARTITION BY block ORDER BY state DESC, score DESC, id) AS survivor FROM c""")
-def survivor_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of a group that others are merged into: by status, score, then age; found by an aggregate, not a sort of the group."""
-    rows = table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("block"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 3).alias("state"))
-    best = rows.groupBy("block").agg(F.max_by("id", F.struct("state", "score", -F.col("id"))).alias("survivor"))
-    return rows.join(best, "block").select("id", "block", "survivor")
-
-
 @query("""WITH c AS (SELECT c_custkey AS id, c_nationkey % 5 AS block, c_acctbal AS score, c_custkey % 3 AS state FROM customer)
 SELECT id, block, first_value(id) OVER (PARTITION BY block ORDER BY state DESC, score DESC, id) AS survivor FROM c""")
 def survivor_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """survivor_order over all customers."""
+    """The row of a group that others are merged into: by status, score, then age; found by an aggregate, not a sort of the group."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 5).alias("block"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 3).alias("state"))
     best = rows.groupBy("block").agg(F.max_by("id", F.struct("state", "score", -F.col("id"))).alias("survivor"))
     return rows.join(best, "block").select("id", "block", "survivor")
@@ -195,3 +180,50 @@ def status_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses by their number of rows."""
     counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "o_orderstatus")))
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as known companies and customers as what came in, with keys that some share: numbers, domains, phones, names with slips, addresses, cities."""
+    c = F.col
+    some = lambda key, by, modulus, prefix: F.when(key % by != 0, F.concat(F.lit(prefix), (key * 7919 % modulus).cast("string")))
+    def shape(rows, kind, key, name, nation, seed):
+        keyed = rows.select(F.concat(F.lit(kind), c(key).cast("string")).alias("id"), c(key).alias("k"), c(nation).alias("city"), c(name).alias("raw"))
+        slip = F.when(c("k") % 11 == 0, F.concat(F.substring("raw", 1, 15), F.lit("x"))).otherwise(F.substring("raw", 1, 16))
+        return keyed.select("id", "k", F.lit(seed).alias("seed"), (F.lit(30) + c("k") % 3 * 30).cast("int").alias("trust"), some(c("k"), 3, 4001, "n").alias("number"), some(c("k"), 2, 997, "d").alias("domain"), some(c("k"), 5, 2003, "p").alias("phone"), F.lower(slip).alias("name"), some(c("k"), 4, 499, "a").alias("address"), c("city").cast("string").alias("city"))
+    known = shape(table(spark, sf_dir, "supplier"), "s", "s_suppkey", "s_name", "s_nationkey", True)
+    new = shape(table(spark, sf_dir, "customer"), "c", "c_custkey", "c_name", "c_nationkey", False)
+    return placed(known.unionAll(new).withColumn("later", ~c("seed")), "later", "k")
+
+
+@query()
+def resolved_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as they come in, each given to the first known or new company that it matches by six levels. (Each row depends on those before it; tested against the loop.)"""
+    return resolve_in_order(_firms(spark, sf_dir))
+
+
+@query()
+def registered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers registered among suppliers as known companies, by number, domain, or name and address; different numbers stay apart. (Tested against the loop.)"""
+    rows = _firms(spark, sf_dir)
+    keys = [F.col("number").alias("corporate_number"), "domain", F.col("name").alias("normalized_name"), F.col("address").alias("address_key")]
+    return register(rows.filter("seed").select(F.col("k").alias("company_id"), *keys), rows.filter("NOT seed").select(F.col("k").alias("id"), *keys))
+
+
+NEEDLES_SQL = """n AS (SELECT 'b' || item_id AS needle_id, substr(text, 9, 8 + CAST(item_id % 90 AS INTEGER)) AS needle FROM benchmark UNION ALL SELECT 'p' || p_partkey, p_name FROM part UNION ALL SELECT 's' || s_suppkey, lower(substr(s_name, 1, CAST(1 + s_suppkey % 4 AS INTEGER))) FROM supplier)"""
+
+
+@query(f"WITH {NEEDLES_SQL}, d AS (SELECT DISTINCT needle FROM n WHERE needle <> ''), h AS (SELECT needle, doc_id FROM d JOIN documents ON contains(text, needle)) SELECT needle_id, doc_id FROM n JOIN h USING (needle)")
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a name and a text that contains it: parts' names, pieces of benchmark items, and some of one to four letters."""
+    needles = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("needle_id"), F.expr("substr(text, 9, 8 + CAST(item_id % 90 AS INT))").alias("needle"))
+    needles = needles.unionAll(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), "p_name"))
+    needles = needles.unionAll(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.expr("lower(substr(s_name, 1, CAST(1 + s_suppkey % 4 AS INT)))")))
+    return contained(needles, table(spark, sf_dir, "documents").select("doc_id", "text"), "needle_id", "needle", "doc_id", "text")
+
+
+@query()
+def sites_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One company for each domain: orders as candidate sites, scored by their price. (Rounds of proposals; tested against the order of scores.)"""
+    orders = table(spark, sf_dir, "orders")
+    found = orders.select(F.col("o_custkey").alias("company_id"), F.concat(F.lit("d"), (F.col("o_orderkey") * 7919 % 2500).cast("string")).alias("domain"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("score"), F.col("o_orderkey").alias("ord"))
+    return assign_sites(found)

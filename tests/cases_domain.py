@@ -1,4 +1,4 @@
-"""The domain core over hand-written rows: each query applies a library function to cases, and its SQL lists what must come out."""
+"""The domain core over hand-written rows: each case applies a library function, and its SQL lists what must come out."""
 
 from __future__ import annotations
 
@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 
 from firmgraph.functions import names, scoring, text, urls
 from firmgraph.operators import crawl, outreach
-from firmgraph.plans.registry import query
 from firmgraph.sources import registry
 
+QUERIES: dict[str, Callable] = {}
+WANTED: dict[str, str] = {}
+
+
+def query(sql: str, name: str | None = None):
+    """Keep a function on hand-written rows with the SQL that lists what must come out."""
+
+    def add(f):
+        QUERIES[name or f.__name__], WANTED[name or f.__name__] = f, sql
+        return f
+
+    return add
+
+
 KINDS = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
 
 

@@ -90,13 +90,6 @@ def test_crawled_site(spark):
     assert page["title"] == "山田" and page["text"].startswith("金属加工\n営業目的") and page["field_count"] == 2
 
 
-def test_greedy_resolution_and_veto(spark):
-    rows = [(1, "a", None, "d1"), (2, "a", "c1", "d1"), (3, "a", "c2", "d1"), (4, "a", "c1", None), (5, "a", None, "d2")]
-    df = spark.createDataFrame(rows, "ord int, block string, corp string, dom string")
-    got = {r["ord"]: r["entity"] for r in resolve.greedy_resolution(df, ["block"], ["ord"], ["corp", "dom"], "corp").collect()}
-    assert got[1] == got[2] == got[4] and len({got[1], got[3], got[5]}) == 3
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long")
     got = {r["id"]: r["label"] for r in resolve.connected_components(edges).collect()}
