@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from firmgraph.functions import dims, urls
 from firmgraph.functions.sentences import refusals, surest
 from firmgraph.functions.text import EMAIL, company_email, emails, phones
+from firmgraph.operators.resolve import Saved, keep_first
 
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = frozenset("script style noscript svg iframe template".split())
@@ -208,6 +209,52 @@ def frontier(links: DataFrame, site: str, most: int) -> DataFrame:
     return pages.withColumn("turn", turn).filter(F.col("turn") <= most).select(site, "turn", "top.url", (-F.col("top.less")).alias("priority"))
 
 
+#: How many pages of a kind a crawl reads before it takes no more links of that kind.
+KIND_CAPS = {"news": 2, "other": 3}
+KIND_CAP = 4
+
+
+def crawl_order(homes: DataFrame, links: DataFrame, titles: DataFrame, most: int) -> DataFrame:
+    """site, turn, key, url, kind, priority: the pages that crawls of at most `most` pages read, best first, all sites side by side.
+
+    homes(site, url); links(site, key, url, link_text, at) has the links of each page, by its key, in their order; titles(site, key, title) what pages are called.
+    In a round each site reads the best page of its queue (highest priority, then the first queued) and queues the page's links that
+    can be crawled and are new, but none of a kind of which enough pages have been read, and none without a kind while the queue is long.
+    Visited pages and queues are tables; a round joins the links of one page a site, so there are `most` rounds whatever the sites' sizes.
+    """
+    saved, c = Saved(homes.sparkSession, "crawl"), F.col
+    home = homes.filter(c("url").isNotNull()).groupBy("site").agg(F.min("url").alias("url"))
+    start = home.select("site", urls.canonical_key(c("url")).alias("key"), "url", F.lit(None).cast("string").alias("link_text"), F.lit("top").alias("link_kind"), F.lit(1000).alias("priority"), F.lit(0).alias("queued"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("turn"), F.lit(None).cast("string").alias("kind"))
+    kind = urls.classify_page(c("url"), c("link_text"), F.lit(None).cast("string"), urls.root_url(c("url")))
+    usable = links.filter(urls.is_crawlable(c("url"))).withColumn("k", kind)
+    edges = saved.save(usable.select("site", c("key").alias("page"), urls.canonical_key(c("url")).alias("key"), "url", "link_text", c("k.page_type").alias("link_kind"), c("k.priority").alias("priority"), "at"), "edges")
+    # each link of a page once, where it stands first
+    edges = saved.save(keep_first(edges, ["site", "page", "key"], ["at"]), "edges-once")
+    named = titles.groupBy("site", "key").agg(F.min("title").alias("title"))
+    state = saved.save(start, "state-0")
+    cap = F.lit(KIND_CAP)
+    for k, n in KIND_CAPS.items():
+        cap = F.when(c("link_kind") == k, n).otherwise(cap)
+    for turn in range(1, most + 1):
+        queue = state.filter("turn IS NULL")
+        pick = keep_first(queue, ["site"], [F.desc("priority"), "queued", "at", "key"]).join(named, ["site", "key"], "left")
+        read_kind = F.lit("top") if turn == 1 else urls.classify_page(c("url"), c("link_text"), c("title"), urls.root_url(c("url")))["page_type"]
+        pick = saved.save(pick.select("site", "key", read_kind.alias("now")), f"pick-{turn}")
+        told = state.join(pick, ["site", "key"], "left").withColumns({"turn": F.when(c("now").isNotNull(), turn).otherwise(c("turn")), "kind": F.coalesce("now", "kind")}).drop("now")
+        told = saved.save(told, f"told-{turn}")
+        read = told.filter("turn IS NOT NULL").groupBy("site", c("kind").alias("link_kind")).agg(F.count("*").alias("read"))
+        waiting = told.groupBy("site").agg(F.count_if(c("turn").isNull()).alias("waiting"))
+        new = edges.join(pick.select("site", c("key").alias("page")), ["site", "page"]).join(told.select("site", "key"), ["site", "key"], "left_anti")
+        new = new.join(read, ["site", "link_kind"], "left").filter(F.coalesce("read", F.lit(0)) < cap).join(waiting, "site")
+        before = F.count("*").over(Window.partitionBy("site").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        new = new.withColumn("length", c("waiting") + before).filter((c("link_kind") != "other") | (c("length") <= 2 * most))
+        queued = new.select("site", "key", "url", "link_text", "link_kind", "priority", F.lit(turn).alias("queued"), "at", F.lit(None).cast("int").alias("turn"), F.lit(None).cast("string").alias("kind"))
+        state = saved.save(told.unionByName(queued), f"state-{turn}")
+        for name in (f"state-{turn - 1}", f"pick-{turn}", f"told-{turn}"):
+            saved.drop(name)
+    return state.filter("turn IS NOT NULL").select("site", "turn", "key", "url", "kind", "priority")
+
+
 def digital_signals(summary: DataFrame, site: str) -> DataFrame:
     """What a site offers, out of site_summary with the hiring signal of recruiting_signal."""
     there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))

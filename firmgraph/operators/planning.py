@@ -8,6 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from firmgraph.operators.resolve import Saved, placed
+
+
+def running_sums(rows: DataFrame, order: list, value: str, into: str = "running") -> DataFrame:
+    """rows with the sum of `value` up to each row in an order, without a task that sees all rows.
+
+    Rows are dealt by ranges of the order; a range starts with the sum of those before it (a row for each range), and sums run within ranges.
+    The order must tell rows apart. Nulls count as 0.
+    """
+    saved = Saved(rows.sparkSession, "running")
+    parts = saved.save(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "parts")
+    # a row for each range
+    sizes = parts.groupBy("__part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__sum"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.sum(F.coalesce(F.col(value), F.lit(0))).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(starts), "__part").withColumn(into, F.col("__start") + within).drop("__part", "__start")
+
+
+def within_budget(rows: DataFrame, order: list, cost: str, budget, used=0) -> DataFrame:
+    """The rows that run, in order, until the budget is used up; what was refunded costs nothing again, as its cost is negative or null."""
+    return running_sums(rows, order, cost).filter(F.col("running") + used <= budget).drop("running")
+
 
 def search_terms(words: DataFrame, most: int) -> DataFrame:
     """term, rank, topic: the first distinct terms of each topic of words(topic, word, ord)."""
@@ -24,15 +46,13 @@ def shards(cities: DataFrame, kinds: DataFrame, most: int) -> DataFrame:
 
 def interleave(ranked: DataFrame, source: str) -> DataFrame:
     """Rows with id q0, q1, ...: the first of each source, then the second of each, and so on."""
-    return ranked.withColumn("id", F.concat(F.lit("q"), (F.row_number().over(Window.orderBy("rank", source)) - 1).cast("string")))
+    return placed(ranked, "rank", source).withColumn("id", F.concat(F.lit("q"), F.col("place").cast("string"))).drop("place")
 
 
 def next_batch(plan: DataFrame, done: DataFrame, cost: str, budget: float) -> DataFrame:
     """The rows of a plan(seq, id, ...) that are not done and fit what the done ones left of a budget, in order."""
-    used = done.join(plan, "id", "left_semi").join(plan.select("id", F.col(cost).alias("c")), "id").agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("used"))
-    rest = plan.join(done.select("id"), "id", "left_anti").crossJoin(used)
-    running = F.col("used") + F.sum(cost).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rest.withColumn("running", running).filter(F.col("running") <= budget).drop("running", "used")
+    used = plan.join(done.select("id"), "id", "left_semi").agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
+    return within_budget(plan.join(done.select("id"), "id", "left_anti"), ["seq"], cost, budget, used)
 
 
 def scaled_budget(budget: dict[str, int], requested: int) -> dict[str, int]:
@@ -55,8 +75,7 @@ def provider_stats(queries: DataFrame, results: DataFrame, budget: float) -> Dat
     queries(seq, id, provider, cost, failed) run in order until the budget is used up; results(id, key) are new where no
     earlier query that ran has found the key. A failed query costs, but stops nothing.
     """
-    cost = F.sum("cost").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))  # a plan of a run, small by its budget
-    ran = queries.withColumn("upto", cost).filter(F.col("upto") <= budget)
+    ran = within_budget(queries, ["seq"], "cost", budget)
     first = results.join(ran.filter("NOT failed").select("id", "seq"), "id").groupBy("key").agg(F.min("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("fresh"))
     found = results.groupBy("id").agg(F.countDistinct("key").alias("n"))
     rows = ran.join(found, "id", "left").join(first, "seq", "left").withColumns({"n": F.when(F.col("failed"), 0).otherwise(F.coalesce("n", F.lit(0))), "fresh": F.coalesce("fresh", F.lit(0))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from firmgraph.functions import dims, urls
-from firmgraph.operators.crawl import HIRING_TEXT, HIRING_URL, page_features, recruiting_signal, site_summary
+from firmgraph.operators.crawl import HIRING_TEXT, HIRING_URL, crawl_order, page_features, recruiting_signal, site_summary
 from firmgraph.operators.planning import shards
 from firmgraph.plans.registry import query, table
 from firmgraph.sources.registry import first_per_host
@@ -166,3 +166,16 @@ def site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit("<article><p>"), F.expr(PLANTED), F.lit('</p><a href="'), F.expr(LINKED), F.lit('">more</a></article>')))
     told = site_summary(page_features(given).withColumn("host", urls.host(F.col("url"))), "host", ["page_id"])
     return told.select("host", "emails", "phones", "instagram", "sales_contact_allowed", "refusal")
+
+
+@query()
+def crawl_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight pages that crawls of the given hosts read, along the pages' own links. (Tested against a heap for each host.)"""
+    read = page_features(table(spark, sf_dir, "pages"), parts=("title", "links")).withColumn("site", urls.host(F.col("url"))).filter("site IS NOT NULL")
+    key = urls.canonical_key(F.col("url")).alias("key")
+    homes = read.select("site", urls.root_url(F.col("url")).alias("url"))
+    # what a page links to, and the page itself as a link of its host's home
+    own = read.select("site", key, F.posexplode("page.links").alias("at", "l")).select("site", "key", F.col("l.url").alias("url"), F.col("l.text").alias("link_text"), "at")
+    listed = read.select("site", urls.canonical_key(urls.root_url(F.col("url"))).alias("key"), "url", F.col("page.title").alias("link_text"), (F.lit(1000) + F.col("page_id")).cast("int").alias("at"))
+    same = urls.related_site(F.col("url"), F.concat(F.lit("https://"), F.col("site")))
+    return crawl_order(homes, own.unionAll(listed).filter(same), read.select("site", key, F.col("page.title").alias("title")), 8)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from firmgraph.operators import outreach, tables
+from firmgraph.operators import observations, outreach, planning, tables
 from firmgraph.plans.registry import query, table
 
 
@@ -77,3 +77,58 @@ def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown_page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the newest 200 rows that a page shows."""
     return table(spark, sf_dir, "events").orderBy(F.desc("event_id")).limit(200).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, running FROM (SELECT l_orderkey, l_linenumber, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM lineitem) t")
+def running_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has been spent up to each line, in order of shipment, over the whole table."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cost"))
+    return planning.running_sums(rows, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "cost").select("l_orderkey", "l_linenumber", "running")
+
+
+BUDGET_SQL = "SELECT event_id, CASE WHEN event_type = 'error' THEN -CAST(floor(value) AS BIGINT) ELSE CAST(floor(value * 10) AS BIGINT) END AS cost, ts FROM events"
+
+
+@query(f"SELECT event_id, cost FROM (SELECT *, sum(cost) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM ({BUDGET_SQL}) e) t WHERE running <= 200000")
+def budgeted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in order while the budget lasts; errors give a part of it back."""
+    c = F.col
+    cost = F.when(c("event_type") == "error", -F.floor("value")).otherwise(F.floor(c("value") * 10))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", cost.alias("cost"))
+    return planning.within_budget(rows, ["ts", "event_id"], "cost", 200_000).select("event_id", "cost")
+
+
+@query("""WITH q AS (SELECT event_id AS seq, event_type AS provider, event_type = 'error' AS failed, 1 + event_id % 3 AS cost, user_id AS key FROM events), ran AS (SELECT * FROM (SELECT *, sum(cost) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS upto FROM q) t WHERE upto <= 5000),
+f AS (SELECT min(seq) AS seq FROM ran WHERE NOT failed GROUP BY key)
+SELECT provider, count(*) AS requests, count(*) FILTER (failed) AS failed, count(*) FILTER (NOT failed) AS results, count(*) FILTER (NOT failed AND seq IN (SELECT seq FROM f)) AS new, count(*) FILTER (NOT failed AND seq NOT IN (SELECT seq FROM f)) AS duplicates FROM ran GROUP BY provider""")
+def provider_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By provider, what requests within the budget found, and how much of it was new."""
+    e = table(spark, sf_dir, "events")
+    plan = e.select(F.col("event_id").alias("seq"), F.col("event_id").alias("id"), F.col("event_type").alias("provider"), (F.col("event_id") % 3 + 1).alias("cost"), (F.col("event_type") == "error").alias("failed"))
+    return planning.provider_stats(plan, e.select(F.col("event_id").alias("id"), F.col("user_id").alias("key")), 5000)
+
+
+@query("SELECT c_custkey AS seq, c_nationkey % 4 AS source, 'q' || (row_number() OVER (ORDER BY rank, source) - 1) AS id FROM (SELECT c_custkey, c_nationkey, c_nationkey % 4 AS source, row_number() OVER (PARTITION BY c_nationkey % 4 ORDER BY c_custkey) AS rank FROM customer) t")
+def interleaved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of four sources dealt in turn: the first of each, then the second of each."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), (F.col("c_nationkey") % 4).alias("source"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("seq")))
+    return planning.interleave(ranked, "source").select("seq", "source", "id")
+
+
+@query("SELECT s_suppkey AS id, cost FROM (SELECT *, sum(cost) OVER (ORDER BY seq) AS running FROM (SELECT s_suppkey, s_suppkey AS seq, 1 + s_suppkey % 5 AS cost FROM supplier WHERE s_suppkey % 7 <> 0) p) t WHERE running + (SELECT sum(1 + s_suppkey % 5) FROM supplier WHERE s_suppkey % 7 = 0) <= 120")
+def next_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a resumed run does next: planned requests that are not done and fit what is left."""
+    k = F.col("s_suppkey")
+    plan = table(spark, sf_dir, "supplier").select(k.alias("seq"), k.alias("id"), (k % 5 + 1).alias("cost"))
+    return planning.next_batch(plan, plan.filter("id % 7 = 0").select("id"), "cost", 120).select("id", "cost")
+
+
+RAW = "CASE WHEN event_id % 10 = 9 THEN '{bad' ELSE '{' || CASE event_id % 3 WHEN 0 THEN '\"name\":\"c' WHEN 1 THEN '\"company\":{\"name\":\"c' ELSE '\"title\":\"c' END || CAST(user_id AS STRING) || CASE event_id % 3 WHEN 1 THEN '\"}' ELSE '\"' END || ',\"place\":{\"city\":\"' || event_type || '\"},\"observed\":' || props || CASE WHEN event_id % 4 = 0 THEN ',\"tags\":[\"a\",\"b' || CAST(event_id % 7 AS STRING) || '\"]' ELSE '' END || '}' END"
+
+
+@query(f"""WITH r AS (SELECT event_id, {RAW} AS raw FROM events), v AS (SELECT event_id, CASE WHEN json_valid(raw) THEN raw END AS raw FROM r)
+SELECT event_id, coalesce(json_extract_string(raw, '$.name'), json_extract_string(raw, '$.company.name'), json_extract_string(raw, '$.title')) AS name, json_extract_string(raw, '$.place.city') AS city, CAST(json_extract_string(raw, '$.observed.k') AS BIGINT) AS employees, json_extract_string(raw, '$.tags[1]') AS second_tag, raw IS NOT NULL AS readable FROM v""")
+def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw observations of several layouts as rows: nested paths with fallbacks, unreadable ones as such."""
+    return observations.merged_rows(table(spark, sf_dir, "events").select("event_id", F.expr(RAW).alias("raw")), "event_id", "raw")
