@@ -206,8 +206,25 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
+def mixed_records(rows: DataFrame) -> DataFrame:
+    """rows(conv_id, turn, role, text) with record, the turn as JSON in one of three layouts by conv_id, as corpora of several origins have them.
+
+    A role that the from-value layout would rename is left to the messages layout.
+    """
+    role, text = F.col("role"), F.col("text")
+    given = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    layout = F.coalesce(F.pmod("conv_id", F.lit(3)), F.lit(0))
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")))
+    values = F.to_json(F.struct(F.array(F.struct(given.alias("from"), text.alias("value"))).alias("conversations")))
+    record = F.when(layout == 0, F.to_json(F.struct("role", "text"))).when((layout == 1) | role.isin("human", "gpt"), messages).otherwise(values)
+    return rows.withColumn("record", record)
+
+
 def format_rows(rows: DataFrame) -> DataFrame:
-    """rows(conv_id, turn, role, text), one turn each, with schema and formatted piece; pieces in order are the conversation."""
+    """rows(conv_id, turn, role, text), one turn each, with schema and formatted piece; pieces in order are the conversation.
+
+    Each turn is a record of the layout that its conversation came in; its fingerprint alone selects how it is read.
+    """
     named = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    read = canonical_turns(named.withColumn("record", F.to_json(F.struct("role", "text"))))
+    read = canonical_turns(mixed_records(named))
     return read.withColumn("formatted", formatted(F.col("schema.turns"))).drop("record")
