@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmgraph.functions import dims, names, text
-from firmgraph.operators import outreach, planning
+from firmgraph.operators import outreach, planning, promotion
 from firmgraph.operators.resolve import reconcile
 from firmgraph.plans.registry import query, table
 from firmgraph.sources import registry
@@ -145,3 +145,31 @@ def run_phases_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda when: F.count_if(F.expr(when)).cast("int")
     runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.lit(10).alias("requested"), (F.count("*") * 3).alias("found"), F.lit(20).alias("planned"), F.count("*").alias("executed"), n("o_orderstatus = 'P'").alias("waiting"), n("o_orderstatus = 'F'").alias("verified"), n("o_orderpriority LIKE '1%'").alias("promoted"))
     return planning.phase(runs).select("run_id", "phase", "status")
+
+
+SITED = f"CASE WHEN {K} % 4 <> 0 THEN 'https://c' || CAST({K} AS STRING) || '.jp' END"
+HELD = ", ".join(f"CASE WHEN {{K}} % {{n}} = 0 THEN '{c}' || CAST({{K}} AS STRING) END AS {c}".format(K=K, n=2 + i % 5) for i, c in enumerate(promotion.FROM_SITE))
+
+
+@query(f"""WITH c AS (SELECT {K} AS id, {SITED} AS website_url, {K} % 6 = 1 AS bad, {HELD} FROM customer),
+d AS (SELECT *, (bad AND website_url IS NOT NULL) AS hit, (bad AND website_url IS NOT NULL) OR (website_url IS NULL AND coalesce({", ".join(promotion.LEFT_OVER)}) IS NOT NULL) AS cleaned FROM c)
+SELECT id, CASE WHEN NOT hit THEN website_url END AS website_url, CASE WHEN NOT hit THEN 'd' || id END AS website_domain, CASE WHEN NOT hit THEN 70 END AS official_site_confidence,
+ CASE WHEN hit THEN website_url || ': directory' END AS noted, CASE WHEN hit THEN 'needs_review' ELSE 'verified' END AS verification_status, CASE WHEN hit THEN 'no_website' ELSE 'crawled' END AS crawl_status, CASE WHEN cleaned THEN 'not_analyzed' ELSE 'analyzed' END AS analysis_status, 'false' AS sales_contact_allowed,
+ {", ".join(f"CASE WHEN NOT cleaned THEN {c} END AS {c}" for c in promotion.FROM_SITE)} FROM d""")
+def retracted_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies after wrong sites are taken away with all eighteen columns that came from them, and what earlier retractions left."""
+    rows = table(spark, sf_dir, "customer").selectExpr(f"{K} AS id", f"{SITED} AS website_url", f"'d' || {K} AS website_domain", "70 AS official_site_confidence", "CAST(NULL AS ARRAY<STRING>) AS website_candidates", "'verified' AS verification_status", "'crawled' AS crawl_status", "'analyzed' AS analysis_status", "'false' AS sales_contact_allowed", *HELD.split(", "))
+    bad = rows.filter("id % 6 = 1").select("id", F.lit("directory").alias("reason"))
+    return promotion.retracted_sites(rows, bad).withColumn("noted", F.get("website_candidates", F.lit(0))).drop("website_candidates")
+
+
+@query("""WITH o AS (SELECT user_id AS company_id, event_type AS provider, nullif('x' || event_id % 5, 'x0') AS external_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || event_id % 3 END AS source_url, 'discovery' AS source_type, CAST(floor(value) AS BIGINT) AS confidence FROM events
+UNION ALL SELECT c_custkey, 'official_web', 'd' || c_custkey, 'https://c' || c_custkey, 'verification', 60 + c_custkey % 40 FROM customer WHERE c_custkey % 3 <> 0)
+SELECT company_id, provider, external_id, nullif(coalesce(source_url, ''), '') AS source_url, source_type, max(confidence) AS confidence FROM o GROUP BY company_id, provider, external_id, nullif(coalesce(source_url, ''), ''), source_type""")
+def sources_of_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where what is known of each company comes from, each source once with its highest certainty."""
+    e = F.col("event_id")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("company_id"), F.col("event_type").alias("provider"), F.nullif(F.concat(F.lit("x"), (e % 5).cast("string")), F.lit("x0")).alias("external_id"), F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("u"), (e % 3).cast("string"))).alias("source_url"), F.floor("value").alias("confidence"))
+    c = F.col(K)
+    sites = table(spark, sf_dir, "customer").select(c.alias("company_id"), F.when(c % 3 != 0, F.concat(F.lit("https://c"), c.cast("string"))).alias("website"), F.concat(F.lit("d"), c.cast("string")).alias("domain"), (c % 40 + 60).alias("confidence"))
+    return promotion.company_sources(seen, sites)
