@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmgraph.functions import dims, names, text
-from firmgraph.operators import outreach, planning, promotion
+from firmgraph.operators import outreach, planning, promotion, search
 from firmgraph.operators.resolve import reconcile
 from firmgraph.plans.registry import query, table
 from firmgraph.sources import registry
@@ -173,3 +173,59 @@ def sources_of_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col(K)
     sites = table(spark, sf_dir, "customer").select(c.alias("company_id"), F.when(c % 3 != 0, F.concat(F.lit("https://c"), c.cast("string"))).alias("website"), F.concat(F.lit("d"), c.cast("string")).alias("domain"), (c % 40 + 60).alias("confidence"))
     return promotion.company_sources(seen, sites)
+
+
+ENTRY = f"CASE WHEN {K} % 9 = 0 THEN '第' || CAST({K} AS STRING) || '財産区' ELSE '株式会社第' || CAST({K} AS STRING) || '工業' END"
+
+
+@query(f"""WITH e AS (SELECT {K} AS id, {K} AS place, {ENTRY} AS company_name, lpad(CAST({K} AS STRING), 13, '0') AS corporate_number,
+  CASE WHEN {K} % 9 = 0 THEN 'public body' WHEN {K} % 8 = 0 THEN 'closed' WHEN {K} % 7 = 0 THEN 'other city' WHEN {K} % 5 = 0 THEN 'no site' END AS why FROM customer),
+r AS (SELECT *, sum(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY place) AS upto FROM e WHERE place < 300)
+SELECT place, corporate_number, company_name, CASE WHEN why IS NOT NULL THEN 'skipped' WHEN id % 4 = 0 THEN 'duplicate' ELSE 'new' END AS status, CASE WHEN why IS NOT NULL THEN why WHEN id % 4 = 0 THEN 'corporate_number' END AS reason FROM r WHERE upto - CASE WHEN why IS NULL THEN 1 ELSE 0 END < 120""")
+def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six pages of a registry, customers as its entries, read until 120 companies are registered; every fourth is known by its number."""
+    c = F.col(K)
+    number = F.lpad(c.cast("string"), 13, "0")
+    entries = table(spark, sf_dir, "customer").select(c.alias("place"), number.alias("corporate_number"), F.expr(ENTRY).alias("name"), F.when(c % 7 == 0, "大阪府堺市1").otherwise(F.concat(F.lit("大阪府東大阪市"), c.cast("string"))).alias("location"), F.when(c % 8 == 0, "2020-01-01").alias("close_date"), F.array().cast("array<string>").alias("business_items"), F.lit(None).cast("string").alias("business_summary"), F.lit(None).cast("string").alias("employee_number"), F.when(c % 5 != 0, F.concat(F.lit("https://c"), c.cast("string"), F.lit(".jp"))).alias("company_url"))
+    none = F.lit(None).cast("string")
+    known = table(spark, sf_dir, "customer").filter(c % 4 == 0).select(c.alias("company_id"), number.alias("corporate_number"), none.alias("domain"), none.alias("normalized_name"), none.alias("address_key"), F.lit("not_crawled").alias("crawl_status"))
+    asked, wrong = search.criteria({"city": "東大阪市", "requested": "120", "industry": ""})
+    items, _ = search.search_step(entries, known, asked)
+    return items.select("place", "corporate_number", "company_name", "status", "reason")
+
+
+@query(rf"""SELECT {K} AS id, list_sort(list_distinct(regexp_extract_all('本社は' || {ADDRESS} || '。電話 大阪府堺市中区1-2-3|以上', '(?:{"|".join(dims.PREFECTURES)})[^\s、。|｜]{{4,30}}'))) AS found FROM customer""")
+def address_like_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What looks like an address in texts about customers."""
+    page = F.concat(F.lit("本社は"), F.expr(ADDRESS), F.lit("。電話 大阪府堺市中区1-2-3|以上"))
+    return table(spark, sf_dir, "customer").select(F.col(K).alias("id"), search.address_like(page).alias("found"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'error' AND (CASE WHEN value > 50 THEN 'warn' ELSE 'info' END) = 'warn'")
+def filtered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warnings of one category of the log."""
+    rows = table(spark, sf_dir, "events").withColumn("category", F.col("event_type")).withColumn("level", F.when(F.col("value") > 50, "warn").otherwise("info"))
+    return search.filtered_log(rows, "error", "warn").select("event_id", "event_type", "value")
+
+
+@query("""WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages), d AS (SELECT *, length(host) % 3 AS k FROM u)
+SELECT page_id, CASE k WHEN 0 THEN NOT (path LIKE '/en/%' AND path NOT LIKE '/en/1%') WHEN 1 THEN path NOT LIKE '/fr/%' ELSE true END AS allowed, CASE k WHEN 0 THEN 2000 END AS delay_ms FROM d""")
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages robots' rules let a crawler read, rules being told by the host; a third of the hosts have none."""
+    links = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(F.lower("url"), "^https?://([^/?#]+)", 1).alias("host"))
+    k = F.length("host") % 3
+    body = F.when(k == 0, "User-agent: *\nAllow: /en/1\nDisallow: /en/\nCrawl-delay: 2\n").when(k == 1, "User-agent: *\nDisallow: /fr/\n")
+    return search.allowed(links, links.select("host", body.alias("body")).distinct(), "firmgraph").select("page_id", "allowed", "delay_ms")
+
+
+@query(f"""SELECT (SELECT count(*) FROM customer) AS total_companies, (SELECT count(*) FROM customer WHERE TIMESTAMP '2024-03-01' - to_days(CAST({K} % 30 AS INTEGER)) >= date_trunc('week', TIMESTAMP '2024-03-01')) AS added_this_week, (SELECT count(*) FROM customer WHERE c_acctbal >= 8000) AS rank_a, (SELECT count(*) FROM customer WHERE c_acctbal >= 5000 AND c_acctbal < 8000) AS rank_b,
+ (SELECT count(*) FROM customer WHERE {K} % 3 = 0) AS unanalyzed, (SELECT count(*) FROM customer WHERE {K} % 10 = 0) AS sales_restricted, (SELECT count(*) FROM customer WHERE {K} % 4 IN (0, 1)) AS website_unverified, (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0) AS needs_review_candidates,
+ (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'P')) + (SELECT count(*) FROM events WHERE event_type = 'click') AS pending_jobs""")
+def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine counts of the dashboard, customers standing for companies, orders and events for queues."""
+    c, now = F.col, F.lit("2024-03-01 00:00:00").cast("timestamp")
+    firms = table(spark, sf_dir, "customer").select(F.date_sub(now.cast("date"), (c(K) % 30).cast("int")).cast("timestamp").alias("created_at"), F.when(c("c_acctbal") >= 8000, "A").when(c("c_acctbal") >= 5000, "B").otherwise("C").alias("rank"), F.when(c(K) % 3 != 0, c(K)).alias("analysis_id"), F.when(c(K) % 10 == 0, "false").otherwise("unknown").alias("sales_contact_allowed"), F.when(c(K) % 4 == 0, "unverified").when(c(K) % 4 == 1, "needs_review").otherwise("verified").alias("verification_status"))
+    found = table(spark, sf_dir, "supplier").select(F.when(c("s_suppkey") % 5 == 0, "needs_review").otherwise("verified").alias("status"))
+    orders = table(spark, sf_dir, "orders").select(F.when(c("o_orderstatus") == "O", "pending").when(c("o_orderstatus") == "P", "retrying").otherwise("done").alias("status"))
+    events = table(spark, sf_dir, "events").select(F.when(c("event_type") == "click", "processing").otherwise("done").alias("status"))
+    return search.dashboard(firms, found, [orders, events], now)
