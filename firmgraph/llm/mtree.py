@@ -193,7 +193,7 @@ def _blocks(queries: DataFrame, root: DataFrame, dims: int, top: int, block: int
                 yield pa.RecordBatch.from_arrays([batch.column("qids")[i].values, batch.column("qx")[i].values, pa.array(dots.argmax(1) if len(p) else np.zeros(len(x), np.int64))], ["qid", "x", "near"])
 
     parts = queries.groupBy(F.expr(f"qid div {BUNDLE}").alias("part")).agg(F.collect_list(F.struct("qid", "x")).alias("e"))
-    fed = parts.select(F.transform("e", lambda s: s["qid"]).alias("qids"), F.transform("e", lambda s: s["x"]).alias("qx")).crossJoin(F.broadcast(root.select("x")))  # one row
+    fed = parts.select(F.transform("e", lambda s: s["qid"]).alias("qids"), F.transform("e", lambda s: s["x"]).alias("qx"), F.lit("r").alias("node")).join(F.broadcast(root.select("node", "x")), "node")  # one row
     placed = fed.mapInArrow(nearest, "qid long, x array<long>, near long")
     # a region's queries in a row, cut into blocks; a large region is cut by a hash before
     sizes = placed.groupBy("near").agg(F.count("*").alias("n"))

@@ -154,3 +154,16 @@ def test_repeated_rows_and_long_texts(spark):
     rows = [(1, passage), (1, passage), (None, passage), (2, "filler word " * 100_000 + passage + " filler word" * 100_000)]
     got = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["item_id"], r["start_word"]) for r in got) == [("1", 5, 0), ("1", 5, 0), ("2", 5, 200_000), ("None", 5, 0)]
+
+
+def test_blocks_follow_one_another(spark):
+    """Many small blocks find and reject what one block does, and hand on only what is left."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(12))) for i in range(30)]
+    docs = [(d, " ".join(word() for _ in range(30)) + " " + (items[d][1] + " " + items[(d + 7) % 30][1] if d < 30 else "") + " " + word()) for d in range(45)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect())
+    assert whole == sorted({(d, i) for d in range(30) for i in (d, (d + 7) % 30)})
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench, items_per_block=7).collect()) == whole
+    assert sorted(r["doc_id"] for r in dc.decontaminate(df, bench, items_per_block=7).collect()) == list(range(30, 45))
