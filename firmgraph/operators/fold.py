@@ -6,8 +6,9 @@ Of an entity's members so far, the most trusted one with a value gives each attr
 
 The rounds: let A be a guess of the founder that each row joins. A tells what every entity shows at any time, as intervals of the
 order; so each row can be given the founder that it would find, all rows at once. The loop's answer is the only guess that gives itself back: the first
-row is right in any round, and a row is right as soon as all before it were. A round ends with founders of founders, so
-that chains shorten by halves; right rows stay right. It ends when nothing changes, after as many rounds as answers depend on each other, not as there are rows.
+row is right in any round, and a row is right as soon as all before it were. A round ends with founders of founders, a better guess where
+entities merge; right rows stay right. It ends when nothing changes, after as many rounds as answers depend on each other: few where rows
+share keys as companies do, but a chain of rows, each of which is decided by the one before it, takes a round for each of them.
 
 Which of the intervals that hold a row's place has the first founder is asked by equi-joins: an interval is a few blocks of 16^l places, a
 place is in one block of each l, and of each block only the first founder is kept. Most keys have one interval that counts and need a plain join.
