@@ -67,7 +67,7 @@ def address(s: Column) -> Column:
 
 def prefecture(s: Column) -> Column:
     """The first prefecture, by code, that the address contains."""
-    return F.coalesce(*[F.when(half_width(s).contains(p), F.lit(p)) for p in PREFECTURES])
+    return let(half_width(s), lambda x: F.coalesce(*[F.when(x.contains(p), F.lit(p)) for p in PREFECTURES]))
 
 
 def prefecture_code(name: Column) -> Column:
@@ -85,15 +85,27 @@ def city(s: Column) -> Column:
 
 def address_keys(s: Column) -> Column:
     """Beginnings of an address, with and without the prefecture, by which a page shows it; of six letters at least."""
-    bare = address(F.replace(s, F.coalesce(prefecture(s), F.lit("\u0000")), F.lit("")))
-    keys = F.array_compact(F.array(F.substring(address(s), 1, 12), F.when(prefecture(s).isNotNull(), F.substring(bare, 1, 10))))
-    return F.array_distinct(F.filter(keys, lambda k: F.length(k) >= 6))
+    def of(found: Column) -> Column:
+        bare = address(F.replace(s, F.coalesce(found, F.lit("\u0000")), F.lit("")))
+        return F.array_compact(F.array(F.substring(address(s), 1, 12), F.when(found.isNotNull(), F.substring(bare, 1, 10))))
+
+    return F.array_distinct(F.filter(let(prefecture(s), of), lambda k: F.length(k) >= 6))
 
 
 def appears(keys: Column, text: Column) -> Column:
-    """Whether a key, or (from eight letters) a key with one other letter, stands in a normalised text."""
+    """Whether a key, or (from eight letters) a key with one other letter, stands in a normalised text.
+
+    A key with one other letter has one of its halves unchanged, so a pattern is built and compiled only where a half stands in the text.
+    """
+
+    def one_off(k: Column) -> Column:
+        half = F.floor(F.length(k) / 2).cast("int")
+        near = F.contains(text, F.substring(k, F.lit(1), half)) | F.contains(text, F.substring(k, half + 1, F.length(k)))
+        letters = F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.regexp_replace(F.substring(k, i, F.lit(1)), r"([\W_])", r"\\$1"))
+        other = lambda e: F.transform(e, lambda _, i: F.concat(F.array_join(F.slice(e, F.lit(1), i), ""), F.lit("."), F.array_join(F.slice(e, i + 2, F.size(e)), "")))
+        return near & F.regexp_like(text, F.array_join(let(letters, other), "|"))
+
     exact = F.exists(keys, lambda k: F.contains(text, k))
-    one_off = lambda k: F.exists(F.sequence(F.lit(1), F.length(k)), lambda i: F.regexp_like(text, F.concat(F.regexp_replace(F.substring(k, F.lit(1), i - 1), r"([\W_])", r"\\$1"), F.lit("."), F.regexp_replace(F.substring(k, i + 1, F.length(k)), r"([\W_])", r"\\$1"))))
     return F.coalesce(exact | F.exists(keys, lambda k: (F.length(k) >= 8) & one_off(k)), F.lit(False))
 
 

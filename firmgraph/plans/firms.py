@@ -46,11 +46,11 @@ k AS (SELECT *, pref || city || rest AS whole FROM a)
 SELECT id, whole AS key, nullif(pref, '') AS prefecture, city, CASE WHEN pref = '' THEN [substr(whole, 1, 12)] ELSE [substr(whole, 1, 12), substr(city || rest, 1, 10)] END AS keys, true AS shown, false AS elsewhere FROM k""")
 def firm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses as keys, their parts, the beginnings by which pages show them, and whether two texts do."""
-    a = F.col("address")
-    keys = text.address_keys(a)
-    shown = text.appears(keys, text.address(F.concat(F.lit("本社 "), a, F.lit(" 電話"))))
-    rows = _customers(spark, sf_dir, address=ADDRESS)
-    return rows.select("id", text.address(a).alias("key"), text.prefecture(a).alias("prefecture"), text.city(a).alias("city"), keys.alias("keys"), shown.alias("shown"), text.appears(keys, text.address(F.lit("北海道札幌市北区"))).alias("elsewhere"))
+    a, c = F.col("address"), F.col
+    # dealt anew: a small file of many customers would be one task's
+    rows = _customers(spark, sf_dir, address=ADDRESS).repartition("id")
+    told = rows.select("id", "address", text.address_keys(a).alias("keys"), text.address(F.concat(F.lit("本社 "), a, F.lit(" 電話"))).alias("page"), text.address(F.lit("北海道札幌市北区")).alias("other"))
+    return told.select("id", text.address(a).alias("key"), text.prefecture(a).alias("prefecture"), text.city(a).alias("city"), "keys", text.appears(c("keys"), c("page")).alias("shown"), text.appears(c("keys"), c("other")).alias("elsewhere"))
 
 
 DIGITS = f"'06' || lpad(CAST({K} * 7919 % 100000000 AS STRING), 8, '0')"
