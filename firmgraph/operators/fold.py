@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from firmgraph.operators.resolve import Saved, fuzzy_pairs
+from firmgraph.operators.resolve import Saved, dealt_evenly, similar_names
 
 LEVELS = ("corporate_number", "domain", "phone", "name_address", "name_city", "fuzzy_name")
 PARTS = {"corporate_number": ("number",), "domain": ("domain",), "phone": ("phone",), "name_address": ("name", "address"), "name_city": ("name", "city")}
@@ -110,7 +110,7 @@ def _found(asks: DataFrame, offered: DataFrame, top: int, saved: Saved, turn: in
     first = offered.groupBy(*key).agg(F.min_by(F.struct("founder", "high"), F.struct("low", "founder")).alias("first"))
     # what the earliest one covers for as long counts no more if it was founded later
     counts = offered.join(first, key).filter((F.col("founder") <= F.col("first.founder")) | (F.col("high") > F.col("first.high"))).drop("first")
-    counts = saved.save(counts, f"offers-{turn}")
+    counts = saved.save(dealt_evenly(counts, *key, "low"), f"offers-{turn}")
     sizes = counts.groupBy(*key).agg(F.count("*").alias("n"), F.first("founder").alias("founder"), F.first("low").alias("low"), F.first("high").alias("high"))
     one = sizes.filter("n = 1").drop("n")
     plain = asks.join(one, key).filter((F.col("low") < F.col("place")) & (F.col("place") <= F.col("high"))).select("place", "rank", "founder")
@@ -133,14 +133,14 @@ def resolve_in_order(rows: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataF
     if top is None:
         return rows.select("id", F.col("id").alias("entity"), F.lit(None).cast("string").alias("reason"))
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.nullif(F.col(a), F.lit("")).alias("value")) for a in ATTRIBUTES])).alias("a")
-    values = saved.save(rows.select("place", "trust", each).select("place", "trust", "a.*").filter("value IS NOT NULL"), "values")
+    values = saved.save(dealt_evenly(rows, "place").select("place", "trust", each).select("place", "trust", "a.*").filter("value IS NOT NULL"), "values")
     kinds = F.when(F.coalesce("number", F.lit("")) == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), "number"), F.lit("free")))
     asking = rows.filter("NOT seed")
     asks = [asking.select("place", F.lit(i).alias("rank"), F.lit(k).alias("level"), _key(PARTS[k]).alias("value"), F.explode(kinds).alias("kind")) for i, k in enumerate(levels) if k in PARTS]
     if "fuzzy_name" in levels:
         # of names, not of names in a city: an entity can have its name from one member and its city from another
-        names = rows.filter(F.length("name") >= LETTERS).select("name", F.col("name").alias("key")).distinct()
-        pairs = saved.save(fuzzy_pairs(names, [], "key", "name", ALIKE), "alike")
+        names = rows.filter(F.length("name") >= LETTERS).select("name")
+        pairs = saved.save(similar_names(names, [], "name", ALIKE), "alike")
         alike = pairs.select("a", "b").unionAll(pairs.select("b", "a")).toDF("name", "other")
         asks.append(asking.filter(F.col("city") != "").join(alike, "name").select("place", F.lit(levels.index("fuzzy_name")).alias("rank"), F.lit("name_city").alias("level"), F.concat_ws(JOINT, "other", "city").alias("value"), F.explode(kinds).alias("kind")))
     asks = reduce(DataFrame.unionAll, asks).filter("value IS NOT NULL")
@@ -149,7 +149,7 @@ def resolve_in_order(rows: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataF
     single = {k: p[0] for k, p in PARTS.items() if len(p) == 1}
     part = F.element_at(F.create_map(*[F.lit(x) for pair in single.items() for x in pair]), F.col("level"))
     alone = asks.filter(F.col("level").isin(list(single))).withColumn("part", part).join(held.select("part", "value"), ["part", "value"], "left_semi").select(*asks.columns)
-    asks = saved.save(alone.unionAll(asks.filter(~F.col("level").isin(list(single)))), "asks")
+    asks = saved.save(dealt_evenly(alone.unionAll(asks.filter(~F.col("level").isin(list(single)))), "place"), "asks")
     guess, turn = saved.save(rows.select("place", F.col("place").alias("founder"), F.lit(None).cast("int").alias("rank")), "guess-0"), 0
     while True:
         offered = offers(shown(values.join(guess.select("place", "founder"), "place"), top), levels)
