@@ -6,9 +6,11 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from firmgraph.functions import dims, urls
@@ -19,6 +21,8 @@ from firmgraph.operators.resolve import Saved, keep_first
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 SKIPPED = frozenset("script style noscript svg iframe template".split())
 PAGE_KINDS = ("title: string", "description: string", "text: string", "links: array<struct<url: string, text: string>>", "has_form: boolean", "has_textarea: boolean", "field_count: int")
+#: Pages whose Python objects are there together.
+AT_ONCE = 64
 PAGE_FIELDS = [f.split(":")[0] for f in PAGE_KINDS]
 
 
@@ -89,14 +93,20 @@ def read_page(html: str | None, base: str | None, most: int | None) -> dict:
 def page_features(pages: DataFrame, most: int | None = None, parts: tuple[str, ...] = tuple(PAGE_FIELDS)) -> DataFrame:
     """pages(url, html) with page(title, text, links, form fields), or those parts of it that are asked for: only they leave Python.
 
-    most: letters of text that a store keeps, if it has a limit.
+    most: letters of text that a store keeps, if it has a limit. A batch is read AT_ONCE pages at a time: Python holds objects of so many, the rest stays Arrow's.
     """
     kinds = dict(f.split(": ", 1) for f in PAGE_KINDS)
     schema = ", ".join(f"{p} {kinds[p]}" for p in parts)
 
-    @F.pandas_udf(schema)
-    def read(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([{p: page[p] for p in parts} for page in (read_page(h, u, most) for h, u in zip(html, url))], columns=list(parts))
+    kind = to_arrow_type(StructType.fromDDL(schema))
+
+    @F.arrow_udf(schema)
+    def read(html: pa.Array, url: pa.Array) -> pa.Array:
+        made = []
+        for i in range(0, len(html), AT_ONCE):
+            found = [read_page(h, u, most) for h, u in zip(html.slice(i, AT_ONCE).to_pylist(), url.slice(i, AT_ONCE).to_pylist())]
+            made.append(pa.array([{p: page[p] for p in parts} for page in found], kind))
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     return pages.withColumn("page", read("html", "url"))
 

@@ -79,3 +79,13 @@ def test_similar_names_are_compared_once_for_all_their_rows(spark, monkeypatch):
     assert sorted(got) == sorted(want)
     told = resolve.similar_names(spark.createDataFrame(rows, "id int, block int, name string"), ["block"], "name", 0.88).collect()
     assert sorted((r["block"], r["a"], r["b"]) for r in told) == [(0, *sorted(names[:2])), (1, *sorted(names[:2]))]
+
+
+def test_pages_are_read_a_few_at_a_time(spark):
+    """Python held the parsed pages of a whole Arrow batch."""
+    from firmgraph.operators import crawl
+
+    n = 2 * crawl.AT_ONCE + 3
+    rows = [(i, "https://h.jp/", None if i % 5 == 0 else f"<title>t{i}</title><a href='/{i}'>l</a>") for i in range(n)]
+    got = crawl.page_features(spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(1), parts=("title", "links")).collect()
+    assert {r["page_id"]: (r["page"]["title"], [x["url"] for x in r["page"]["links"]]) for r in got} == {i: (f"t{i}", [f"https://h.jp/{i}"]) if i % 5 else (None, []) for i in range(n)}
