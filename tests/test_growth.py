@@ -89,3 +89,14 @@ def test_pages_are_read_a_few_at_a_time(spark):
     rows = [(i, "https://h.jp/", None if i % 5 == 0 else f"<title>t{i}</title><a href='/{i}'>l</a>") for i in range(n)]
     got = crawl.page_features(spark.createDataFrame(rows, "page_id int, url string, html string").coalesce(1), parts=("title", "links")).collect()
     assert {r["page_id"]: (r["page"]["title"], [x["url"] for x in r["page"]["links"]]) for r in got} == {i: (f"t{i}", [f"https://h.jp/{i}"]) if i % 5 else (None, []) for i in range(n)}
+
+
+def test_many_needles_of_one_name_and_ids_that_are_null(spark):
+    """All rows of a name met all its texts in one task; no join of the result is by name and row any more."""
+    from firmgraph.operators.containment import contained
+
+    needles, texts = [*((i, "s") for i in range(300)), (None, "sup"), (900, "supplier"), (901, "none")], [*((i, "a supplier") for i in range(300)), (None, "sup")]
+    found = contained(spark.createDataFrame(needles, "n long, name string"), spark.createDataFrame(texts, "t long, body string"), "n", "name", "t", "body")
+    key = lambda p: tuple((x is None, x or 0) for x in p)
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(((n, t) for n, name in needles for t, body in texts if name in body), key=key)
+    assert "explode(ids_b" in found._jdf.queryExecution().optimizedPlan().toString()
