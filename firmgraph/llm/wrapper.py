@@ -12,9 +12,10 @@ What HTML itself names as no content - navigation, headers, footers, asides, for
 never content. Where a host has too few pages to tell (under LEAST), or a page does not match its wrapper, its article or main
 element is the region, or without one the body.
 
-Layouts with less than 1 / LAYOUTS of a host's pages are aligned with the host's most frequent one, so that a host has at
-most LAYOUTS references. They go to the pages by broadcast if their measured size allows, else by a join that Spark can split
-for hosts with very many pages.
+Every layout with LEAST pages has a wrapper, however many layouts its host has. Pages of layouts with fewer, which cannot tell
+what is constant, vote on the host's most frequent layout and take its wrapper if it fits: if its region holds DOMINANT of the
+characters that are not constant on the page too. A wrapper is a row, which goes to its pages by broadcast if the measured size
+of all allows, else by a join that Spark can split for layouts with very many pages.
 
 Matching is exact for children lists whose product is at most EXACT; longer ones are first cut at children whose shape occurs
 once on both sides, and what is left is read side by side, skipping to the next equal shape within NEAR. Weights of subtrees
@@ -43,7 +44,7 @@ from pyspark.sql.types import LongType
 
 from firmgraph.llm.common import Workspace, broadcast_if_small
 
-SHARE, LEAST, DOMINANT, LAYOUTS, EXACT, NEAR = 0.6, 3, 0.75, 16, 4096, 32
+SHARE, LEAST, DOMINANT, EXACT, NEAR = 0.6, 3, 0.75, 4096, 32
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|title|iframe|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>",
@@ -312,6 +313,7 @@ class Wrapper:
     root: Node
     region: Node
     template: dict[int, int]  # by id of a node of the reference: the signature of its text
+    constant: dict[int, int]  # likewise, for all constant texts
 
 
 def load_wrapper(page: str, seen: list[tuple[int, int, int, int, int, int]]) -> Wrapper | None:
@@ -365,7 +367,7 @@ def load_wrapper(page: str, seen: list[tuple[int, int, int, int, int, int]]) ->
                 template[id(n)] = constant[i]
             if not own[i]:
                 todo += n.children
-    return Wrapper(root, order[region], template)
+    return Wrapper(root, order[region], template, {id(order[i]): sign for i, sign in constant.items()})
 
 
 def _up(parent: list[int], i: int) -> Iterator[int]:
@@ -374,14 +376,23 @@ def _up(parent: list[int], i: int) -> Iterator[int]:
         i = parent[i]
 
 
-def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
-    """The content blocks of a page, joined by empty lines."""
+def _fits(wrapper: Wrapper, pairs: list[tuple[Node, Node]], root: Node) -> bool:
+    """Whether a page has DOMINANT of the characters that are not constant in the region of a wrapper of another layout."""
+    known = {id(b): wrapper.constant[id(a)] for a, b in pairs if id(a) in wrapper.constant}
+    chars = lambda n: 0 if n.out or not (text := own_text(n)) or known.get(id(n)) == signature(text) else len(text)
+    inside = sum(chars(n) for a, b in pairs if a is wrapper.region for n in nodes(b))
+    return inside >= DOMINANT * sum(map(chars, nodes(root)))
+
+
+def extract(page: str | None, wrapper: Wrapper | None = None, own: bool = True) -> str:
+    """The content blocks of a page, joined by empty lines; own: whether the wrapper is of the page's layout."""
     root = parse(page)
     tops: list[Node] = []
     drop: set[int] = set()
     if wrapper is not None:
         shapes(root)
-        for a, b in align(wrapper.root, root):
+        pairs = align(wrapper.root, root)
+        for a, b in pairs if own or _fits(wrapper, pairs, root) else ():
             if a is wrapper.region and not b.out:
                 tops = [b]
             if id(a) in wrapper.template and wrapper.template[id(a)] == signature(own_text(b)):
@@ -438,86 +449,85 @@ def layout_of(html: pa.Array) -> pa.Array:
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """host, layout, html, n of the layouts with a share of at least 1 / LAYOUTS of their host's pages; a row for each."""
+    """host, layout, html, n of the layouts of each host; a row for each."""
     # long pages are references only where there is no other
     rank = F.struct(F.floor(F.length("html") / 16384), F.xxhash64("html"), "html")
     known = pages.filter("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), "html", rank.alias("rank"))
     return known.withColumn("layout", layout_of("html")).groupBy("host", "layout").agg(F.min("rank")["html"].alias("html"), F.count("*").alias("n"))
 
 
-def induce_wrappers(pages: DataFrame, work: Workspace) -> DataFrame:
-    """host, wrappers: for each host with LEAST pages, its layouts, the most frequent first, each with its reference and what all pages have at its nodes."""
+def induce_wrappers(pages: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """host, main, many: the hosts with LEAST pages, their most frequent layout, and whether there are others; and host, layout, reference, seen:
+    that layout and each with LEAST pages, with its reference page and what its pages have at the nodes of that."""
     found = work.save(references(pages), "layouts")
-    hosts = found.groupBy("host").agg(F.sum("n").alias("all")).filter(F.col("all") >= LEAST)
-    kept = found.join(hosts, "host").filter(F.col("n") * LAYOUTS >= F.col("all"))
-    # at most LAYOUTS rows a host
-    listed = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "layout", "html"))).alias("known"))
-    listed = work.save(listed.select("host", F.transform("known", lambda x: F.struct(x["layout"].alias("layout"), x["html"].alias("html"))).alias("known")), "references")
-    fed = _with_host(pages.filter("html IS NOT NULL"), listed).filter("known IS NOT NULL").select("host", "html", "known")
+    most = F.min(F.struct((-F.col("n")).alias("less"), "layout"))["layout"].alias("main")
+    hosts = work.save(found.groupBy("host").agg(F.sum("n").alias("all"), most, (F.count("*") > 1).alias("many")).filter(F.col("all") >= LEAST).select("host", "main", "many"), "hosts")
+    kept = found.join(broadcast_if_small(hosts, 256), "host").filter((F.col("n") >= LEAST) | (F.col("layout") == F.col("main")))
+    listed = work.save(kept.select("host", "layout", F.col("html").alias("reference")), "references")
+    fed = _with_wrappers(pages.filter("html IS NOT NULL"), hosts, listed).filter("reference IS NOT NULL").select("host", "layout", "html", "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, tuple] = {}
         for batch in batches:
             counts: Counter = Counter()
-            for host, page, known in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "known"))):
+            for host, own, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "html", "reference"))):
                 root = parse(page)
                 shapes(root)
-                chosen = _chosen(known, root)
-                text = known[chosen]["html"]
                 if text not in loaded:
                     if len(loaded) >= 100:
                         loaded.clear()
                     reference = parse(text)
                     shapes(reference)
                     loaded[text] = reference, {id(n): i for i, n in enumerate(nodes(reference))}
-                counts.update((host, chosen, *x) for x in observed(*loaded[text], root))
+                counts.update((host, own, *x) for x in observed(*loaded[text], root))
             columns = list(zip(*counts)) or [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(counts.values(), pa.int64())], ["host", "chosen", "node", "sign", "chars", "n"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(counts.values(), pa.int64())], ["host", "layout", "node", "sign", "chars", "n"])
 
-    texts = fed.mapInArrow(run, "host string, chosen int, node int, sign long, chars long, n long")
-    each = texts.groupBy("host", "chosen", "node", "sign").agg(F.sum("n").alias("n"), F.sum(F.col("chars") * F.col("n")).alias("chars"))
+    texts = fed.mapInArrow(run, "host string, layout long, node int, sign long, chars long, n long")
+    each = texts.groupBy("host", "layout", "node", "sign").agg(F.sum("n").alias("n"), F.sum(F.col("chars") * F.col("n")).alias("chars"))
     top = F.max(F.when(F.col("sign") != 0, F.struct("n", "sign", "chars")))
-    seen = each.groupBy("host", "chosen", "node").agg(F.sum("n").alias("pages"), top.alias("top"), F.sum("chars").alias("chars"))
+    seen = each.groupBy("host", "layout", "node").agg(F.sum("n").alias("pages"), top.alias("top"), F.sum("chars").alias("chars"))
     one = F.struct("node", "pages", F.coalesce("top.sign", F.lit(0)).alias("sign"), F.coalesce("top.n", F.lit(0)).alias("same"), F.coalesce("top.chars", F.lit(0)).alias("same_chars"), "chars")
     # as many rows as the reference has nodes
-    stats = seen.groupBy("host", "chosen").agg(F.collect_list(one).alias("seen"))
-    by_host = stats.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("chosen", "seen"))).alias("seen"))
-    made = listed.join(by_host, "host").select("host", F.transform("known", lambda x, i: x.withField("seen", F.col("seen")[i])).alias("known"))
-    return work.save(made, "wrappers")
-
-
-def _chosen(known: list[dict], root: Node) -> int:
-    """The layout of a page among those of its host, or else the first."""
-    own = layout(root) if len(known) > 1 else None
-    return next((i for i, k in enumerate(known) if k["layout"] == own), 0)
+    stats = seen.groupBy("host", "layout").agg(F.collect_list(one).alias("seen"))
+    return hosts, work.save(listed.join(stats, ["host", "layout"]), "wrappers")
 
 
-def _with_host(pages: DataFrame, by_host: DataFrame) -> DataFrame:
-    size = by_host.agg(F.max(F.aggregate("known", F.lit(0), lambda a, x: a + F.octet_length(x["html"]) * 2))).first()[0] or 0
-    return pages.withColumn("host", host_of(F.col("url"))).join(broadcast_if_small(by_host, size + 256), "host", "left")
+def _with_wrappers(pages: DataFrame, hosts: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """pages with host, layout, own and the columns of wrappers(host, layout, reference, ...), null without one; own: the wrapper is of the page's layout."""
+    size = wrappers.agg(F.max(F.octet_length("reference"))).first()[0] or 0
+    rows = pages.withColumn("host", host_of(F.col("url"))).join(broadcast_if_small(hosts, 256), "host", "left")
+    if hosts.filter("many").limit(1).count():
+        # where a host has one layout, its pages are not parsed for it
+        rows = rows.withColumn("layout", layout_of(F.when(F.col("many"), F.col("html"))))
+        named = wrappers.select("host", "layout", F.lit(True).alias("own")).join(broadcast_if_small(hosts.filter("many").select("host"), 256), "host", "left_semi")
+        rows = rows.join(broadcast_if_small(named, 256), ["host", "layout"], "left")
+        rows = rows.withColumns({"layout": F.when(F.col("own"), F.col("layout")).otherwise(F.col("main")), "own": F.col("own").isNotNull() | ~F.col("many")})
+    else:
+        rows = rows.withColumns({"layout": F.col("main"), "own": F.lit(True)})
+    return rows.drop("main", "many").join(broadcast_if_small(wrappers, size * 2 + 256), ["host", "layout"], "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages(page_id, url, html)."""
     work = Workspace(pages.sparkSession, "wrapper")
     pages = pages.select("page_id", "url", "html")
-    fed = _with_host(pages, induce_wrappers(pages, work)).select("page_id", "url", "html", "known")
+    fed = _with_wrappers(pages, *induce_wrappers(pages, work)).select("page_id", "url", "html", "reference", "seen", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, Wrapper | None] = {}
         for batch in batches:
             out = []
-            for page, known in zip(batch.column("html").to_pylist(), batch.column("known").to_pylist()):
+            for page, text, seen, own in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "seen", "own"))):
                 wrapper = None
-                if known and page:
-                    own = known[_chosen(known, parse(page)) if len(known) > 1 else 0]
-                    if own["html"] not in loaded:
+                if text is not None and page:
+                    if text not in loaded:
                         if len(loaded) >= 100:
                             loaded.clear()
-                        loaded[own["html"]] = load_wrapper(own["html"], [tuple(x.values()) for x in own["seen"] or ()])
-                    wrapper = loaded[own["html"]]
-                out.append(extract(page, wrapper))
+                        loaded[text] = load_wrapper(text, [tuple(x.values()) for x in seen])
+                    wrapper = loaded[text]
+                out.append(extract(page, wrapper, own))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return fed.mapInArrow(run, "page_id long, url string, text string, n_chars long")

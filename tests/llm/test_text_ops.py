@@ -156,6 +156,21 @@ def test_layouts_of_a_host_have_their_own_wrappers(spark):
     assert got == {i: ("First kind" if i % 2 else "Second kind") + f" {i}" for i in range(40)}
 
 
+def test_every_layout_of_a_host_has_its_wrapper(spark):
+    """Layouts with less than a sixteenth of a host's pages were read by the wrapper of its most frequent one."""
+    # twenty layouts of four pages: menu, content and imprint have their places by the number of boxes before them
+    page = lambda k, i: f"<body>{'<div>Box</div>' * (k % 4)}<div id=m{k}>Menu {k}</div><div id=c{k}><p>Own {k} {i}.</p></div><section><div>Shared {k} lines, which all pages of the layout have</div></section></body>"
+    rows = [(100 * k + i, f"http://h/{k}/{i}", page(k, i)) for k in range(20) for i in range(4)]
+    # the most frequent layout, and pages of rare ones: with one more box, of another kind, with an article
+    plain = lambda i, more="": f"<body><div>Menu</div>{more}<table><tr><td>Words of page {i}.</td></tr></table><div>Imprint of all</div></body>"
+    rows += [(i, f"http://h/{i}", plain(i)) for i in range(5000, 5030)] + [(6000, "http://h/x", plain(6000, "<section></section>"))]
+    rows += [(6001, "http://h/y", "<body><section><p>A long text that stands apart.</p></section><table><tr><td>small</td></tr></table></body>")]
+    got = texts_of(spark, rows)
+    assert {i: got[i] for i in got if i < 5000} == {100 * k + i: f"Own {k} {i}." for k in range(20) for i in range(4)}
+    assert {i: got[i] for i in got if 5000 <= i <= 6000} == {i: f"Words of page {i}." for i in [*range(5000, 5030), 6000]}
+    assert got[6001] == "A long text that stands apart.\n\nsmall"
+
+
 def test_deep_wide_and_long_pages(spark):
     deep = lambda i: "<div>" * 2000 + f"<p>deep {i}</p>" + "</div>" * 2000
     rng = random.Random(5)
