@@ -12,7 +12,7 @@ with a single component are done. The first round takes a few bands, which conne
 pairs; the second takes all bands. What is then still left lies in dense buckets of texts that are mostly not similar, such
 as those that share a common passage. For these, buckets are formed by their rarest shingles, where similar texts must meet
 and a common passage does not count, and rounds go on, with eight times as many pivots each, until no bucket has two
-components. There a text's place in a bucket tells how much of it is not shared by rarer shingles, which bounds J_P from
+components; the last round compares all that is left, once the buckets hold at most LAST pairs. There a text's place in a bucket tells how much of it is not shared by rarer shingles, which bounds J_P from
 above: pivots come by that share, and texts that cannot reach the threshold with any text left in the bucket leave it.
 So every pair of a shared bucket is compared, connected already, or too far apart by that bound.
 Candidates are first compared by signature, at a bound of five standard deviations below the threshold, and then exactly by
@@ -42,12 +42,17 @@ from firmgraph.llm.common import Workspace, broadcast_if_small, word_hashes
 from firmgraph.llm.shingles import mix, probability_jaccard, shingle_hashes, union_weights, weighted
 from firmgraph.operators.resolve import connected_components
 
-ROWS, BANDS, PIVOTS, FIRST_BANDS, SPLIT = 5, 25, 2, 5, 64
+ROWS, BANDS, PIVOTS, FIRST_BANDS, SPLIT, LAST = 5, 25, 2, 5, 64, 1 << 16
 REGISTERS = ROWS * BANDS
 THRESHOLD = 0.8
 STEP_WORDS = 200_000
 
 
+def few(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A saved table that meets others without a shuffle if it takes at most 2 MB: the rounds' shuffles have few rows but as many tasks as any."""
+    return broadcast_if_small(df, row_bytes, 2 << 20)
+
+
 def prob_minhash(h: np.ndarray, doc: np.ndarray, w: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
     """Registers (n_docs, m): for each, the shingle of the earliest arrival; 0 for texts without shingles."""
     first = np.full(n_docs * m, np.inf)
@@ -124,7 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """The pairs(a, b) of which at least that share of registers is equal."""
-    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    both = few(pairs, 16).join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +141,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 
 def _words_of(ids: DataFrame, docs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """id, words of the texts with these ids, a row for each."""
-    wanted = work.save(texts.select("id", "first", "k1", "k2").join(broadcast_if_small(work.save(ids, f"{name}-ids"), 64), "id", "left_semi"), f"{name}-wanted")
+    """id, words of the texts with these ids, a row for each; ids is a saved table or a broadcast one."""
+    wanted = work.save(texts.select("id", "first", "k1", "k2").join(ids, "id", "left_semi"), f"{name}-wanted")
     wanted = broadcast_if_small(wanted, 96)
     found = keyed(docs.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
     own = (found.doc_id == wanted["first"]) & (found.k1 == wanted.k1) & (found.k2 == wanted.k2)
@@ -146,11 +151,14 @@ def _words_of(ids: DataFrame, docs: DataFrame, texts: DataFrame, work: Workspace
 
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float, work: Workspace, name: str) -> DataFrame:
     """a, b, similarity of the pairs whose exact J_P over whole texts reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+    ids = few(ends, 8)
+    if ids is ends:
+        ids = broadcast_if_small(work.save(ends.distinct(), f"{name}-ids"), 64)
     # 31 bits a word: a shingle of five still has 155
     bags = _words_of(ids, docs, texts, work, name).select("id", F.transform("words", lambda x: F.pmod(x, F.lit(1 << 31)).cast("int")).alias("words"))
     bags = work.save(bags, f"{name}-bags")
-    both = pairs.join(bags.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(bags.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    both = few(pairs, 16).join(bags.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(bags.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
 
     def bag(words: np.ndarray):
         h, doc = shingle_hashes(words, np.array([len(words)]))
@@ -178,7 +186,7 @@ def _prefixes(docs: DataFrame, texts: DataFrame, ids: DataFrame, work: Workspace
     At the first shingle that they share, what is before it is not shared. own has the share of weight before it, the number
     of distinct shingles from it on, how many shingles repeat others, and the number of all.
     """
-    bags = _words_of(ids, docs, texts, work, "dense")
+    bags = _words_of(broadcast_if_small(ids, 64), docs, texts, work, "dense")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +206,9 @@ def _prefixes(docs: DataFrame, texts: DataFrame, ids: DataFrame, work: Workspace
     before = F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = ranked.withColumns({"before": before, "left": F.col("kinds") - F.row_number().over(order) + 1})
     placed = placed.filter(F.col("df").isNotNull() & (F.col("before") <= 1 - threshold + 1e-6))
-    return placed.select("id", "h", F.struct("before", "left", (F.col("size") - F.col("kinds")).alias("repeats"), "size").alias("own"))
+    found = work.save(placed.select("id", "h", F.struct("before", "left", (F.col("size") - F.col("kinds")).alias("repeats"), "size").alias("own")), "prefixes")
+    work.drop("shingles")
+    return found
 
 
 #: For buckets that tell nothing of what is shared.
@@ -219,7 +229,7 @@ def _reach(a: Column, b: Column, threshold: float) -> Column:
 
 def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: float = THRESHOLD, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """The components, id, label, of the links between different texts(id, first, k1, k2, bands, sig), and the verified links that formed them, a, b, similarity."""
-    state: dict = {"labels": None, "k": 0, "links": texts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)}
+    state: dict = {"labels": None, "k": 0, "links": texts.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0), "most": 0}
 
     def labelled(rows: DataFrame) -> DataFrame:
         if state["labels"] is None:
@@ -230,45 +240,58 @@ def near_links(docs: DataFrame, texts: DataFrame, work: Workspace, threshold: fl
     def merged(found: DataFrame, k: int) -> DataFrame:
         """Labels after new links: the components of the components that the links join."""
         ends = work.save(labelled(found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()), f"ends{k}")
+        ends = few(ends, 16)
         side = lambda c: ends.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-        joined = connected_components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        joined = connected_components(found.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), sent=1 << 16)
         known = ends if state["labels"] is None else state["labels"].unionAll(ends.join(state["labels"], "id", "left_anti"))
-        roots = joined.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        return work.save(known.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")), f"labels{k}")
+        roots = few(joined, 16).select(F.col("id").alias("label"), F.col("label").alias("root"))
+        return few(work.save(known.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")), f"labels{k}"), 16)
 
     def mixed(rows: DataFrame, name: str) -> DataFrame | None:
         """The rows of buckets that have more than one component, with labels; None if there are none."""
         rows = labelled(rows)
-        good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.struct(F.min("own.before").alias("before"), F.max("own.left").alias("left"), F.max("own.repeats").alias("repeats"), F.min("own.size").alias("size")).alias("best")).filter("mixed").select("h", "best")
+        good = rows.groupBy("h").agg((F.min("label") != F.max("label")).alias("mixed"), F.struct(F.min("own.before").alias("before"), F.max("own.left").alias("left"), F.max("own.repeats").alias("repeats"), F.min("own.size").alias("size")).alias("best"), F.count("*").alias("n")).filter("mixed").select("h", "best", "n")
+        good = work.save(good, f"{name}-buckets")
+        state["most"] = good.agg(F.sum(F.col("n") * F.col("n").cast("double"))).first()[0]
+        if state["most"] is None:
+            return None
         # buckets that are still mixed are few: the rows need not meet them by a shuffle in which a dense bucket is one task
-        rows = rows.join(broadcast_if_small(work.save(good, f"{name}-buckets"), 96), "h").filter(_reach(F.col("best"), F.col("own"), threshold)).drop("best")
+        rows = rows.join(broadcast_if_small(good.drop("n"), 96), "h").filter(_reach(F.col("best"), F.col("own"), threshold)).drop("best")
         rows = work.save(rows.withColumn("rank", F.xxhash64("id")), name)
         return rows if rows.limit(1).count() else None
 
-    def round_(rows: DataFrame, n: int) -> DataFrame | None:
-        """Compare the first n texts of each bucket with those of other components; the others are left, where components still differ."""
-        k = state["k"] = state["k"] + 1
-        # the first n of each part of a bucket, then of the bucket: no task sorts a whole one
-        first = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("own", "rank", "id"))).filter(F.col("rn") <= n)
-        heads = first(first(rows.withColumn("split", F.pmod(F.xxhash64("id", F.lit(n)), F.lit(SPLIT))), "h", "split"), "h")
-        heads = work.save(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("own").alias("own_a"), F.col("label").alias("la")), f"heads{k}")
+    def met(rows: DataFrame, heads: DataFrame) -> DataFrame:
+        """a, b: the pairs of a head and another text of its bucket that have different labels and can be similar."""
+        heads = few(heads.select("h", F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("own").alias("own_a"), F.col("label").alias("la")), 96)
         after = F.struct("own_a", "ra", "a") < F.struct("own", "rank", "id")
-        met = rows.join(heads, "h").filter((F.col("la") != F.col("label")) & after & _reach(F.col("own_a"), F.col("own"), threshold))
-        pairs = work.save(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), f"pairs{k}")
-        alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
-        found = work.save(_verified(alike, docs, texts, threshold, work, f"round{k}"), f"links{k}")
+        found = rows.join(heads, "h").filter((F.col("la") != F.col("label")) & after & _reach(F.col("own_a"), F.col("own"), threshold))
+        return found.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+
+    def round_(rows: DataFrame, n: int, more: bool = True) -> DataFrame | None:
+        """Compare the first n texts of each bucket with those of other components; the others are left, where components still differ, if there are more rounds of these buckets."""
+        k = state["k"] = state["k"] + 1
+        last = state["most"] <= 2 * LAST
+        if not last:
+            # the first n of each task's part of a bucket, or where n are many of each part of it, then of the bucket: no task sorts a whole one
+            first = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("own", "rank", "id"))).filter(F.col("rn") <= n)
+            parts = first(rows.withColumn("split", F.pmod(F.xxhash64("id", F.lit(n)), F.lit(SPLIT))), "h", "split") if n > 8 * PIVOTS else rows
+            heads = work.save(first(parts, "h").select("h", "id", "rank", "own", "label"), f"heads{k}")
+        pairs = work.save(met(rows, rows if last else heads).distinct(), f"pairs{k}")
+        if pairs.limit(1).count():
+            alike = work.save(_alike(pairs, texts, threshold - 0.18), f"alike{k}")
+            if alike.limit(1).count():
+                found = work.save(_verified(alike, docs, texts, threshold, work, f"round{k}"), f"links{k}")
+                if found.limit(1).count():
+                    state["links"] = state["links"].unionAll(found)
+                    state["labels"] = merged(found, k)
         for done in (f"pairs{k}", f"alike{k}", f"round{k}-ids", f"round{k}-wanted", f"round{k}-bags"):
             work.drop(done)
-        if found.limit(1).count():
-            state["links"] = state["links"].unionAll(found)
-            state["labels"] = merged(found, k)
-        left = rows.select("h", "id", "own").join(heads.select("h", F.col("a").alias("id")), ["h", "id"], "left_anti")
-        return mixed(left, f"left{k}")
+        return None if last or not more else mixed(rows.select("h", "id", "own").join(few(heads.select("h", "id"), 16), ["h", "id"], "left_anti"), f"left{k}")
 
     banded = texts.select("id", F.posexplode("bands").alias("band", "h"), F.expr(ANY).alias("own"))
     first = mixed(banded.filter(F.col("band") < FIRST_BANDS).select("h", "id", "own"), "first")
     if first is not None:
-        round_(first, 1)
+        round_(first, 1, more=False)
     rows = mixed(banded.select("h", "id", "own"), "all")
     if rows is not None:
         rows = round_(rows, pivots)
@@ -290,7 +313,7 @@ def _classes(docs: DataFrame, threshold: float, pivots: int, work: Workspace) ->
     # several texts may have one doc_id, so they are numbered
     texts = work.save(texts.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first", "x.bands", "x.sig"), "texts")
     labels, links = near_links(named, texts, work, threshold, pivots)
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionAll(links.select("b", "a", "similarity"))
+    ends = few(links.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionAll(links.select("b", "a", "similarity")), 24)
     other = texts.select(F.col("id").alias("other"), F.col("first").alias("link_id"))
     best = ends.join(other, "other").groupBy("id").agg(F.max(F.struct("similarity", (-F.col("link_id")).alias("least"))).alias("best"))
     own = texts.select("id", "k1", "k2", "first").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))

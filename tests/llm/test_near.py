@@ -142,3 +142,25 @@ def test_dense_groups_around_the_threshold(spark):
     got = {r["doc_id"]: r["class_id"] for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), pivots=1).collect()}
     assert got == brute_classes(rows)
     assert 5 < len(set(got.values())) < 60
+
+
+def test_the_last_pairs_take_one_round(spark, monkeypatch):
+    """Rounds of a few rows took hundreds of shuffles; the result is that of rounds to the end."""
+    saved, save = [], nd.Workspace.save
+    monkeypatch.setattr(nd.Workspace, "save", lambda self, df, name, *a: saved.append(name) or save(self, df, name, *a))
+    rows = fixture()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = lambda: {r["doc_id"]: r["class_id"] for r in nd.near_classes(df).collect()}
+    assert classes() == brute_classes(rows)
+    assert "pairs2" in saved and "pairs3" not in saved and "left1" not in saved and not any(t.endswith("-ids") for t in saved)
+    monkeypatch.setattr(nd, "LAST", 0)
+    assert classes() == brute_classes(rows)
+    assert "heads3" in saved
+
+
+def test_components_of_sent_and_of_shuffled_labels_are_the_same(spark):
+    from firmgraph.operators.resolve import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i % 7] + [(40, 30), (30, 40), (5, 5), (3, 50)], "a long, b long")
+    both = [sorted(map(tuple, connected_components(edges, n).collect())) for n in (0, 100)]
+    assert both[0] == both[1] and {b for _, b in both[0]} == {1, 8, 15, 30}
