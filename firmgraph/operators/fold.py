@@ -4,39 +4,47 @@ The loop: each row looks for the first entity, in the order of founding, that sh
 name and address, name and city, or has a similar name in its city; entities that are known to have another number never count. It joins that entity or founds one.
 Of an entity's members so far, the most trusted one with a value gives each attribute, the earliest of equally trusted ones.
 
-The rounds: let A be a guess of the founder that each row joins. A tells what every entity shows at any time, as intervals of the
+Numbers come first and different ones never meet, so an entity keeps the number that it has: from its first row on, all rows with a
+number are where that one is. They follow it and ask nothing. The first one can join entities without a number only; rows without one join any.
+
+The rounds: let A be a guess of the founder that each asking row joins. A tells what every entity shows at any time, as intervals of the
 order; so each row can be given the founder that it would find, all rows at once. The loop's answer is the only guess that gives itself back: the first
 row is right in any round, and a row is right as soon as all before it were. A round ends with founders of founders, a better guess where
 entities merge; right rows stay right. It ends when nothing changes, after as many rounds as answers depend on each other: few where rows
 share keys as companies do, but a chain of rows, each of which is decided by the one before it, takes a round for each of them.
 
-Which of the intervals that hold a row's place has the first founder is asked by equi-joins: an interval is a few blocks of 16^l places, a
-place is in one block of each l, and of each block only the first founder is kept. Most keys have one interval that counts and need a plain join.
-So a key with a third of all rows is spread over the blocks, and nothing is compared for sharing it only.
+A round deals offers (what entities show, and when) and asks by key and goes through each key in the order of places, with a heap of the
+founders that are to be found. Keys of more than HOT rows are not dealt to one task: their intervals are a few blocks of 16^l places each, a
+place is in one block of each l, and of each block only the first founder is kept, so that asks and offers meet by equi-joins.
+Values are whole numbers in the rounds, the place of the first row that has them. Names are compared for rows that found nothing else only.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from firmgraph.operators.resolve import Saved, dealt_evenly, similar_names
 
 LEVELS = ("corporate_number", "domain", "phone", "name_address", "name_city", "fuzzy_name")
-PARTS = {"corporate_number": ("number",), "domain": ("domain",), "phone": ("phone",), "name_address": ("name", "address"), "name_city": ("name", "city")}
+#: The levels that are asked by keys; rows with a number follow the first one that has it.
+PARTS = {"domain": ("domain",), "phone": ("phone",), "name_address": ("name", "address"), "name_city": ("name", "city")}
 ATTRIBUTES = ("number", "domain", "phone", "name", "address", "city")
 #: How alike names of one city must be, and from how many letters on.
 ALIKE, LETTERS = 0.88, 4
 BASE = 16
-JOINT = "\u0001"
-
-
-def _key(parts: tuple[str, ...], of=F.col) -> Column:
-    there = reduce(lambda a, b: a & b, [of(p).isNotNull() & (of(p) != "") for p in parts])
-    return F.when(there, F.concat_ws(JOINT, *[of(p) for p in parts]))
+#: Keys that more rows have or ask for are spread over tasks.
+HOT = 100_000
+#: So many values and asks, as they are before the rounds, make a task of a round.
+TASK = 100_000
+KEY = ("level", "v1", "v2")
+EVENTS = "level int, v1 long, v2 long, at long, offered int, x long, y long, z long"
+FAR = -1  # the second part of keys that have one
 
 
 def _powers(top: int) -> list[int]:
@@ -66,105 +74,206 @@ def _blocks_of_place(at: Column, top: int) -> Column:
     return F.array(*[F.struct(F.lit(size).cast("long").alias("size"), F.floor(at / size).cast("long").alias("block")) for size in _powers(top)])
 
 
-def shown(members: DataFrame, top: int) -> DataFrame:
-    """founder, attribute, value, low, high: what entities show to rows with low < place <= high; members(founder, place, attribute, value, trust)."""
-    # a value counts from its first place on, if no more trusted one stands before it
-    first = members.groupBy("founder", "attribute", "trust").agg(F.min("place").alias("low"), F.min_by("value", "place").alias("value"))
-    own = Window.partitionBy("founder", "attribute").orderBy("low", F.desc("trust"))
-    before = F.max("trust").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    best = first.withColumn("before", before).filter(F.col("before").isNull() | (F.col("trust") > F.col("before")))
-    return best.withColumn("high", F.coalesce(F.lead("low").over(own), F.lit(top + 1))).select("founder", "attribute", "value", "low", "high")
+def _intervals(held: list, top: int) -> list:
+    """low, high, value of held(place, trust, value): a value counts from its first place on, if no more trusted one stands before it."""
+    best, out = None, []
+    for place, trust, value in sorted(held):
+        if best is None or trust > best:
+            if out:
+                out[-1][1] = place
+            best = trust
+            out.append([place, top + 1, value])
+    return out
 
 
-def offers(values: DataFrame, levels: tuple[str, ...]) -> DataFrame:
-    """level, value, kind, founder, low, high: by which keys entities can be found and by whom.
+def _offers_of(levels: list[str], top: int):
+    """Offers of members(founder, trust, places and values of ATTRIBUTES), which come sorted by founder: one for each key and time in which an entity can be found by it.
 
-    kind: '*' for rows without a number, 'free' for rows with one while the entity has none, else the number that the entity has.
+    level, v1, v2, at, 1, founder, high, free: found by rows with at < place <= high, and by rows with a number to place <= free, as the entity has none.
     """
-    of = lambda a: values.filter(F.col("attribute") == a).drop("attribute")
-    found = []
-    for level in levels:
-        if level not in PARTS:
-            continue
-        parts = PARTS[level]
-        if len(parts) == 1:
-            found.append(of(parts[0]).select(F.lit(level).alias("level"), "value", "founder", "low", "high"))
-        else:
-            a, b = of(parts[0]), of(parts[1]).select("founder", F.col("value").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-            both = a.join(b, "founder").withColumns({"low": F.greatest("low", "low2"), "high": F.least("high", "high2")}).filter("low < high")
-            found.append(both.select(F.lit(level).alias("level"), F.concat_ws(JOINT, "value", "other").alias("value"), "founder", "low", "high"))
-    numbers = of("number").groupBy("founder").agg(F.min("low").alias("numbered"), F.min_by("value", "low").alias("number"))
-    rows = reduce(DataFrame.unionAll, found).join(numbers, "founder", "left")
-    kinds = F.array(
-        F.struct(F.lit("*").alias("kind"), F.col("low").alias("low"), F.col("high").alias("high")),
-        F.struct(F.lit("free").alias("kind"), F.col("low").alias("low"), F.least("high", "numbered").alias("high")),
-        F.struct(F.concat(F.lit("="), "number").alias("kind"), F.greatest("low", "numbered").alias("low"), F.col("high").alias("high")),
-    )
-    each = rows.select("level", "value", "founder", F.explode(kinds).alias("k")).select("level", "value", "founder", "k.*")
-    return each.filter(F.col("kind").isNotNull() & (F.col("low") < F.col("high")))
-
-
-def _found(asks: DataFrame, offered: DataFrame, top: int, saved: Saved, turn: int) -> DataFrame:
-    """place, rank, founder: the first founder that answers each of asks(place, rank, level, value, kind); rank is that of the ask."""
-    key = ["level", "value", "kind"]
-    first = offered.groupBy(*key).agg(F.min_by(F.struct("founder", "high"), F.struct("low", "founder")).alias("first"))
+    wanted = [(i, tuple(ATTRIBUTES.index(a) for a in PARTS[k])) for i, k in enumerate(PARTS) if k in levels]
+
+    def of(founder, members):
+        held = [[] for _ in ATTRIBUTES]
+        for _, trust, *cells in members:
+            for i in range(len(ATTRIBUTES)):
+                if cells[2 * i] is not None:
+                    held[i].append((cells[2 * i], trust, cells[2 * i + 1]))
+        numbered = min((h[0] for h in held[0]), default=top + 1)
+        shown = [_intervals(h, top) if h else h for h in held]
+        for level, parts in wanted:
+            first = shown[parts[0]]
+            if len(parts) == 1:
+                found = [(low, high, value, FAR) for low, high, value in first]
+            else:
+                found = [(max(l1, l2), min(h1, h2), a, b) for l1, h1, a in first for l2, h2, b in shown[parts[1]] if max(l1, l2) < min(h1, h2)]
+            for low, high, a, b in found:
+                yield level, a, b, low, 1, founder, high, min(high, numbered)
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        yield from _batches((o for founder, members in groupby(rows, lambda r: r[0]) for o in of(founder, members)), EVENT_ARROW)
+
+    return run
+
+
+EVENT_ARROW = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.int64()) for f in EVENTS.split(", ")])
+BEST_ARROW = pa.schema([("place", pa.int64()), ("best", pa.int64())])
+
+
+def _batches(rows, schema: pa.Schema, size: int = 50_000):
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
+def _answers(top: int):
+    """place, best of asks(.., place, 0, rank, numbered, -) and offers that come by key, in the order of places: the rank and the first founder, as one number."""
+
+    def each(batches):
+        key, any_row, free_row = None, [], []
+        for batch in batches:
+            for level, v1, v2, at, offered, x, y, z in zip(*[c.to_pylist() for c in batch.columns]):
+                if (level, v1, v2) != key:
+                    key, any_row, free_row = (level, v1, v2), [], []
+                if offered:
+                    # what a founder before it offers for as long hides it
+                    for heap, until in ((any_row, y), (free_row, z)):
+                        if at < until and not (heap and heap[0][0] <= x and heap[0][1] >= until):
+                            heappush(heap, (x, until))
+                    continue
+                heap = free_row if y else any_row
+                while heap and heap[0][1] < at:
+                    heappop(heap)
+                if heap:
+                    yield at, x * (top + 1) + heap[0][0]
+
+    return lambda batches: _batches(each(batches), BEST_ARROW)
+
+
+def _met_by_blocks(asks: DataFrame, offers: DataFrame, top: int, saved: Saved, name: str) -> DataFrame:
+    """What _answers gives, by equi-joins."""
+    kinds = F.array(F.struct(F.lit(0).cast("long").alias("y"), F.col("y").alias("high")), F.struct(F.lit(1).cast("long").alias("y"), F.col("z").alias("high")))
+    each = offers.select(*KEY, F.col("at").alias("low"), F.col("x").alias("founder"), F.explode(kinds).alias("k")).select(*KEY, "low", "founder", "k.*").filter("low < high")
+    key = [*KEY, "y"]
+    first = each.groupBy(*key).agg(F.min_by(F.struct("founder", "high"), F.struct("low", "founder")).alias("first"))
     # what the earliest one covers for as long counts no more if it was founded later
-    counts = offered.join(first, key).filter((F.col("founder") <= F.col("first.founder")) | (F.col("high") > F.col("first.high"))).drop("first")
-    counts = saved.save(dealt_evenly(counts, *key, "low"), f"offers-{turn}")
-    sizes = counts.groupBy(*key).agg(F.count("*").alias("n"), F.first("founder").alias("founder"), F.first("low").alias("low"), F.first("high").alias("high"))
-    one = sizes.filter("n = 1").drop("n")
-    plain = asks.join(one, key).filter((F.col("low") < F.col("place")) & (F.col("place") <= F.col("high"))).select("place", "rank", "founder")
-    many = counts.join(sizes.filter("n > 1").select(*key), key)
-    blocks = many.select(*key, "founder", F.explode(_blocks_of_interval(F.col("low") + 1, F.col("high") + 1, top)).alias("b")).groupBy(*key, "b").agg(F.min("founder").alias("founder"))
-    spread = asks.join(sizes.filter("n > 1").select(*key), key).select("place", "rank", *key, F.explode(_blocks_of_place(F.col("place"), top)).alias("b"))
-    return plain.unionAll(spread.join(blocks, [*key, "b"]).select("place", "rank", "founder"))
+    counts = each.join(first, key).filter((F.col("founder") <= F.col("first.founder")) | (F.col("high") > F.col("first.high"))).drop("first")
+    counts = saved.save(dealt_evenly(counts, *key, "low"), name)
+    blocks = counts.select(*key, "founder", F.explode(_blocks_of_interval(F.col("low") + 1, F.col("high") + 1, top)).alias("b")).groupBy(*key, "b").agg(F.min("founder").alias("founder"))
+    spread = asks.select(*key, "at", "x", F.explode(_blocks_of_place(F.col("at"), top)).alias("b"))
+    return spread.join(blocks, [*key, "b"]).select(F.col("at").alias("place"), (F.col("x") * (top + 1) + F.col("founder")).alias("best"))
+
+
+def _found(asks: DataFrame, offers: DataFrame, hot: DataFrame | None, top: int, tasks: int, saved: Saved, name: str) -> DataFrame:
+    """place, best: the best rank and the first founder for each place that asks and is answered."""
+    apart = lambda df, how: df if hot is None else df.join(F.broadcast(hot), [*KEY], how).select(*df.columns)
+    dealt = apart(asks.unionAll(offers), "left_anti").repartition(tasks, *KEY).sortWithinPartitions(*KEY, "at", "offered")
+    met = dealt.mapInArrow(_answers(top), "place long, best long")
+    if hot is not None:
+        met = met.unionAll(_met_by_blocks(apart(asks, "left_semi"), apart(offers, "left_semi"), top, saved, name))
+    return met.groupBy("place").agg(F.min("best").alias("best"))
+
+
+def _asks(rows: DataFrame, level: str, rank: int) -> DataFrame:
+    """Asks of rows(place, numbered, values), as events. A value that no row before has finds nothing."""
+    a, *b = PARTS[level]
+    there = reduce(lambda x, y: x & y, [F.col(p) < F.col("place") for p in PARTS[level]])
+    second = F.col(b[0]) if b else F.lit(FAR).cast("long")
+    number = lambda x: F.lit(x).cast("long")
+    return rows.filter(there).select(F.lit(list(PARTS).index(level)).alias("level"), F.col(a).alias("v1"), second.alias("v2"), F.col("place").alias("at"), F.lit(0).alias("offered"), number(rank).alias("x"), F.col("numbered").cast("long").alias("y"), number(0).alias("z"))
+
+
+def _hot_keys(coded: DataFrame, often: dict[str, int], levels: list[str], alike: DataFrame | None) -> DataFrame | None:
+    """The keys that more than HOT rows have, or ask for by names like theirs; few, as each takes so many rows. often: of how many rows an attribute's most frequent value is."""
+    counts = []
+    for i, (level, parts) in enumerate(PARTS.items()):
+        a, *b = parts
+        near = level == "name_city" and alike is not None
+        if level not in levels or often.get(b[0] if near else min(parts, key=lambda p: often.get(p, 0)), 0) <= HOT:
+            continue
+        key = [F.lit(i).alias("level"), F.col(a).alias("v1"), F.col(b[0]).alias("v2") if b else F.lit(FAR).cast("long").alias("v2"), "n"]
+        held = coded.filter(reduce(lambda x, y: x & y, [F.col(p).isNotNull() for p in parts])).groupBy(*parts).agg(F.count("*").alias("n"))
+        counts.append(held.select(*key))
+        if near:
+            counts.append(held.join(alike, "name").drop("name").withColumnRenamed("other", "name").select(*key))
+    if not counts:
+        return None
+    return reduce(DataFrame.unionAll, counts).groupBy(*KEY).agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select(*KEY)
 
 
 def resolve_in_order(rows: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """id, entity, reason of rows(id, place, seed, trust, number, domain, phone, name, address, city), as the loop would have it.
 
-    place: a distinct whole number from 0 on; entity: the id of the founder; reason: the level at which a row joined, null for founders.
-    Seeds are entities of their own whatever they share; others can join them. Null and empty attributes match nothing.
+    place: a distinct whole number from 0 on, under 1e15; entity: the id of the founder; reason: the level at which a row joined, null for founders.
+    Seeds are entities of their own whatever they share; others can join them. Null and empty attributes match nothing. The first level is the number.
     """
-    spark = rows.sparkSession
-    saved = Saved(spark, "fold")
-    rows = saved.save(rows.select("id", "place", "seed", "trust", *ATTRIBUTES), "rows")
+    if levels[0] != "corporate_number":
+        raise ValueError("numbers come first")
+    saved = Saved(rows.sparkSession, "fold")
+    rows = saved.save(rows.select("id", "place", "seed", F.coalesce("trust", F.lit(-(1 << 31))).alias("trust"), *[F.nullif(F.col(a), F.lit("")).alias(a) for a in ATTRIBUTES]), "rows")
     top = rows.agg(F.max("place")).first()[0]
     if top is None:
         return rows.select("id", F.col("id").alias("entity"), F.lit(None).cast("string").alias("reason"))
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.nullif(F.col(a), F.lit("")).alias("value")) for a in ATTRIBUTES])).alias("a")
-    values = saved.save(dealt_evenly(rows, "place").select("place", "trust", each).select("place", "trust", "a.*").filter("value IS NOT NULL"), "values")
-    kinds = F.when(F.coalesce("number", F.lit("")) == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), "number"), F.lit("free")))
-    asking = rows.filter("NOT seed")
-    asks = [asking.select("place", F.lit(i).alias("rank"), F.lit(k).alias("level"), _key(PARTS[k]).alias("value"), F.explode(kinds).alias("kind")) for i, k in enumerate(levels) if k in PARTS]
+    asked = [k for k in PARTS if k in levels or k == "name_city" and "fuzzy_name" in levels]
+    # of each value, the place of the first row that has it
+    each = [rows.filter(F.col(a).isNotNull()).groupBy(F.lit(a).alias("attribute"), F.col(a).alias("value")).agg(F.min("place").alias("word"), F.count("*").alias("n")) for a in ATTRIBUTES]
+    words = saved.save(reduce(DataFrame.unionAll, each), "words")
+    often = {r["attribute"]: r["n"] for r in words.groupBy("attribute").agg(F.max("n").alias("n")).collect()}
+    of = lambda a, value, word: words.filter(F.col("attribute") == a).select(F.col("value").alias(value), F.col("word").alias(word))
+    coded = rows.drop("id")
+    for a in ATTRIBUTES:
+        coded = coded.join(of(a, a, "word"), a, "left").drop(a).withColumnRenamed("word", a)
+    # rows with a number go where the first of them goes
+    unit = F.when(F.col("seed") | F.col("number").isNull(), F.col("place")).otherwise(F.col("number"))
+    coded = saved.save(coded.select("place", "seed", "trust", unit.alias("unit"), *ATTRIBUTES), "coded")
+    cells = [c for a in ATTRIBUTES for c in (F.min(F.when(F.col(a).isNotNull(), F.col("place"))).alias(f"{a}_at"), F.min_by(a, F.when(F.col(a).isNotNull(), F.col("place"))).alias(a))]
+    values = saved.save(coded.groupBy("unit", "trust").agg(*cells), "values")
+    asking = saved.save(coded.filter("NOT seed AND unit = place").select("place", F.col("number").isNotNull().alias("numbered"), *ATTRIBUTES[1:]), "asking")
+    asks = [_asks(asking, k, levels.index(k)) for k in asked if k in levels]
+    asks = saved.save(reduce(DataFrame.unionAll, asks), "asks")
+    alike = None
     if "fuzzy_name" in levels:
         # of names, not of names in a city: an entity can have its name from one member and its city from another
-        names = rows.filter(F.length("name") >= LETTERS).select("name")
-        pairs = saved.save(similar_names(names, [], "name", ALIKE), "alike")
-        alike = pairs.select("a", "b").unionAll(pairs.select("b", "a")).toDF("name", "other")
-        asks.append(asking.filter(F.col("city") != "").join(alike, "name").select("place", F.lit(levels.index("fuzzy_name")).alias("rank"), F.lit("name_city").alias("level"), F.concat_ws(JOINT, "other", "city").alias("value"), F.explode(kinds).alias("kind")))
-    asks = reduce(DataFrame.unionAll, asks).filter("value IS NOT NULL")
-    # an attribute that stands in one row only finds nothing; two of them together can be an entity's without being a row's
-    held = values.groupBy(F.col("attribute").alias("part"), "value").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
-    single = {k: p[0] for k, p in PARTS.items() if len(p) == 1}
-    part = F.element_at(F.create_map(*[F.lit(x) for pair in single.items() for x in pair]), F.col("level"))
-    alone = asks.filter(F.col("level").isin(list(single))).withColumn("part", part).join(held.select("part", "value"), ["part", "value"], "left_semi").select(*asks.columns)
-    asks = saved.save(dealt_evenly(alone.unionAll(asks.filter(~F.col("level").isin(list(single)))), "place"), "asks")
-    guess, turn = saved.save(rows.select("place", F.col("place").alias("founder"), F.lit(None).cast("int").alias("rank")), "guess-0"), 0
+        pairs = saved.save(similar_names(of("name", "name", "word").filter(F.length("name") >= LETTERS), [], "name", ALIKE), "pairs")
+        pairs = pairs.join(of("name", "a", "x"), "a").join(of("name", "b", "y"), "b")
+        alike = saved.save(pairs.select(F.col("x").alias("name"), F.col("y").alias("other")).unionAll(pairs.select("y", "x")), "alike")
+    hot = _hot_keys(coded, often, asked, alike)
+    if hot is not None:
+        hot = saved.save(hot, "hot")
+        hot = hot if hot.limit(1).count() else None
+    tasks = 1 + (values.count() + asks.count()) // TASK
+    again = [c for a in ATTRIBUTES for c in (F.min(f"{a}_at").alias(f"{a}_at"), F.min_by(a, f"{a}_at").alias(a))]
+    guess, turn = saved.save(asking.select("place", F.col("place").alias("founder")), "guess-0"), 0
     while True:
-        offered = offers(shown(values.join(guess.select("place", "founder"), "place"), top), levels)
-        best = _found(asks, offered, top, saved, turn).groupBy("place").agg(F.min(F.struct("rank", "founder")).alias("best"))
-        told = guess.select("place", F.col("founder").alias("was")).join(best, "place", "left")
-        told = saved.save(told.select("place", F.coalesce("best.founder", "place").alias("founder"), F.col("best.rank").alias("rank"), "was"), f"told-{turn}")
+        joined = values.join(guess.select(F.col("place").alias("unit"), "founder"), "unit", "left").withColumn("founder", F.coalesce("founder", "unit"))
+        members = joined.groupBy("founder", "trust").agg(*again)
+        offers = members.repartition(tasks, "founder").sortWithinPartitions("founder").mapInArrow(_offers_of(asked, top), EVENTS)
+        offers = saved.save(offers, f"offers-{turn}")
+        best = saved.save(_found(asks, offers, hot, top, tasks, saved, f"hot-{turn}"), f"best-{turn}")
+        told = guess.select("place", F.col("founder").alias("was"))
+        if alike is not None:
+            left = asking.join(best, "place", "left_anti").join(alike, "name").drop("name").withColumnRenamed("other", "name")
+            near = offers.filter(F.col("level") == list(PARTS).index("name_city"))
+            best = best.unionAll(_found(_asks(left, "name_city", levels.index("fuzzy_name")), near, hot, top, tasks, saved, f"hot-alike-{turn}"))
+        told = told.join(best, "place", "left").select("place", "was", F.coalesce(F.col("best") % (top + 1), "place").alias("founder"), F.expr(f"best DIV {top + 1}").cast("int").alias("rank"))
+        told = saved.save(told, f"told-{turn}")
         moved = told.filter("founder <> was").limit(1).count()
         if not moved:
             break
         # founders of founders
         onward = told.select(F.col("place").alias("founder"), F.col("founder").alias("onward"))
-        guess = saved.save(told.join(onward, "founder").select("place", F.col("onward").alias("founder"), "rank"), f"guess-{turn + 1}")
-        for name in (f"guess-{turn}", f"told-{turn}", f"offers-{turn}"):
-            saved.drop(name)
+        guess = saved.save(told.join(onward, "founder", "left").select("place", F.coalesce("onward", "founder").alias("founder")), f"guess-{turn + 1}")
+        for name in ("guess", "told", "offers", "best", "hot", "hot-alike"):
+            saved.drop(f"{name}-{turn}")
         turn += 1
+    joined = coded.select("place", F.col("unit")).join(told.select(F.col("place").alias("unit"), "founder", "rank"), "unit", "left")
+    joined = joined.select("place", F.coalesce("founder", "unit").alias("founder"), F.when(F.col("place") != F.col("unit"), F.lit(0)).otherwise(F.col("rank")).alias("rank"))
     names = rows.select(F.col("place").alias("founder"), F.col("id").alias("entity"))
     reason = F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1)
-    return told.join(rows.select("place", "id"), "place").join(names, "founder").select("id", "entity", F.when(F.col("rank").isNotNull(), reason).alias("reason"))
+    return joined.join(rows.select("place", "id"), "place").join(names, "founder").select("id", "entity", F.when(F.col("rank").isNotNull(), reason).alias("reason"))

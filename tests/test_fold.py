@@ -89,6 +89,25 @@ def test_chains_of_answers_and_empty_tables(spark):
     assert got(spark, []) == {}
 
 
+def test_keys_of_many_rows_are_spread(spark, monkeypatch):
+    """Keys of more than HOT rows meet by blocks, others in tasks: the answers are the loop's."""
+    spreads = []
+    blocks = fold._met_by_blocks
+    monkeypatch.setattr(fold, "HOT", 6)
+    monkeypatch.setattr(fold, "_met_by_blocks", lambda *a: spreads.append(1) or blocks(*a))
+    rows = random_rows(60, 5, 8)
+    assert got(spark, rows) == loop(rows) and spreads
+
+
+def test_rows_with_a_known_number_ask_nothing(spark, monkeypatch):
+    """Of rows that share a number, the first one asks by its other keys only, whatever the number of rows and of names like theirs."""
+    kept, save = {}, resolve.Saved.save
+    monkeypatch.setattr(resolve.Saved, "save", lambda self, df, name: kept.update({name: save(self, df, name)}) or kept[name])
+    rows = [(f"r{i}", i, i == 0, 1, "n1", "d", "p", f"company number {i:03d}", "a", "c") for i in range(40)]
+    assert got(spark, rows) == loop(rows)
+    assert kept["asks"].count() == 0
+
+
 def test_register_keeps_numbers_apart(spark):
     companies = spark.createDataFrame([("c1", "1", "a.jp", "n", None)], "company_id string, corporate_number string, domain string, normalized_name string, address_key string")
     incoming = spark.createDataFrame([(1, "111", "b.jp", "x", None), (2, "222", "b.jp", "y", None), (3, None, "b.jp", "z", "adr"), (4, None, None, "x", "adr"), (5, "1", None, "q", None)], "id long, corporate_number string, domain string, normalized_name string, address_key string")

@@ -81,6 +81,17 @@ def test_similar_names_are_compared_once_for_all_their_rows(spark, monkeypatch):
     assert sorted((r["block"], r["a"], r["b"]) for r in told) == [(0, *sorted(names[:2])), (1, *sorted(names[:2]))]
 
 
+def test_names_of_a_frequent_piece_are_not_compared_for_it(spark, monkeypatch):
+    """All names that begin with one word met each other where one edit is allowed."""
+    from firmgraph.operators import resolve
+
+    names = [f"customer#{i:07d}" for i in range(0, 400, 7)] + ["customer#000000", "customer#00000x0"]
+    monkeypatch.setattr(resolve, "similarity", lambda a, b: F.lit(1.0))
+    met = resolve.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), [], "name", 0.88).collect()
+    assert {(r["a"], r["b"]) for r in met if len(r["a"]) == len(r["b"])} == {(a, b) for a in names for b in names if a < b and len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1}
+    assert all(r["distance"] == 1 for r in met) and len(met) < len(names) * 8
+
+
 def test_pages_are_read_a_few_at_a_time(spark):
     """Python held the parsed pages of a whole Arrow batch."""
     from firmgraph.operators import crawl
