@@ -2,6 +2,7 @@
 
 import random
 
+from firmgraph.operators import containment
 from firmgraph.operators.containment import contained
 from firmgraph.operators.discovery import assign_sites
 
@@ -18,6 +19,21 @@ def test_containment_finds_all_pairs(spark):
     assert contained(empty, spark.createDataFrame(texts, "t long, body string"), "n", "name", "t", "body").collect() == []
 
 
+def test_places_without_a_sought_gram_make_no_rows(spark, monkeypatch):
+    """Each place of each text was a row of two joins; now only more names than are sent to tasks are joined. Both find the same pairs."""
+    texts = [(i, t) for i, t in enumerate(["the needle in hay", "nee" * 50, "日本株式会社の株", "\U0001f600" * 9 + "x needles", "a" * 300 + "b", "", None])]
+    names = ["needle", "neen", "日本株式", "\U0001f600\U0001f600\U0001f600x n", "a" * 200 + "b", "株", "zzzz", "needle in hay and more", "株式会社", *(chr(97 + i) + chr(98 + j) for i in range(9) for j in range(9))]
+    want = {(n, t) for n, name in enumerate(names) for t, body in texts if body and name in body}
+    made, grams = [], containment._grams
+    monkeypatch.setattr(containment, "_grams", lambda *a: made.append(1) or grams(*a))
+    monkeypatch.setattr(containment, "AT_ONCE", 7)
+    assert [i for at, _ in containment._Grams(["need", "hay!"], 4).places("a needle, hay, needs") for i in at.tolist()] == [2, 15]
+    found = lambda: [tuple(r) for r in contained(spark.createDataFrame(list(enumerate(names)), "n long, name string"), spark.createDataFrame(texts, "t long, body string"), "n", "name", "t", "body").collect()]
+    assert sorted(found()) == sorted(want) and not made
+    monkeypatch.setattr(containment, "SENT", 0)
+    assert sorted(found()) == sorted(want) and made
+
+
 def assigned(rows):
     """Companies in the order of their scores take what is left; scores are the same on both sides, so this is the stable answer."""
     best = {}
