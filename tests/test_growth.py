@@ -92,6 +92,16 @@ def test_names_of_a_frequent_piece_are_not_compared_for_it(spark, monkeypatch):
     assert all(r["distance"] == 1 for r in met) and len(met) < len(names) * 8
 
 
+def test_arrays_of_a_key_are_made_in_several_tasks(spark, monkeypatch):
+    """The task that joined a key with its number of arrays made all of them."""
+    from firmgraph.operators import resolve
+
+    monkeypatch.setattr(resolve, "TOGETHER", 10)
+    arrays = resolve.in_arrays(spark.createDataFrame([("s", i) for i in range(400)], "name string, id int"), ["name"], "id")
+    got = arrays.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(i for r in got for i in r["ids"]) == list(range(400)) and len({r["task"] for r in got}) > 1
+
+
 def test_pages_are_read_a_few_at_a_time(spark):
     """Python held the parsed pages of a whole Arrow batch."""
     from firmgraph.operators import crawl
